@@ -64,3 +64,44 @@ def v1_ecommerce(t: Tables) -> DataFrame:
         F.when(F.col("l_discount") == 0, F.lit("n/a"))
          .otherwise(F.col("l_quantity").cast("string")).alias("qty"),
         li_ord())
+
+
+# ---------------------------------------------------------------- order book tables
+
+def book_products(t: Tables) -> DataFrame:
+    """products(id, sku, name, quantity, price, supplier_id, pack_size) from part."""
+    p = t.part
+    pack = (F.when(F.col("p_type") == "SMALL", "small").when(F.col("p_type") == "MEDIUM", "medium")
+            .when(F.col("p_type") == "LARGE", "large").when(F.col("p_type") == "PROMO", "bulky")
+            .when(F.col("p_type") == "STANDARD", "extra_bulky"))
+    return p.select(F.col("p_partkey").alias("id"),
+                    F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"),
+                    F.col("p_name").alias("name"), (F.col("p_size") % 12).cast("int").alias("quantity"),
+                    F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 100).alias("supplier_id"),
+                    pack.alias("pack_size"))
+
+
+def book_suppliers(t: Tables) -> DataFrame:
+    """suppliers(id, name, email, phone) from supplier."""
+    s = t.supplier
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+                    F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@example.com")).alias("email"),
+                    F.format_string("+61-%08d", F.col("s_suppkey")).alias("phone"))
+
+
+def book_orders(t: Tables) -> DataFrame:
+    """orders(id, customer_name, order_date, status) from orders."""
+    o = t.orders
+    status = (F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "P", "Cancelled")
+              .otherwise("Pending"))
+    return o.select(F.col("o_orderkey").alias("id"),
+                    F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("customer_name"),
+                    F.col("o_orderdate").alias("order_date"), status.alias("status"))
+
+
+def book_items(t: Tables) -> DataFrame:
+    """order_items(order_id, line_no, product_id, quantity, price_at_order) from lineitem."""
+    li = t.lineitem
+    return li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
+                     F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
+                     F.col("l_extendedprice").alias("price_at_order"))

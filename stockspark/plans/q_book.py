@@ -1 +1,165 @@
-"""(filled in below)"""
+"""Order-book read queries over products/suppliers/orders/items built from part, supplier, orders, lineitem."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockspark.operators import book as B
+from stockspark.operators.ordering import page
+from stockspark.plans import fixtures as X
+from stockspark.plans.catalog import query
+
+P_SQL = """products AS (
+  SELECT p_partkey AS id, 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS name,
+         CAST(p_size % 12 AS INTEGER) AS quantity, p_retailprice AS price, p_partkey % 100 AS supplier_id,
+         CASE p_type WHEN 'SMALL' THEN 'small' WHEN 'MEDIUM' THEN 'medium' WHEN 'LARGE' THEN 'large'
+                     WHEN 'PROMO' THEN 'bulky' WHEN 'STANDARD' THEN 'extra_bulky' END AS pack_size
+  FROM part),
+suppliers AS (SELECT s_suppkey AS id, s_name AS name FROM supplier),
+orders_b AS (
+  SELECT o_orderkey AS id, 'Customer ' || CAST(o_custkey AS VARCHAR) AS customer_name, o_orderdate AS order_date,
+         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'Cancelled' ELSE 'Pending' END AS status
+  FROM orders),
+items AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id,
+                 CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS price_at_order FROM lineitem)"""
+
+LINE = "CAST(i.quantity AS DECIMAL(18,0)) * CAST(i.price_at_order AS DECIMAL(18,2))"
+SHIP = ("CASE WHEN p.pack_size = 'small' THEN CAST(5.0 AS DECIMAL(18,4)) "
+        "WHEN p.pack_size = 'medium' THEN CAST(10.0 AS DECIMAL(18,4)) "
+        "WHEN p.pack_size = 'large' THEN CAST(20.0 AS DECIMAL(18,4)) "
+        "WHEN p.pack_size = 'bulky' THEN CAST(35.0 AS DECIMAL(18,4)) "
+        "WHEN p.pack_size = 'extra_bulky' THEN CAST(60.0 AS DECIMAL(18,4)) "
+        "ELSE greatest(CAST(0 AS DECIMAL(18,4)), CAST(i.price_at_order AS DECIMAL(18,2)) * CAST(0.1 AS DECIMAL(18,4))) END")
+
+
+def _t(spark, sf_dir):
+    t = X.Tables(spark, sf_dir)
+    return X.book_products(t), X.book_suppliers(t), X.book_orders(t), X.book_items(t)
+
+
+@query("book_kpis", f"""WITH {P_SQL}
+SELECT (SELECT count(*) FROM products) AS products,
+       (SELECT count(*) FROM products WHERE quantity > 0 AND quantity <= 3) AS low_stock,
+       (SELECT count(*) FROM products WHERE quantity = 0) AS out_of_stock,
+       (SELECT count(*) FROM suppliers) AS suppliers""")
+def book_kpis(spark, sf_dir):
+    """AGG-11."""
+    p, s, _, _ = _t(spark, sf_dir)
+    return B.book_kpis(p, s)
+
+
+@query("products_list", f"""WITH {P_SQL}
+SELECT p.id, p.sku, p.name, p.quantity, p.price, COALESCE(s.name, '') AS supplier_name, p.pack_size
+FROM products p LEFT JOIN suppliers s ON s.id = p.supplier_id""")
+def products_list(spark, sf_dir):
+    """JN-7: products with supplier name ('' when the supplier is missing)."""
+    p, s, _, _ = _t(spark, sf_dir)
+    return B.search_products(B.products_view(p, s), None)
+
+
+@query("products_search", f"""WITH {P_SQL}
+SELECT p.id, p.sku, p.name, p.quantity, p.price, COALESCE(s.name, '') AS supplier_name, p.pack_size
+FROM products p LEFT JOIN suppliers s ON s.id = p.supplier_id
+WHERE p.sku ILIKE '%2_1%' OR p.name ILIKE '%2_1%' OR s.name ILIKE '%2_1%'
+   OR p.sku ILIKE '%RING%' OR p.name ILIKE '%RING%' OR s.name ILIKE '%RING%'""")
+def products_search(spark, sf_dir):
+    """FLT-8: LIKE search ('_' is a wildcard) on sku, name and supplier name, case-insensitive."""
+    p, s, _, _ = _t(spark, sf_dir)
+    v = B.products_view(p, s)
+    return B.search_products(v, "2_1").unionByName(B.search_products(v, "RING")).distinct()
+
+
+@query("order_totals", f"""WITH {P_SQL}
+SELECT o.id, o.customer_name, o.order_date, o.status,
+       CAST(COALESCE(sum({LINE}), 0) AS DOUBLE) AS total
+FROM orders_b o LEFT JOIN items i ON i.order_id = o.id
+GROUP BY o.id, o.customer_name, o.order_date, o.status""")
+def order_totals(spark, sf_dir):
+    """JN-8 + AGG-9: order totals, 0 for orders without items."""
+    _, _, o, i = _t(spark, sf_dir)
+    return B.order_totals(o, i)
+
+
+@query("orders_page", f"""WITH {P_SQL},
+t AS (SELECT o.id, o.customer_name, o.order_date, o.status,
+             CAST(COALESCE(sum({LINE}), 0) AS DOUBLE) AS total
+      FROM orders_b o LEFT JOIN items i ON i.order_id = o.id
+      GROUP BY o.id, o.customer_name, o.order_date, o.status)
+SELECT * FROM t ORDER BY order_date DESC, id DESC LIMIT 200 OFFSET 400""")
+def orders_page(spark, sf_dir):
+    """SRT-4/SRT-5: newest first with id tie-break, page 3 of 200 (limit is the feature)."""
+    _, _, o, i = _t(spark, sf_dir)
+    return page(B.order_totals(o, i), [F.col("order_date").desc(), F.col("id").desc()], offset=400, limit=200)
+
+
+@query("supplier_order_totals", f"""WITH {P_SQL}
+SELECT p.supplier_id, o.id, o.customer_name, o.order_date, o.status, CAST(sum({LINE}) AS DOUBLE) AS total
+FROM orders_b o JOIN items i ON i.order_id = o.id JOIN products p ON p.id = i.product_id
+GROUP BY p.supplier_id, o.id, o.customer_name, o.order_date, o.status""")
+def supplier_order_totals(spark, sf_dir):
+    """JN-9 + AGG-10 for every supplier at once: totals over that supplier's lines only."""
+    p, _, o, i = _t(spark, sf_dir)
+    return B.supplier_order_totals(o, i, p)
+
+
+@query("order_items_detail", f"""WITH {P_SQL}
+SELECT i.order_id, p.sku, p.name, i.quantity, i.price_at_order, p.id AS p_id, i.product_id, p.pack_size
+FROM items i JOIN products p ON p.id = i.product_id""")
+def order_items_detail(spark, sf_dir):
+    """JN-10: item lines with product details."""
+    p, _, _, i = _t(spark, sf_dir)
+    return B.order_items_detail(i, p)
+
+
+@query("invoice_lines", f"""WITH {P_SQL}
+SELECT i.order_id, p.sku, p.name, COALESCE(p.pack_size, '') AS pack_size, i.quantity AS qty,
+       CAST(CAST(i.price_at_order AS DECIMAL(18,2)) AS DOUBLE) AS unit_price,
+       CAST({SHIP} AS DOUBLE) AS unit_shipping, CAST({LINE} AS DOUBLE) AS line_total,
+       CAST(CAST(i.quantity AS DECIMAL(18,0)) * ({SHIP}) AS DOUBLE) AS shipping_line_total
+FROM items i JOIN products p ON p.id = i.product_id""")
+def invoice_lines(spark, sf_dir):
+    """AGG-12/CND-8 lines: unit freight by pack size or 10 % of price."""
+    p, _, _, i = _t(spark, sf_dir)
+    return B.invoice_lines(i, p).drop("_line_dec", "_ship_dec")
+
+
+@query("invoice_summary", f"""WITH {P_SQL},
+l AS (SELECT i.order_id, {LINE} AS g, CAST(i.quantity AS DECIMAL(18,0)) * ({SHIP}) AS s
+      FROM items i JOIN products p ON p.id = i.product_id),
+a AS (SELECT order_id, sum(g) AS g, sum(s) AS s, count(*) AS n FROM l GROUP BY order_id)
+SELECT o.id AS order_id, o.customer_name, o.order_date, o.status, CAST(COALESCE(a.n, 0) AS BIGINT) AS n_lines,
+       CAST(COALESCE(a.g, 0) AS DOUBLE) AS subtotal_goods, CAST(COALESCE(a.s, 0) AS DOUBLE) AS subtotal_shipping,
+       CAST(COALESCE(a.g, 0) + COALESCE(a.s, 0) AS DOUBLE) AS grand_total
+FROM orders_b o LEFT JOIN a ON a.order_id = o.id""")
+def invoice_summary(spark, sf_dir):
+    """AGG-12: goods, shipping and grand totals for every order."""
+    p, _, o, i = _t(spark, sf_dir)
+    return B.invoice_summary(o, i, p)
+
+
+@query("nested_orders", f"""WITH {P_SQL}
+SELECT o.id, o.customer_name, o.order_date, o.status, CAST(count(i.order_id) AS INTEGER) AS n_items,
+       CAST(COALESCE(sum(i.quantity), 0) AS BIGINT) AS total_qty, min(i.product_id) AS first_product
+FROM orders_b o LEFT JOIN items i ON i.order_id = o.id
+GROUP BY o.id, o.customer_name, o.order_date, o.status""")
+def nested_orders(spark, sf_dir):
+    """PRJ-7/JN-11: one document per order with a sorted items array; reported as
+    item count, quantity total and first product read back from the array."""
+    _, _, o, i = _t(spark, sf_dir)
+    n = B.nest_orders(o, i, ["product_id", "line_no", "quantity", "price_at_order"])
+    return n.select("id", "customer_name", "order_date", "status", F.size("items").alias("n_items"),
+                    F.aggregate("items", F.lit(0).cast("bigint"),
+                                lambda acc, x: acc + x["quantity"].cast("bigint")).alias("total_qty"),
+                    F.try_element_at("items", F.lit(1))["product_id"].alias("first_product"))
+
+
+@query("flattened_order_items", """
+SELECT l_orderkey AS order_id, CAST(row_number() OVER (PARTITION BY l_orderkey
+         ORDER BY l_partkey, l_linenumber, CAST(l_quantity AS INTEGER), l_extendedprice) AS INTEGER) AS item_pos,
+       l_partkey AS product_id, l_linenumber AS line_no, CAST(l_quantity AS INTEGER) AS quantity
+FROM lineitem""")
+def flattened_order_items(spark, sf_dir):
+    """PRJ-6: nested documents flattened back to one row per item with its position."""
+    _, _, o, i = _t(spark, sf_dir)
+    n = B.nest_orders(o, i, ["product_id", "line_no", "quantity", "price_at_order"])
+    return B.flatten_orders(n).select("order_id", "item_pos", "product_id", "line_no", "quantity")
