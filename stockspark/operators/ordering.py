@@ -78,25 +78,37 @@ def sequence_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64,
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.col(seq_col).cast("double").alias("_s")).approxQuantile("_s", probs, rel_err)
     bounds = sorted(set(b for b in bounds if b is not None))
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    # number of boundaries <= value == bucket index (boundaries are few, JVM-side)
-    return F.size(F.filter(arr, lambda b: b <= F.col(seq_col).cast("double")))
+    v = F.col(seq_col).cast("double")
 
+    def tree(lo: int, hi: int) -> Column:
+        # bucket index = number of boundaries <= v, as a balanced CASE tree
+        # (log2(n) comparisons per row, plain codegen'd expressions)
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v < F.lit(float(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-def segmented_scan(df: DataFrame, keys: Sequence[str], seq_col: str, value_col: str, out: str,
-                   how: str = "sum", inclusive: bool = True, n_buckets: int = 64) -> DataFrame:
-    """Per-key running aggregate in ``seq_col`` order (WIN-5 sum, WIN-6 last non-null).
+    return tree(0, len(bounds)) if bounds else F.lit(0)
+
+
+def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_col: str,
+                   out: str, how: str = "sum", inclusive: bool = True, bucket_col: str | None = None,
+                   n_buckets: int = 64) -> DataFrame:
+    """Per-key running aggregate in ``order_cols`` order (WIN-5 sum, WIN-6 last non-null).
 
     Level 1: a window inside (key, bucket). Level 2: per-(key, bucket)
     totals - at most ``n_buckets`` rows per key - scanned per key to give the
-    carry-in of each bucket. ``seq_col`` must be unique within a key.
+    carry-in of each bucket. ``bucket_col`` (default: the first order column)
+    must be numeric and non-decreasing along ``order_cols``; its quantiles
+    define the buckets, so each bucket holds ~1/n of all rows whatever the
+    key skew. ``order_cols`` must be unique within a key.
     """
     keys = list(keys)
-    d = df.withColumn("_bkt", sequence_buckets(df, seq_col, n_buckets))
+    order_cols = list(order_cols)
+    bcol = bucket_col or order_cols[0]
+    d = df.withColumn("_bkt", sequence_buckets(df, bcol, n_buckets))
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    wl = Window.partitionBy(*keys, "_bkt").orderBy(seq_col).rowsBetween(*frame)
+    wl = Window.partitionBy(*keys, "_bkt").orderBy(*order_cols).rowsBetween(*frame)
     wc = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     v = F.col(value_col)
     if how == "sum":
@@ -109,7 +121,7 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], seq_col: str, value_col:
     elif how == "last":
         d = d.withColumn("_loc", F.last(v, ignorenulls=True).over(wl))
         tot = d.groupBy(*keys, "_bkt").agg(
-            F.max_by(v, F.when(v.isNotNull(), F.col(seq_col))).alias("_bt"))
+            F.max_by(v, F.when(v.isNotNull(), order_struct(*order_cols))).alias("_bt"))
         carry = tot.select(*keys, "_bkt", F.last("_bt", ignorenulls=True).over(wc).alias("_carry"))
         d = d.join(carry, keys + ["_bkt"], "left")
         res = F.coalesce(F.col("_loc"), F.col("_carry"))
