@@ -82,3 +82,25 @@ def strict_int(c) -> Column:
 def money(c) -> Column:
     """SRT-3 helper: text money ($1,234.50) to double."""
     return F.regexp_replace(_as_col(c).cast("string"), r"[$,]", "").try_cast("double")
+
+
+_PYINT_RE = r"^\s*[+-]?\d(_?\d)*\s*$"
+
+
+def py_int(c) -> Column:
+    """Text accepted by Python's int(): optional sign, digits with single
+    underscores, surrounding whitespace. Blank/null -> 0 (the tools use
+    ``int(x or 0)``); anything else -> null (invalid)."""
+    s = _as_col(c).cast("string")
+    blank = s.isNull() | (s == "")
+    val = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), "_", "").try_cast("bigint")
+    return F.when(blank, F.lit(0).cast("bigint")).when(s.rlike(_PYINT_RE), val)
+
+
+def py_float(c) -> Column:
+    """Text accepted by Python's float() (incl. inf/nan/underscores); blank/null -> 0.0;
+    invalid -> null."""
+    s = _as_col(c).cast("string")
+    blank = s.isNull() | (s == "")
+    val = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), "_", "").try_cast("double")
+    return F.when(blank, F.lit(0.0)).when(s.rlike(_PYFLOAT_RE), val)
