@@ -130,6 +130,33 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     return d.withColumn(out, res).drop("_bkt", "_loc", "_carry")
 
 
+def add_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64, out: str = "_bkt") -> DataFrame:
+    """Attach the quantile bucket of ``seq_col`` once, for repeated scans."""
+    return df.withColumn(out, sequence_buckets(df, seq_col, n_buckets))
+
+
+def segmented_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], values: dict,
+                   inclusive: bool = False, bucket_col: str = "_bkt") -> DataFrame:
+    """Several running sums per key in one two-level scan; ``bucket_col`` must
+    already hold a bucket index that is non-decreasing along ``order_cols``
+    (see ``add_buckets``)."""
+    keys = list(keys)
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    wl = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols).rowsBetween(*frame)
+    wc = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
+    d = df
+    for name, col in values.items():
+        d = d.withColumn(f"_v_{name}", col)
+    d = d.select("*", *[F.sum(f"_v_{n}").over(wl).alias(f"_l_{n}") for n in values])
+    tot = d.groupBy(*keys, bucket_col).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    carry = tot.select(*keys, bucket_col, *[F.sum(f"_t_{n}").over(wc).alias(f"_c_{n}") for n in values])
+    d = d.join(carry, keys + [bucket_col], "left")
+    outs = [(F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0))).alias(n)
+            for n in values]
+    drop = [c for n in values for c in (f"_v_{n}", f"_l_{n}", f"_c_{n}")]
+    return d.select(*[c for c in d.columns if c not in drop], *outs)
+
+
 def typed_sort_key(df: DataFrame, col: str) -> tuple:
     """SRT-1: numeric order when every non-blank value parses (commas removed),
     else case-insensitive text; blanks last. One aggregate decides."""
