@@ -1,0 +1 @@
+"""Operators: DataFrame(s) + config in, lazy DataFrame(s) out."""
