@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from stockspark.config import Normalization
 
-# Python's str.strip()/\s also treat the file/group/record/unit separators
-# (U+001C..U+001F) as whitespace; Java's Unicode \s does not, so add them.
-_WS = r"[\s\x{1c}-\x{1f}]"
-_EDGE_WS = r"(?U)^" + _WS + r"+|" + _WS + r"+$"
-_RUN_WS = r"(?U)" + _WS + r"+"
+# The characters Python's str.strip()/str.split()/re "\s" treat as
+# whitespace (str.isspace), as one explicit class - faster than Java's
+# Unicode-mode (?U)\s, and it also covers U+001C..U+001F which (?U)\s lacks.
+_WS = "[\\t\\n\\x{0b}\\f\\r\\x{1c}-\\x{1f} \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_EDGE_WS = "^" + _WS + "+|" + _WS + "+$"
+_RUN_WS = _WS + "+"
 
 # Separators of the two composite-key tools.
 PIPE = "|"
@@ -36,9 +37,12 @@ def collapse_ws(c) -> Column:
 def normalize_piece(c, norm: Normalization) -> Column:
     """STR-1: null -> token; strip; collapse whitespace runs; case; widen digit-only text."""
     s = F.coalesce(_as_col(c).cast("string"), F.lit(norm.null_token))
-    if norm.trim:
+    if norm.trim and norm.collapse_spaces:
+        # collapsing first leaves at most one plain blank at each edge
+        s = F.trim(collapse_ws(s))
+    elif norm.trim:
         s = strip_ws(s)
-    if norm.collapse_spaces:
+    elif norm.collapse_spaces:
         s = collapse_ws(s)
     if norm.case == "lower":
         s = F.lower(s)
@@ -47,10 +51,40 @@ def normalize_piece(c, norm: Normalization) -> Column:
     if norm.zero_pad and norm.zero_pad > 0:
         w = int(norm.zero_pad)
         # lpad truncates longer input, so only widen.
-        s = F.when(s.rlike(r"(?U)^\d+$") & (F.length(s) < w), F.lpad(s, w, "0")).otherwise(s)
+        s = F.when(s.rlike(r"^\p{Nd}+$") & (F.length(s) < w), F.lpad(s, w, "0")).otherwise(s)
     return s
 
 
+def with_composite_key(df: DataFrame, cols: Iterable[str], norm: Normalization, sep: str = PIPE,
+                       ignore_missing: bool = True, out: str = "key") -> DataFrame:
+    """``composite_key`` as a column, computed in two projections: the normalised
+    pieces first, then padding + join. The padding test reads each piece three
+    times; Catalyst keeps the (regex) pieces in their own projection instead of
+    repeating them."""
+    cols = [c for c in cols if c]
+    present = set(df.columns)
+    base = Normalization(case=norm.case, trim=norm.trim, collapse_spaces=norm.collapse_spaces,
+                         zero_pad=0, null_token=norm.null_token)
+    pieces = []
+    for i, c in enumerate(cols):
+        if c in present:
+            pieces.append(normalize_piece(F.col(c), base).alias(f"_k{i}"))
+        elif not ignore_missing:
+            pieces.append(normalize_piece(F.lit(None).cast("string"), base).alias(f"_k{i}"))
+    if not pieces:
+        return df.withColumn(out, F.lit(""))
+    names = [f"_k{i}" for i, c in enumerate(cols) if c in present or not ignore_missing]
+    d = df.select("*", *pieces)
+    w = int(norm.zero_pad or 0)
+    parts = []
+    for n in names:
+        p = F.col(n)
+        if w > 0:
+            p = F.when(p.rlike(r"^\p{Nd}+$") & (F.length(p) < w), F.lpad(p, w, "0")).otherwise(p)
+        parts.append(p)
+    return d.withColumn(out, F.concat_ws(sep, *parts)).drop(*names)
+
+
 def composite_key(df: DataFrame, cols: Iterable[str], norm: Normalization, sep: str = PIPE,
                   ignore_missing: bool = True) -> Column:
     """STR-2/3: normalised pieces joined by ``sep``.

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockspark.config import Normalization, SideMapping
-from stockspark.functions.keys import PIPE, VDOTS, composite_key, strip_ws, upper_strip
+from stockspark.functions.keys import PIPE, VDOTS, strip_ws, upper_strip, with_composite_key
 from stockspark.functions.numeric import coerce_numeric, parse_number, sign_class, to_int_safe
 from stockspark.operators.ordering import keep_last
 
@@ -33,9 +33,15 @@ COV_BOTH, COV_WH, COV_EC, COV_NONE = "Both", "Warehouse Only", "E-Commerce Only"
 def normalized_side(df: DataFrame, mapping: SideMapping, order_col: str = "_ord",
                     sep: str = PIPE, drop_blank: bool = True) -> DataFrame:
     """(key, qty) for one side: composite key, blank keys dropped, last row per key kept."""
-    key = composite_key(df, mapping.key_cols, mapping.norm, sep)
-    d = df.select(key.alias("key"), F.col(mapping.qty_col).cast("string").alias("_q"), F.col(order_col))
-    if drop_blank:
+    d = with_composite_key(df.select(*[c for c in mapping.key_cols if c in df.columns],
+                                     F.col(mapping.qty_col).cast("string").alias("_q"), order_col),
+                           mapping.key_cols, mapping.norm, sep)
+    d = d.select("key", "_q", order_col)
+    used = [c for c in mapping.key_cols if c and c in df.columns]
+    # FLT-1: with two or more pieces the key always holds a separator, so only a
+    # single-column key can be blank (this also keeps Catalyst from re-evaluating
+    # the normalisation inside a pushed-down filter).
+    if drop_blank and len(used) < 2:
         d = d.where(F.col("key") != "")
     d = keep_last(d, ["key"], order_col)
     return d.select("key", coerce_numeric(F.col("_q")).alias("qty"))
@@ -401,12 +407,12 @@ def subset(merged: DataFrame, name: str) -> DataFrame:
 def change_side(df: DataFrame, key_cols: Sequence[str], qty_col: str, norm: Normalization,
                 sku_col: Optional[str] = None, order_col: str = "_ord") -> DataFrame:
     """(key, qty[, sku]) - blank cells are "", blank keys kept, last row wins."""
-    key = composite_key(df, key_cols, norm, VDOTS, ignore_missing=False)
-    cols = [key.alias("key"), F.coalesce(F.col(qty_col).cast("string"), F.lit("")).alias("_q")]
+    keyed = with_composite_key(df, key_cols, norm, VDOTS, ignore_missing=False)
+    cols = [F.col("key"), F.coalesce(F.col(qty_col).cast("string"), F.lit("")).alias("_q")]
     if sku_col:
         cols.append(strip_ws(F.coalesce(F.col(sku_col).cast("string"), F.lit(""))).alias("sku"))
     cols.append(F.col(order_col))
-    d = keep_last(df.select(*cols), ["key"], order_col)
+    d = keep_last(keyed.select(*cols), ["key"], order_col)
     out = [F.col("key"), to_int_safe(F.col("_q")).alias("qty")]
     if sku_col:
         out.append(F.col("sku"))
