@@ -16,6 +16,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockspark.session import checkpoint_dir
+
 
 
 def _cols(cs) -> list:
@@ -68,7 +70,8 @@ def _leaf_columns(df: DataFrame, order_cols: Sequence) -> list:
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "row_num",
-                      n_buckets: int | None = None, sample_rows: int = 100) -> DataFrame:
+                      n_buckets: int | None = None, sample_rows: int = 100,
+                      materialize: bool = True) -> DataFrame:
     """WIN-3/WIN-4: dense 1-based row number over a total order, without a
     single-partition window and without cutting lineage.
 
@@ -79,26 +82,42 @@ def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "row_num",
     row per bucket, broadcast) give the offsets; a window per bucket numbers
     the rows inside it. Buckets hold ~N/n rows whatever the key skew, as long
     as the order is total.
+
+    ``materialize`` writes the input once to the shared checkpoint folder
+    first, so the count, the boundary sample and the numbering read it
+    instead of re-running an expensive upstream plan three times.
     """
     spark = df.sparkSession
     n = n_buckets or max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     leaves = _leaf_columns(df, order_cols)
     names = [f"_o{i}" for i in range(len(leaves))]
     d = df.select("*", *[e.alias(nm) for (e, _), nm in zip(leaves, names)])
+    total = None
+    if materialize:
+        from pyspark.sql import Observation
+        checkpoint_dir(spark)
+        obs = Observation("rows")
+        d = d.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        total = obs.get["n"]          # counted while writing, no extra job
+    else:
+        total = d.count()
     okey = F.struct(*[F.col(nm) for nm in names])
-    total = d.count()
     bounds = []
-    if total > 0 and n > 1:
+    if total and n > 1:
         frac = min(1.0, float(n * sample_rows) / total)
-        smp = d.select(*names).sample(fraction=frac, seed=17).orderBy(*names).collect()
+        smp = [tuple(r) for r in d.select(*names).sample(fraction=frac, seed=17).collect()]
+        # the sample is bounded (~n * sample_rows rows): sort it on the driver in
+        # Spark's order (nulls first, NaN last)
+        def sk(row):
+            return tuple((v is not None, isinstance(v, float) and v != v, v if not (isinstance(v, float) and v != v)
+                          else 0) for v in row)
+        smp.sort(key=sk)
         if smp:
             step_ = len(smp) / n
-            picks = [smp[int(i * step_)] for i in range(1, n)]
-            seen = []
-            for r in picks:
-                if not seen or tuple(r) != tuple(seen[-1]):
-                    seen.append(r)
-            bounds = seen
+            for i in range(1, n):
+                r = smp[int(i * step_)]
+                if not bounds or r != bounds[-1]:
+                    bounds.append(r)
     lits = [F.struct(*[F.lit(v).cast(t).alias(nm) for v, (_, t), nm in zip(r, leaves, names)]) for r in bounds]
 
     def tree(lo: int, hi: int) -> Column:

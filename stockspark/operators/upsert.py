@@ -31,7 +31,7 @@ def _blank_to_null(c: Column) -> Column:
 def _assign_new_ids(new_keys: DataFrame, key: str, first_row: str, base_max: DataFrame,
                     out: str = "id") -> DataFrame:
     """ids = max(existing id) + rank of first appearance (global row number, no single-partition window)."""
-    ranked = global_row_number(new_keys, [first_row, key], "_rank")
+    ranked = global_row_number(new_keys, [first_row, key], "_rank", materialize=False)
     # base_max is one row: a broadcast join with no key attaches it to every row
     return ranked.join(F.broadcast(base_max), how="inner").select(
         *new_keys.columns, (F.col("_max") + F.col("_rank")).alias(out))
