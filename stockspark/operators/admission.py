@@ -106,7 +106,11 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
         if undecided == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
         rounds += 1
-        d = demand.join(state, "row")
+        # only products that still have an undecided order need new prefix sums
+        # (their prefixes still run over every order of the product)
+        active = (demand.select("pid", "row").join(state.where(F.col("state") == "U"), "row", "left_semi")
+                  .select("pid").distinct())
+        d = demand.join(active, "pid", "left_semi").join(state, "row")
         d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint"),
                         "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
         # the largest line of a product in the order decides (lines do not see each other)
