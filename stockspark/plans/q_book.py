@@ -163,3 +163,115 @@ def flattened_order_items(spark, sf_dir):
     _, _, o, i = _t(spark, sf_dir)
     n = B.nest_orders(o, i, ["product_id", "line_no", "quantity", "price_at_order"])
     return B.flatten_orders(n).select("order_id", "item_pos", "product_id", "line_no", "quantity")
+
+
+# ------------------------------------------------------------------ documents, filters, top-k
+
+RUN_TS = "2026-01-01 00:00:00"
+
+
+def _documents(spark, sf_dir):
+    """Order documents from orders x customer x lineitem: reference PO-<orderkey div 2>
+    (pairs repeat inside the batch); finished orders are already in the table."""
+    from stockspark.operators import documents as D
+    t = X.Tables(spark, sf_dir)
+    o, c, li = t.orders, t.customer, t.lineitem
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("l_linenumber").alias("line_reference"), F.col("l_partkey").cast("string").alias("part_number"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.format_string("%.2f", F.col("l_extendedprice")).alias("total")))).alias("items"))
+    ref = F.concat(F.lit("PO-"), F.floor(F.col("o_orderkey") / 2).cast("string"))
+    addr = F.struct(F.col("c_nationkey").cast("string").alias("country"),
+                    F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit("1 Main St")).alias("line_1"),
+                    *[F.lit(None).cast("string").alias(f) for f in ("line_2", "city", "postal_code", "state", "phone")],
+                    F.col("c_name").alias("full_name"), F.lit(None).cast("string").alias("email"))
+    docs = (o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(items, o["o_orderkey"] == items["l_orderkey"], "left")
+            .select(ref.alias("order_reference"),
+                    F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise(F.col("o_orderdate"))
+                     .cast("timestamp").alias("order_date"),
+                    F.lit(None).cast("string").alias("status"),
+                    F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("rush")).alias("comment"),
+                    F.lit(None).cast("string").alias("currency_code"), addr.alias("shipping_address"),
+                    F.struct(F.col("c_mktsegment").alias("name")).alias("retailer_data"),
+                    F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType)).alias("items"),
+                    F.col("o_orderkey").alias("_ord")))
+    existing = o.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("id"),
+                                                             ref.alias("order_reference"))
+    return D.ingest_order_documents(existing, docs, RUN_TS)
+
+
+_DOC_CTE = """
+ex AS (SELECT o_orderkey AS id, 'PO-' || CAST(floor(o_orderkey / 2) AS BIGINT) AS order_reference
+       FROM orders WHERE o_orderstatus = 'F'),
+b AS (SELECT o.*, c.*, 'PO-' || CAST(floor(o_orderkey / 2) AS BIGINT) AS order_reference,
+             row_number() OVER (PARTITION BY floor(o_orderkey / 2) ORDER BY o_orderkey) AS k
+      FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
+acc AS (SELECT * FROM b WHERE k = 1 AND order_reference NOT IN (SELECT order_reference FROM ex)),
+num AS (SELECT *, (SELECT max(id) FROM ex) + row_number() OVER (ORDER BY o_orderkey) AS id FROM acc)
+"""
+
+
+@query("ingest_order_documents", f"""WITH {_DOC_CTE}
+SELECT id, order_reference,
+       CASE WHEN o_orderpriority = '5-LOW' THEN TIMESTAMP '{RUN_TS}' ELSE CAST(o_orderdate AS TIMESTAMP) END AS order_date,
+       'ORDER' AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'rush' ELSE '' END AS comment,
+       'AUD' AS currency_code, CAST(c_nationkey AS VARCHAR) AS ship_country,
+       CASE WHEN c_acctbal < 0 THEN '' ELSE '1 Main St' END AS ship_line_1,
+       CAST(NULL AS VARCHAR) AS ship_line_2, CAST(NULL AS VARCHAR) AS ship_city,
+       CAST(NULL AS VARCHAR) AS ship_postal_code, CAST(NULL AS VARCHAR) AS ship_state,
+       CAST(NULL AS VARCHAR) AS ship_phone, c_name AS ship_full_name, CAST(NULL AS VARCHAR) AS ship_email,
+       c_mktsegment AS retailer_name
+FROM num""")
+def ingest_order_documents(spark, sf_dir):
+    """DML-11: reject known/repeated references, fill defaults, flatten, new ids after max(id)."""
+    return _documents(spark, sf_dir)[0]
+
+
+@query("ingest_document_items", f"""WITH {_DOC_CTE}
+SELECT num.id AS order_id,
+       CAST(row_number() OVER (PARTITION BY num.id ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(l_quantity AS INTEGER),
+            printf('%.2f', l_extendedprice)) AS INTEGER) AS line_no,
+       l_linenumber AS line_reference, CAST(l_partkey AS VARCHAR) AS part_number,
+       CAST(l_quantity AS INTEGER) AS quantity, printf('%.2f', l_extendedprice) AS total
+FROM num JOIN lineitem ON l_orderkey = num.o_orderkey""")
+def ingest_document_items(spark, sf_dir):
+    """DML-11/PRJ-6: item rows of the ingested documents with their line numbers."""
+    return _documents(spark, sf_dir)[1]
+
+
+@query("ingest_document_rejects", f"""WITH {_DOC_CTE}
+SELECT order_reference, CASE WHEN order_reference IN (SELECT order_reference FROM ex) THEN 'exists'
+                             ELSE 'duplicate in batch' END AS reason, o_orderkey AS _ord
+FROM b WHERE NOT (k = 1 AND order_reference NOT IN (SELECT order_reference FROM ex))""")
+def ingest_document_rejects(spark, sf_dir):
+    """JN-15: documents rejected because the reference exists or repeats in the batch."""
+    return _documents(spark, sf_dir)[2].select("order_reference", "reason", "_ord")
+
+
+@query("orders_pending", f"""WITH {P_SQL}
+SELECT * FROM orders_b WHERE status = 'Pending'""")
+def orders_pending(spark, sf_dir):
+    """FLT-9: order status filter (pushed to the scan as o_orderstatus predicates)."""
+    _, _, o, _ = _t(spark, sf_dir)
+    return o.where(F.col("status") == "Pending")
+
+
+@query("orders_page_count", f"""WITH {P_SQL}
+SELECT count(*) FILTER (WHERE status = 'Cancelled') AS filtered_count, count(*) AS unfiltered_count FROM orders_b""")
+def orders_page_count(spark, sf_dir):
+    """AGG-13: count of the filtered set for paging, plus the unfiltered count."""
+    _, _, o, _ = _t(spark, sf_dir)
+    return o.agg(F.count_if(F.col("status") == "Cancelled").alias("filtered_count"),
+                 F.count(F.lit(1)).alias("unfiltered_count"))
+
+
+@query("top_order_totals", f"""WITH {P_SQL},
+t AS (SELECT o.id, o.customer_name, o.order_date, o.status,
+             CAST(COALESCE(sum({LINE}), 0) AS DOUBLE) AS total
+      FROM orders_b o LEFT JOIN items i ON i.order_id = o.id
+      GROUP BY o.id, o.customer_name, o.order_date, o.status)
+SELECT * FROM t ORDER BY total DESC, id ASC LIMIT 100""")
+def top_order_totals(spark, sf_dir):
+    """SRT-6: top-100 orders by total (limit is the feature; unique tie-break on id)."""
+    _, _, o, i = _t(spark, sf_dir)
+    return B.order_totals(o, i).orderBy(F.col("total").desc(), F.col("id").asc()).limit(100)
