@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,22 @@ def collapse_ws(c) -> Column:
     return F.regexp_replace(_as_col(c), _RUN_WS, " ")
 
 
+_casefold_udf = None
+
+
+def casefold(c) -> Column:
+    """Exact Unicode casefold (e.g. 'ß' -> 'ss'), which Spark's lower() does not do.
+    The only Python on this path: an Arrow-batched pandas UDF, opt-in via
+    Normalization(case="casefold")."""
+    global _casefold_udf
+    if _casefold_udf is None:
+        @F.pandas_udf("string")
+        def _fold(s: pd.Series) -> pd.Series:
+            return s.str.casefold()
+        _casefold_udf = _fold
+    return _casefold_udf(_as_col(c))
+
+
 def normalize_piece(c, norm: Normalization) -> Column:
     """STR-1: null -> token; strip; collapse whitespace runs; case; widen digit-only text."""
     s = F.coalesce(_as_col(c).cast("string"), F.lit(norm.null_token))
@@ -48,6 +65,8 @@ def normalize_piece(c, norm: Normalization) -> Column:
         s = F.lower(s)
     elif norm.case == "upper":
         s = F.upper(s)
+    elif norm.case == "casefold":
+        s = casefold(s)
     if norm.zero_pad and norm.zero_pad > 0:
         w = int(norm.zero_pad)
         # lpad truncates longer input, so only widen.

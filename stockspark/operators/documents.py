@@ -31,13 +31,15 @@ def ingest_order_documents(existing: DataFrame, docs: DataFrame, run_ts: str, or
     base_max = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_max"))
     numbered = global_row_number(accepted, [order_col], "_n")
     numbered = numbered.join(F.broadcast(base_max), how="inner")   # one-row frame
+    def opt(c: str):
+        return F.col(c) if c in docs.columns else F.lit(None).cast("string")
     sa = F.col("shipping_address")
     flat = numbered.select(
         (F.col("_max") + F.col("_n")).alias("id"), "order_reference",
         F.coalesce(F.col("order_date"), F.to_timestamp(F.lit(run_ts))).alias("order_date"),
-        F.coalesce(F.col("status"), F.lit("ORDER")).alias("status"),
-        F.coalesce(F.col("comment"), F.lit("")).alias("comment"),
-        F.coalesce(F.col("currency_code"), F.lit(default_currency)).alias("currency_code"),
+        F.coalesce(opt("status"), F.lit("ORDER")).alias("status"),
+        F.coalesce(opt("comment"), F.lit("")).alias("comment"),
+        F.coalesce(opt("currency_code"), F.lit(default_currency)).alias("currency_code"),
         *[sa[f].alias(f"ship_{f}") for f in ADDRESS_FIELDS],
         F.col("retailer_data.name").alias("retailer_name"),
         F.col("items"))

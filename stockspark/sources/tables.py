@@ -37,6 +37,7 @@ ORDER_DOC_ITEM = T.StructType([
     T.StructField("promised_date", T.TimestampType()), T.StructField("retailer_additional_reference", T.StringType())])
 ORDER_DOC = T.StructType([
     T.StructField("order_reference", T.StringType(), False), T.StructField("order_date", T.TimestampType()),
+    T.StructField("status", T.StringType()),
     T.StructField("retailer", T.StringType()), T.StructField("comment", T.StringType()),
     T.StructField("currency_code", T.StringType()), T.StructField("subtotal", T.StringType()),
     T.StructField("tax", T.StringType()), T.StructField("total", T.StringType()),

@@ -78,3 +78,8 @@ def test_names():
 def test_clean_value(spark):
     got = col1(spark, ["﻿ ‘hi’ – x "], clean_value)
     assert got == ["'hi' - x"]
+
+
+def test_casefold_option(spark):
+    n = Normalization(case="casefold")
+    assert col1(spark, ["Straße ", "ABC"], lambda c: normalize_piece(c, n)) == ["strasse", "abc"]
