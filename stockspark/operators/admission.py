@@ -25,6 +25,7 @@ from stockspark.config import ORDER_STATUSES
 from stockspark.functions.keys import strip_ws
 from stockspark.functions.numeric import py_float
 from stockspark.operators.ordering import add_buckets, segmented_sums
+from stockspark.session import materialize
 
 ITEM_SCHEMA = "array<struct<product_sku:string,quantity:string,price_at_order:string>>"
 
@@ -97,9 +98,10 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
     # statically rejected orders stay in the scan (state R, zero demand) so that
     # their lines still get the exact availability for the error message
     # sequence buckets are fixed for the whole run: computed once
-    demand = add_buckets(demand, "row", n_buckets).checkpoint(eager=True)
+    demand = materialize(add_buckets(demand, "row", n_buckets))
     state = cand.select("row", F.when(F.col("_first_static").isNotNull(), F.lit("R")).otherwise(F.lit("U"))
-                        .alias("state")).checkpoint(eager=True)
+                        .alias("state"))
+    state = materialize(state)
     rounds = 0
     while True:
         undecided = state.where(F.col("state") == "U").count()
@@ -121,7 +123,7 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
                .select("row", F.when((F.col("state") == "U") & F.col("_sure_ok"), F.lit("A"))
                        .when((F.col("state") == "U") & F.col("_sure_bad"), F.lit("R"))
                        .otherwise(F.col("state")).alias("state")))
-        state = new.checkpoint(eager=True)
+        state = materialize(new)
     # final availability per line (accepted-only prefix) -> first failing item and its message
     d = demand.join(state, "row")
     d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")})

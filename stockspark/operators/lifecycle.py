@@ -61,7 +61,9 @@ def replay_commands(cmds: DataFrame, order_col: str = "order_id", ts_col: str =
     state_after = (F.when(before, F.when(cmd == ACK, ACKED).when(cmd == BACKORDER, BACKORDERED)
                           .otherwise(prev_state))
                    .otherwise(t_state))
-    return d.select(*cmds.columns, accepted.alias("accepted"), prev_state.alias("state_before"),
+    # after the terminal command the order sits in the terminal state
+    state_before = F.when(before | at, prev_state).otherwise(t_state)
+    return d.select(*cmds.columns, accepted.alias("accepted"), state_before.alias("state_before"),
                     state_after.alias("state_after"))
 
 

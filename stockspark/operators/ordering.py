@@ -16,7 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockspark.session import checkpoint_dir
+from stockspark.session import materialize as materialize_df
 
 
 
@@ -91,15 +91,14 @@ def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "row_num",
     n = n_buckets or max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     leaves = _leaf_columns(df, order_cols)
     names = [f"_o{i}" for i in range(len(leaves))]
-    d = df.select("*", *[e.alias(nm) for (e, _), nm in zip(leaves, names)])
     total = None
     if materialize:
         from pyspark.sql import Observation
-        checkpoint_dir(spark)
         obs = Observation("rows")
-        d = d.observe(obs, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        df = materialize_df(df.observe(obs, F.count(F.lit(1)).alias("n")))
         total = obs.get["n"]          # counted while writing, no extra job
-    else:
+    d = df.select("*", *[e.alias(nm) for (e, _), nm in zip(leaves, names)])
+    if total is None:
         total = d.count()
     okey = F.struct(*[F.col(nm) for nm in names])
     bounds = []

@@ -20,7 +20,7 @@ from stockspark.config import PACK_SIZES, ImportPolicy
 from stockspark.functions.keys import strip_ws
 from stockspark.functions.numeric import py_float, py_int
 from stockspark.operators.ordering import global_row_number
-from stockspark.session import checkpoint_dir
+from stockspark.session import checkpoint_dir, materialize
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -55,7 +55,8 @@ def upsert_suppliers(existing: DataFrame, batch: DataFrame, row_col: str = "row"
     checkpoint_dir(batch.sparkSession)
     b = batch.select(F.col(row_col).alias("row"), strip_ws(F.coalesce(F.col("name"), F.lit(""))).alias("name"),
                      _blank_to_null(F.col("email")).alias("email"),
-                     _blank_to_null(F.col("phone")).alias("phone")).checkpoint(eager=True)
+                     _blank_to_null(F.col("phone")).alias("phone"))
+    b = materialize(b)
     valid = b.where(F.col("name") != "")
     per = valid.groupBy("name").agg(
         F.max_by(F.struct("email", "phone"), "row").alias("_last"), F.min("row").alias("_first"),
@@ -139,11 +140,11 @@ def upsert_products(products: DataFrame, suppliers: DataFrame, batch: DataFrame,
     # the validated batch feeds several outputs and the id assignment: materialise
     # it once in the shared checkpoint folder (reliable, survives executor loss)
     checkpoint_dir(batch.sparkSession)
-    v = validate_products(batch, policy, row_col).checkpoint(eager=True)
+    v = materialize(validate_products(batch, policy, row_col))
     errors = v.where(F.col("error").isNotNull()).select("row", "sku", F.col("error").alias("message"))
     valid = v.where(F.col("error").isNull()).drop("error")
     valid, new_suppliers = resolve_suppliers(valid, suppliers)
-    valid = valid.checkpoint(eager=True)
+    valid = materialize(valid)
     ex = products.select(F.col("id").alias("_eid"), F.col("sku").alias("_esku"), F.col("name").alias("_ename"),
                          F.col("price").alias("_eprice"), F.col("supplier_id").alias("_esup"),
                          F.col("pack_size").alias("_epack"))

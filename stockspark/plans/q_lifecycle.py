@@ -54,7 +54,8 @@ e AS (
   SELECT order_id, ts, seq, command, carrier, service, tracking_number, reason,
          CASE WHEN before_t THEN command = 'backorder' OR (command = 'acknowledge' AND state_before <> 'ACKNOWLEDGED')
               WHEN at_t THEN TRUE ELSE (t_cmd = 'cancel' AND command = 'cancel') END AS accepted,
-         state_before,
+         CASE WHEN before_t OR at_t THEN state_before WHEN t_cmd = 'dispatch' THEN 'DISPATCHED'
+              ELSE 'CANCELLATION_ACK' END AS state_before,
          CASE WHEN before_t THEN (CASE command WHEN 'acknowledge' THEN 'ACKNOWLEDGED' WHEN 'backorder' THEN 'BACKORDERED'
                                   ELSE state_before END)
               WHEN t_cmd = 'dispatch' THEN 'DISPATCHED' ELSE 'CANCELLATION_ACK' END AS state_after
@@ -81,3 +82,15 @@ FROM e GROUP BY order_id""")
 def lifecycle_orders(spark, sf_dir):
     """DML-14: final status per order, dispatch fields and the backorder comment."""
     return L.final_orders(L.replay_commands(commands(spark, sf_dir)))
+
+
+@query("lifecycle_stream_commands", f"""WITH {_CTE}
+SELECT order_id, ts, seq, command, accepted, state_before, state_after FROM e""")
+def lifecycle_stream_commands(spark, sf_dir):
+    """STM-2: the same commands replayed by the keyed stream (per-order state in
+    the state store, availableNow into a Parquet sink); must equal the batch form."""
+    import uuid
+    from stockspark.session import checkpoint_dir
+    from stockspark.streaming.lifecycle_stream import run_lifecycle_stream
+    work = f"{checkpoint_dir(spark).rstrip('/')}/streams/lifecycle-{uuid.uuid4().hex}"
+    return run_lifecycle_stream(commands(spark, sf_dir), work)

@@ -56,3 +56,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="stockspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Cut lineage by writing the frame once as Parquet under the shared
+    checkpoint folder and reading it back.
+
+    One columnar write computes the input once (an eager ``checkpoint()``
+    computes it twice unless cached, and caching wide struct rows costs more
+    than it saves); the re-read gets column pruning and filter pushdown, and
+    the files survive executor loss.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/materialized/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -19,7 +19,7 @@ from stockspark.config import CARRIERS
 from stockspark.operators.lifecycle import (ACK, ACKED, BACKORDER, BACKORDERED, CANCEL, CANCEL_ACK, DISPATCH,
                                             DISPATCHED, ORDER)
 
-OUTPUT_SCHEMA = ("order_id long, ts timestamp, seq long, command string, accepted boolean, "
+OUTPUT_SCHEMA = ("order_id long, ts {ts}, seq long, command string, accepted boolean, "
                  "state_before string, state_after string")
 STATE_SCHEMA = "status string"
 _KNOWN = {c for c, _, _ in CARRIERS}
@@ -58,7 +58,23 @@ def _replay(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
 
 
 def lifecycle_stream(commands: DataFrame) -> DataFrame:
-    """Streaming (or batch) commands -> per-command outcome, append mode."""
+    """Streaming commands -> per-command outcome, append mode."""
     cols = commands.select("order_id", "ts", "seq", "command", "carrier")
+    ts_type = cols.schema["ts"].dataType.simpleString()
     return cols.groupBy("order_id").applyInPandasWithState(
-        _replay, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _replay, OUTPUT_SCHEMA.format(ts=ts_type), STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_lifecycle_stream(commands: DataFrame, work_dir: str) -> DataFrame:
+    """Stage commands as files, replay them with the keyed stream (availableNow)
+    into a Parquet sink, and return the sink's rows. ``work_dir`` must be on
+    the shared file system (e.g. under spark.checkpoint.dir)."""
+    spark = commands.sparkSession
+    src, out, ck = f"{work_dir}/in", f"{work_dir}/out", f"{work_dir}/ckpt"
+    commands.write.mode("overwrite").parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).parquet(src)
+    q = (lifecycle_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(lifecycle_stream(stream).schema).parquet(out)

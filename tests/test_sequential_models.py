@@ -26,19 +26,26 @@ def test_lifecycle_closed_form_vs_replay(spark):
                          rnd.choice(CARRIER), "ROAD", f"T{seq}", rnd.choice(["", "late"])))
     df = spark.createDataFrame(rows, "order_id long, ts timestamp, seq long, command string, carrier string, "
                                      "service string, tracking_number string, reason string")
-    got = {(r["order_id"], r["seq"]): (r["accepted"], r["state_after"])
+    got = {(r["order_id"], r["seq"]): (r["accepted"], r["state_after"], r["state_before"])
            for r in L.replay_commands(df, n_buckets=4).collect()}
     want = {}
     for order in range(60):
         st = "ORDER"
         for r in sorted([r for r in rows if r[0] == order], key=lambda r: (r[1], r[2])):
+            before = st
             ok, st = step(st, r[3], r[4])
-            want[(order, r[2])] = (ok, st)
+            want[(order, r[2])] = (ok, st, before)
     assert got == want
     fin = {r["order_id"]: r for r in L.final_orders(L.replay_commands(df)).collect()}
     for order, r in fin.items():
         last = max((k for k in want if k[0] == order), key=lambda k: [x for x in rows if x[2] == k[1]][0][1:3])
         assert r["status"] == want[last][1]
+    # the keyed stream gives the same per-command outcome
+    import tempfile
+    from stockspark.streaming.lifecycle_stream import run_lifecycle_stream
+    streamed = {(r["order_id"], r["seq"]): (r["accepted"], r["state_after"], r["state_before"])
+                for r in run_lifecycle_stream(df, tempfile.mkdtemp(prefix="lc-")).collect()}
+    assert streamed == want
 
 
 def test_admission_vs_sequential(spark):
