@@ -330,3 +330,25 @@ def distinct_rows(spark, sf_dir):
                     F.when(F.col("l_tax") == 0, F.lit(None).cast("string")).otherwise(F.col("l_linestatus"))
                      .alias("line_status"))
     return Q.distinct_rows(sel, ["supplier", "return_flag", "line_status"])
+
+
+@query("stock_ledger_stream", f"""WITH {P_SQL},
+d AS (SELECT i.product_id, sum(-i.quantity) AS d FROM {_OPEN_ITEMS} WHERE o.status <> 'Cancelled' GROUP BY i.product_id)
+SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS INTEGER) AS quantity, p.price, p.supplier_id, p.pack_size
+FROM products p LEFT JOIN d ON d.product_id = p.id""")
+def stock_ledger_stream(spark, sf_dir):
+    """STM-3: the ledger deltas as a stream with running totals in the state store;
+    current stock = snapshot + totals (must equal the batch stock_ledger)."""
+    import uuid
+    from stockspark.session import checkpoint_dir
+    from stockspark.streaming.ledger import apply_totals, run_ledger_stream
+    t = X.Tables(spark, sf_dir)
+    p, o, i = X.book_products(t), X.book_orders(t), X.book_items(t)
+    open_ids = o.where(F.col("status") != "Cancelled").select(F.col("id").alias("_oid"))
+    deltas = i.join(open_ids, i["order_id"] == F.col("_oid"), "left_semi") \
+              .select("product_id", (-F.col("quantity")).cast("bigint").alias("delta"))
+    work = f"{checkpoint_dir(spark).rstrip('/')}/streams/ledger-{uuid.uuid4().hex}"
+    totals = run_ledger_stream(deltas, work)
+    out = apply_totals(p, totals)
+    return out.select("id", "sku", "name", F.col("quantity").cast("int").alias("quantity"), "price",
+                      "supplier_id", "pack_size")

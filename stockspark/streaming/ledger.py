@@ -18,3 +18,21 @@ def apply_totals(products: DataFrame, totals: DataFrame, key: str = "product_id"
     j = products.join(t, products["id"] == F.col("_pid"), "left")
     return j.select(*[F.col(c) for c in products.columns if c != "quantity"],
                     (F.col("quantity") + F.coalesce(F.col("delta_total"), F.lit(0))).alias("quantity"))
+
+
+def run_ledger_stream(deltas: DataFrame, work_dir: str, key: str = "product_id", delta: str = "delta") -> DataFrame:
+    """Stage delta rows as files, keep running totals in the state store
+    (complete mode; foreachBatch overwrites the totals table each micro-batch,
+    so a retried batch is idempotent) and return the totals table."""
+    spark = deltas.sparkSession
+    src, out, ck = f"{work_dir}/in", f"{work_dir}/totals", f"{work_dir}/ckpt"
+    deltas.select(key, delta).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+
+    def sink(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = (running_deltas(stream, key, delta).writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
