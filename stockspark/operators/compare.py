@@ -148,7 +148,7 @@ def key_sets(wh: DataFrame, ec: DataFrame, key: str = "key") -> dict:
     return {
         "union": a.union(b).distinct(),
         "intersect": a.intersect(b),
-        "except": b.exceptAll(a).distinct(),
+        "except": b.subtract(a),          # EXCEPT DISTINCT: planned as left anti join + distinct
     }
 
 
