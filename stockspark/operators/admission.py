@@ -18,13 +18,13 @@ checkpointed every round, so a lost executor never replays earlier rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stockspark.config import ORDER_STATUSES
 from stockspark.functions.keys import strip_ws
 from stockspark.functions.numeric import py_float
-from stockspark.operators.ordering import add_buckets, segmented_sums
+from stockspark.operators.ordering import HOT_KEY_ROWS, add_buckets, max_rows_per_key, segmented_sums
 from stockspark.session import materialize
 
 ITEM_SCHEMA = "array<struct<product_sku:string,quantity:string,price_at_order:string>>"
@@ -70,8 +70,8 @@ def parse_order_rows(rows: DataFrame, row_col: str = "row") -> tuple[DataFrame,
     return orders, lines.withColumn("line_bad", bad)
 
 
-def _prefix(d: DataFrame, values: dict) -> DataFrame:
-    return segmented_sums(d, ["pid"], ["row"], values, inclusive=False)
+def _prefix(d: DataFrame, values: dict, hot: bool) -> DataFrame:
+    return segmented_sums(d, ["pid"], ["row"], values, inclusive=False, bucket_col="_bkt" if hot else None)
 
 
 def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets: int = 64,
@@ -98,23 +98,22 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
     # statically rejected orders stay in the scan (state R, zero demand) so that
     # their lines still get the exact availability for the error message
     # sequence buckets are fixed for the whole run: computed once
-    demand = materialize(add_buckets(demand, "row", n_buckets))
+    demand = materialize(demand)
+    # products with more lines than HOT_KEY_ROWS get the two-level (bucketed) scan
+    hot = max_rows_per_key(demand, ["pid"]) > HOT_KEY_ROWS
+    if hot:
+        demand = materialize(add_buckets(demand, "row", n_buckets))
     state = cand.select("row", F.when(F.col("_first_static").isNotNull(), F.lit("R")).otherwise(F.lit("U"))
                         .alias("state"))
     state = materialize(state)
     rounds = 0
-    while True:
-        undecided = state.where(F.col("state") == "U").count()
-        if undecided == 0 or (max_rounds is not None and rounds >= max_rounds):
-            break
+    undecided = state.where(F.col("state") == "U").count()
+    while undecided > 0 and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        # only products that still have an undecided order need new prefix sums
-        # (their prefixes still run over every order of the product)
-        active = (demand.select("pid", "row").join(state.where(F.col("state") == "U"), "row", "left_semi")
-                  .select("pid").distinct())
-        d = demand.join(active, "pid", "left_semi").join(state, "row")
+        d = demand.join(state, "row")
         d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint"),
-                        "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
+                        "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")},
+                    hot)
         # the largest line of a product in the order decides (lines do not see each other)
         per = d.where(F.col("state") == "U").groupBy("row").agg(
             F.bool_and(F.col("stock") - F.col("ub") >= F.col("_maxq")).alias("_sure_ok"),
@@ -123,10 +122,13 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
                .select("row", F.when((F.col("state") == "U") & F.col("_sure_ok"), F.lit("A"))
                        .when((F.col("state") == "U") & F.col("_sure_bad"), F.lit("R"))
                        .otherwise(F.col("state")).alias("state")))
-        state = materialize(new)
+        # the undecided count of the next round is observed while writing the new state
+        obs = Observation(f"admission-round-{rounds}")
+        state = materialize(new.observe(obs, F.count_if(F.col("state") == "U").alias("u")))
+        undecided = obs.get["u"]
     # final availability per line (accepted-only prefix) -> first failing item and its message
     d = demand.join(state, "row")
-    d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
+    d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")}, hot)
     avail = d.select("pid", "row", (F.col("stock") - F.col("lb")).alias("avail"))
     li = lines.join(avail, ["pid", "row"], "left")
     fail = (F.when(F.col("line_bad"), F.lit(1)).when(F.col("pid").isNull(), F.lit(2))

@@ -161,18 +161,28 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
                    n_buckets: int = 64) -> DataFrame:
     """Per-key running aggregate in ``order_cols`` order (WIN-5 sum, WIN-6 last non-null).
 
-    Level 1: a window inside (key, bucket). Level 2: per-(key, bucket)
-    totals - at most ``n_buckets`` rows per key - scanned per key to give the
-    carry-in of each bucket. ``bucket_col`` (default: the first order column)
+    When no key has more than ``HOT_KEY_ROWS`` rows this is one window per
+    key. Otherwise - level 1: a window inside (key, bucket); level 2: per-(key,
+    bucket) totals - at most ``n_buckets`` rows per key - scanned per key to give
+    the carry-in of each bucket. ``bucket_col`` (default: the first order column)
     must be numeric and non-decreasing along ``order_cols``; its quantiles
     define the buckets, so each bucket holds ~1/n of all rows whatever the
     key skew. ``order_cols`` must be unique within a key.
     """
     keys = list(keys)
     order_cols = list(order_cols)
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    if max_rows_per_key(df, keys) <= HOT_KEY_ROWS:
+        # no hot key: one window per key is cheaper than the two-level scan
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(*frame)
+        v = F.col(value_col)
+        agg = F.sum(v) if how == "sum" else F.last(v, ignorenulls=True)
+        res = agg.over(w)
+        if how == "sum":
+            res = F.coalesce(res, F.lit(0).cast(df.schema[value_col].dataType))
+        return df.withColumn(out, res)
     bcol = bucket_col or order_cols[0]
     d = df.withColumn("_bkt", sequence_buckets(df, bcol, n_buckets))
-    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     wl = Window.partitionBy(*keys, "_bkt").orderBy(*order_cols).rowsBetween(*frame)
     wc = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     v = F.col(value_col)
@@ -195,6 +205,18 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     return d.withColumn(out, res).drop("_bkt", "_loc", "_carry")
 
 
+# A key with more rows than this is "hot": its running aggregates are split over
+# sequence buckets. Cooler keys use one window per key (one task holds at most
+# this many rows of a key, which a window buffers and spills comfortably).
+HOT_KEY_ROWS = 200_000
+
+
+def max_rows_per_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key group (one aggregate; only a number reaches the driver)."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(r or 0)
+
+
 def add_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64, out: str = "_bkt") -> DataFrame:
     """Attach the quantile bucket of ``seq_col`` once, for repeated scans."""
     return df.withColumn(out, sequence_buckets(df, seq_col, n_buckets))
@@ -202,16 +224,21 @@ def add_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64, out: str = "_b
 
 def segmented_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], values: dict,
                    inclusive: bool = False, bucket_col: str = "_bkt") -> DataFrame:
-    """Several running sums per key in one two-level scan; ``bucket_col`` must
-    already hold a bucket index that is non-decreasing along ``order_cols``
-    (see ``add_buckets``)."""
+    """Several running sums per key. With ``bucket_col`` (a bucket index that is
+    non-decreasing along ``order_cols``, see ``add_buckets``) it is the two-level
+    scan for hot keys; with ``bucket_col=None`` one window per key."""
     keys = list(keys)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    wl = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols).rowsBetween(*frame)
-    wc = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     d = df
     for name, col in values.items():
         d = d.withColumn(f"_v_{name}", col)
+    if bucket_col is None:
+        # no hot key: one window per key
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(*frame)
+        d = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)).alias(n) for n in values])
+        return d.drop(*[f"_v_{n}" for n in values])
+    wl = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols).rowsBetween(*frame)
+    wc = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", *[F.sum(f"_v_{n}").over(wl).alias(f"_l_{n}") for n in values])
     tot = d.groupBy(*keys, bucket_col).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     carry = tot.select(*keys, bucket_col, *[F.sum(f"_t_{n}").over(wc).alias(f"_c_{n}") for n in values])

@@ -14,7 +14,22 @@ CMDS = ["acknowledge", "backorder", "dispatch", "cancel", "refund"]
 CARRIER = ["TOLL", "STARTRACK", "DHL", "AUSPOST_PARCEL"]
 
 
-def test_lifecycle_closed_form_vs_replay(spark):
+import pytest
+
+import stockspark.operators.admission as admission_mod
+import stockspark.operators.ordering as ordering_mod
+
+
+@pytest.fixture(params=["plain", "hot"])
+def hot_mode(request, monkeypatch):
+    """Run once with the per-key window and once forcing the two-level bucketed scan."""
+    if request.param == "hot":
+        monkeypatch.setattr(ordering_mod, "HOT_KEY_ROWS", 0)
+        monkeypatch.setattr(admission_mod, "HOT_KEY_ROWS", 0)
+    return request.param
+
+
+def test_lifecycle_closed_form_vs_replay(spark, hot_mode):
     rnd = random.Random(7)
     rows = []
     t0 = dt.datetime(2024, 1, 1)
@@ -48,7 +63,7 @@ def test_lifecycle_closed_form_vs_replay(spark):
     assert streamed == want
 
 
-def test_admission_vs_sequential(spark):
+def test_admission_vs_sequential(spark, hot_mode):
     rnd = random.Random(3)
     for trial in range(3):
         skus = [f"S{i}" for i in range(6)]
