@@ -70,69 +70,37 @@ def _leaf_columns(df: DataFrame, order_cols: Sequence) -> list:
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "row_num",
-                      n_buckets: int | None = None, sample_rows: int = 100,
-                      materialize: bool = True) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """WIN-3/WIN-4: dense 1-based row number over a total order, without a
-    single-partition window and without cutting lineage.
-
-    Range boundaries of the (flattened) order key are taken once from a small
-    sample (``n_buckets - 1`` rows reach the driver) and embedded as literals,
-    so every row's bucket is a pure function of the row: a recomputed task
-    after an executor loss lands in the same bucket. Per-bucket counts (one
-    row per bucket, broadcast) give the offsets; a window per bucket numbers
-    the rows inside it. Buckets hold ~N/n rows whatever the key skew, as long
-    as the order is total.
-
-    ``materialize`` writes the input once to the shared checkpoint folder
-    first, so the count, the boundary sample and the numbering read it
-    instead of re-running an expensive upstream plan three times.
+    single-partition window.
+
+    Rows are range-partitioned on the (flattened) order key into
+    ``spark.sql.shuffle.partitions`` partitions (sized for the data, as for
+    any shuffle), sorted inside each, and tagged with their partition and
+    position. That tagged frame is materialised once (Parquet in the shared
+    checkpoint folder): Spark's range partitioner samples with a seed tied to
+    the RDD, so re-running it could move boundaries - the written tags make the
+    counts and the numbering agree, also after executor loss. Offsets are one
+    row per partition (broadcast).
     """
     spark = df.sparkSession
-    n = n_buckets or max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     leaves = _leaf_columns(df, order_cols)
     names = [f"_o{i}" for i in range(len(leaves))]
-    total = None
-    if materialize:
-        from pyspark.sql import Observation
-        obs = Observation("rows")
-        df = materialize_df(df.observe(obs, F.count(F.lit(1)).alias("n")))
-        total = obs.get["n"]          # counted while writing, no extra job
     d = df.select("*", *[e.alias(nm) for (e, _), nm in zip(leaves, names)])
-    if total is None:
-        total = d.count()
-    okey = F.struct(*[F.col(nm) for nm in names])
-    bounds = []
-    if total and n > 1:
-        frac = min(1.0, float(n * sample_rows) / total)
-        smp = [tuple(r) for r in d.select(*names).sample(fraction=frac, seed=17).collect()]
-        # the sample is bounded (~n * sample_rows rows): sort it on the driver in
-        # Spark's order (nulls first, NaN last)
-        def sk(row):
-            return tuple((v is not None, isinstance(v, float) and v != v, v if not (isinstance(v, float) and v != v)
-                          else 0) for v in row)
-        smp.sort(key=sk)
-        if smp:
-            step_ = len(smp) / n
-            for i in range(1, n):
-                r = smp[int(i * step_)]
-                if not bounds or r != bounds[-1]:
-                    bounds.append(r)
-    lits = [F.struct(*[F.lit(v).cast(t).alias(nm) for v, (_, t), nm in zip(r, leaves, names)]) for r in bounds]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(okey < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    d = d.withColumn("_bkt", tree(0, len(lits)) if lits else F.lit(0))
-    counts = d.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    wr = Window.partitionBy("_bkt").orderBy(*[F.col(nm) for nm in names])
-    res = d.withColumn("_rn", F.row_number().over(wr)).join(F.broadcast(offsets), "_bkt")
-    return res.withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint")) \
-              .drop("_bkt", "_rn", "_off", *names)
+    oc = [F.col(nm) for nm in names]
+    ranged = (d.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_local", F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+              .drop(*names))
+    ranged = materialize_df(ranged)
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    res = ranged.join(F.broadcast(offsets), "_pid")
+    return res.withColumn(out, (F.col("_off") + F.col("_local") + 1).cast("bigint")) \
+              .drop("_pid", "_local", "_off")
 
 
 def sequence_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64,
