@@ -37,6 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +73,19 @@ def materialize(df):
     path = f"{checkpoint_dir(spark).rstrip('/')}/materialized/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``stockspark`` importable in Python workers (pandas UDFs, grouped
+    state functions): zip the package once per application and hand it to
+    ``SparkContext.addPyFile``, which distributes it with the job."""
+    import shutil
+    sc = spark.sparkContext
+    if getattr(sc, "_stockspark_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="stockspark-pyfiles-")
+    archive = shutil.make_archive(os.path.join(staging, "stockspark"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="stockspark")
+    sc.addPyFile(archive)
+    sc._stockspark_shipped = True
