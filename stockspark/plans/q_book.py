@@ -275,3 +275,43 @@ def top_order_totals(spark, sf_dir):
     """SRT-6: top-100 orders by total (limit is the feature; unique tie-break on id)."""
     _, _, o, i = _t(spark, sf_dir)
     return B.order_totals(o, i).orderBy(F.col("total").desc(), F.col("id").asc()).limit(100)
+
+
+@query("orders_lookup_returned", f"""WITH {P_SQL}
+SELECT * FROM orders_b WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def orders_lookup_returned(spark, sf_dir):
+    """FLT-10: key lookup as a semi join against a key list (orders with returned lines)."""
+    t = X.Tables(spark, sf_dir)
+    keys = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("_k"))
+    o = X.book_orders(t)
+    return o.join(keys, o["id"] == F.col("_k"), "left_semi")
+
+
+@query("orders_money_rank", f"""WITH {P_SQL},
+t AS (SELECT o.id, CAST(COALESCE(sum({LINE}), 0) AS DOUBLE) AS total
+      FROM orders_b o LEFT JOIN items i ON i.order_id = o.id GROUP BY o.id)
+SELECT id, printf('$%,.2f', total) AS total_text,
+       row_number() OVER (ORDER BY total, id) AS money_rank FROM t""")
+def orders_money_rank(spark, sf_dir):
+    """SRT-3 + WIN-3: totals shown as money text ('$1,234.50'), ordered by their
+    money value (not the text) and numbered globally."""
+    from stockspark.functions.numeric import money
+    from stockspark.operators.ordering import global_row_number
+    _, _, o, i = _t(spark, sf_dir)
+    t = B.order_totals(o, i).select("id", F.format_string("$%,.2f", F.col("total")).alias("total_text"))
+    ranked = global_row_number(t.withColumn("_m", money("total_text")), ["_m", "id"], "money_rank")
+    return ranked.drop("_m")
+
+
+@query("parts_typed_sort_rank", """
+SELECT p_partkey, CAST(p_size AS VARCHAR) AS size_text,
+       row_number() OVER (ORDER BY p_size, p_partkey) AS size_rank FROM part""")
+def parts_typed_sort_rank(spark, sf_dir):
+    """SRT-1 + WIN-3: a text column whose values all parse as numbers sorts numerically
+    ('9' before '10'); the sort is numbered globally."""
+    from stockspark.operators.ordering import global_row_number, typed_sort_key
+    p = X.Tables(spark, sf_dir).part.select("p_partkey", F.col("p_size").cast("string").alias("size_text"))
+    key = typed_sort_key(p, "size_text")
+    ranked = global_row_number(p.select("*", *[k.alias(f"_k{j}") for j, k in enumerate(key)]),
+                               [f"_k{j}" for j in range(len(key))] + ["p_partkey"], "size_rank")
+    return ranked.drop(*[f"_k{j}" for j in range(len(key))])
