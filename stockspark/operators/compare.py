@@ -168,20 +168,28 @@ def _strict_int(c: str, side: str) -> Column:
 
 
 def compare_v3(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> DataFrame:
-    """(vendor_id, sku, qty_A, qty_B, Status); duplicates are not removed (m x n)."""
+    """(vendor_id, sku, qty_A, qty_B, Status); duplicates are not removed (m x n).
+
+    The full outer join is planned as inner join UNION ALL both anti joins:
+    the same rows, but each part is a join type AQE can split when one key is
+    hot (Spark does not split skewed full outer joins), and the three joins
+    reuse the same key exchanges.
+    """
     def prep(df, cols, side, qname):
         vc, sc, qc = cols
         return df.select(_strict_int(vc, side).alias("vendor_id"),
                          F.coalesce(F.col(sc).cast("string"), F.lit("nan")).alias("sku"),
-                         _strict_int(qc, side).alias(qname), F.lit(True).alias(f"_in_{side}"))
+                         _strict_int(qc, side).alias(qname))
     x = prep(a, a_cols, "A", "qty_A")
     y = prep(b, b_cols, "B", "qty_B")
-    j = x.join(y, ["vendor_id", "sku"], "full")
-    qa = F.coalesce(F.col("qty_A"), F.lit(0).cast("bigint"))
-    qb = F.coalesce(F.col("qty_B"), F.lit(0).cast("bigint"))
-    status = (F.when(F.col("_in_B").isNull(), V3_ONLY_A).when(F.col("_in_A").isNull(), V3_ONLY_B)
-              .when(qa == qb, V3_MATCHED).otherwise(V3_MISMATCHED))
-    return j.select("vendor_id", "sku", qa.alias("qty_A"), qb.alias("qty_B"), status.alias("Status"))
+    keys = ["vendor_id", "sku"]
+    zero = F.lit(0).cast("bigint")
+    both = x.join(y, keys, "inner").select(
+        *keys, "qty_A", "qty_B",
+        F.when(F.col("qty_A") == F.col("qty_B"), V3_MATCHED).otherwise(V3_MISMATCHED).alias("Status"))
+    only_a = x.join(y, keys, "left_anti").select(*keys, "qty_A", zero.alias("qty_B"), F.lit(V3_ONLY_A).alias("Status"))
+    only_b = y.join(x, keys, "left_anti").select(*keys, zero.alias("qty_A"), "qty_B", F.lit(V3_ONLY_B).alias("Status"))
+    return both.unionByName(only_a).unionByName(only_b)
 
 
 def view_filter_v3(df: DataFrame, status: str = "All Results", vendor: str = "", sku: str = "",
