@@ -45,3 +45,9 @@ def test_book_scans_are_pruned(spark):
     plan = plan_of(E.queries()["order_totals"](spark, SF))
     li = [line for line in plan.splitlines() if "lineitem.parquet" in line]
     assert li and all("l_shipdate" not in line.split("ReadSchema:")[1] for line in li if "ReadSchema:" in line)
+
+
+def test_v1_join_reuses_aggregate_partitioning(spark):
+    plan = plan_of(E.queries()["v1_compare"](spark, SF))
+    # one hash exchange per side (the keep-last aggregate); the full outer join reuses it
+    assert plan.count("Exchange hashpartitioning(key") == 2
