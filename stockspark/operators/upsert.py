@@ -11,7 +11,6 @@ them (new snapshot, then swap) is the caller's transaction.
 
 from __future__ import annotations
 
-from typing import Optional
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
