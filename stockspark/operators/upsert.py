@@ -80,20 +80,18 @@ def upsert_suppliers(existing: DataFrame, batch: DataFrame, row_col: str = "row"
 
 # ------------------------------------------------------------------------------ products
 
-def validate_products(batch: DataFrame, policy: ImportPolicy = ImportPolicy(), row_col: str = "row") -> DataFrame:
-    """DML-3 row checks; adds quantity/price values and an ``error`` text (null when valid)."""
+def _validate_core(batch: DataFrame, policy: ImportPolicy, keep) -> DataFrame:
+    """DML-3 row checks without the message text: values plus an error code
+    (1 sku/name missing, 2 bad quantity, 3 bad price; null when valid)."""
     sku = strip_ws(F.coalesce(F.col("sku").cast("string"), F.lit("")))
     name = strip_ws(F.coalesce(F.col("name").cast("string"), F.lit("")))
     qcol = "quantity" if "quantity" in batch.columns else "qty"
     q = py_int(F.col(qcol))
     p = py_float(F.col("price"))
-    row = F.col(row_col)
     q_bad = q.isNull() | (F.lit(policy.enforce_quantity_ge_zero) & (q < 0))
     # Spark orders NaN above every number; Python's nan > 0 is False.
     p_bad = p.isNull() | (F.lit(policy.enforce_price_gt_zero) & ~((p > 0) & ~F.isnan(p)))
-    err = (F.when((sku == "") | (name == ""), F.format_string("Row %d: 'sku' and 'name' required.", row))
-           .when(q_bad, F.format_string("Row %d (SKU %s): invalid 'quantity' (>=0).", row, sku))
-           .when(p_bad, F.format_string("Row %d (SKU %s): invalid 'price' (>0).", row, sku)))
+    code = F.when((sku == "") | (name == ""), 1).when(q_bad, 2).when(p_bad, 3)
     q_val = q if policy.enforce_quantity_ge_zero else F.when(q < 0, F.lit(0).cast("bigint")).otherwise(q)
     p_val = p if policy.enforce_price_gt_zero else F.when((p <= 0) & ~F.isnan(p), F.lit(0.01)).otherwise(p)
     if policy.forced_supplier is not None:
@@ -106,9 +104,33 @@ def validate_products(batch: DataFrame, policy: ImportPolicy = ImportPolicy(), r
     else:
         pack_set = raw_pack != ""          # blank keeps the current pack
     pack_val = F.when(raw_pack.isin(*PACK_SIZES), raw_pack)
-    return batch.select(F.col(row_col).alias("row"), sku.alias("sku"), name.alias("name"),
-                        q_val.cast("int").alias("quantity"), p_val.alias("price"), sup.alias("supplier"),
-                        pack_set.alias("_pack_set"), pack_val.alias("_pack"), err.alias("error"))
+    return batch.select(*keep, sku.alias("sku"), name.alias("name"), q_val.cast("int").alias("quantity"),
+                        p_val.alias("price"), sup.alias("supplier"), pack_set.alias("_pack_set"),
+                        pack_val.alias("_pack"), code.alias("_err"))
+
+
+def _with_messages(v: DataFrame) -> DataFrame:
+    row, sku, code = F.col("row"), F.col("sku"), F.col("_err")
+    err = (F.when(code == 1, F.format_string("Row %d: 'sku' and 'name' required.", row))
+           .when(code == 2, F.format_string("Row %d (SKU %s): invalid 'quantity' (>=0).", row, sku))
+           .when(code == 3, F.format_string("Row %d (SKU %s): invalid 'price' (>0).", row, sku)))
+    return v.withColumn("error", err).drop("_err")
+
+
+def validate_products(batch: DataFrame, policy: ImportPolicy = ImportPolicy(), row_col: str = "row") -> DataFrame:
+    """DML-3 row checks; adds quantity/price values and an ``error`` text (null when valid)."""
+    return _with_messages(_validate_core(batch, policy, [F.col(row_col).alias("row")]))
+
+
+def _validated(batch: DataFrame, policy: ImportPolicy, row_col: str, order_col: str) -> DataFrame:
+    """Validated batch, materialised once. Without a row-number column, rows are
+    numbered in file order (WIN-4) after validation - numbering materialises
+    the frame, so the batch is written once."""
+    if row_col in batch.columns:
+        return _with_messages(materialize(_validate_core(batch, policy, [F.col(row_col).alias("row")])))
+    core = _validate_core(batch, policy, [F.col(order_col)])
+    numbered = global_row_number(core, [order_col], "row")
+    return _with_messages(numbered.drop(order_col))
 
 
 def resolve_suppliers(valid: DataFrame, suppliers: DataFrame):
@@ -128,18 +150,20 @@ def resolve_suppliers(valid: DataFrame, suppliers: DataFrame):
 
 
 def upsert_products(products: DataFrame, suppliers: DataFrame, batch: DataFrame,
-                    policy: ImportPolicy = ImportPolicy(), row_col: str = "row"):
+                    policy: ImportPolicy = ImportPolicy(), row_col: str = "row", order_col: str = "_ord"):
     """DML-2/3/4 as one job. Returns (products, suppliers, errors, log).
 
+    ``batch`` carries either 1-based file row numbers (``row_col``) or a file
+    order column (``order_col``) from which they are numbered.
+
     Closed form per sku over its valid rows in file order: quantity = last row;
     name/price/supplier = last row when updatable, else the current value (or the
     first row's for a new sku); pack = last row that sets it (the inserting row
     always sets; valid -> value, invalid -> null), else the current pack.
     """
-    # the validated batch feeds several outputs and the id assignment: materialise
-    # it once in the shared checkpoint folder (reliable, survives executor loss)
-    checkpoint_dir(batch.sparkSession)
-    v = materialize(validate_products(batch, policy, row_col))
+    # the validated batch feeds several outputs and the id assignment: it is
+    # materialised once in the shared checkpoint folder (survives executor loss)
+    v = _validated(batch, policy, row_col, order_col)
     errors = v.where(F.col("error").isNotNull()).select("row", "sku", F.col("error").alias("message"))
     valid = v.where(F.col("error").isNull()).drop("error")
     valid, new_suppliers = resolve_suppliers(valid, suppliers)

@@ -17,8 +17,8 @@ from stockspark.plans.sqlkit import LI_ORDER_ASC, strip
 
 
 def product_batch(spark, sf_dir):
-    """Import file rows (sku, name, quantity, price, supplier, pack_size as text)
-    from lineitem x part, with the bad cells the import must reject."""
+    """Import file rows (sku, name, quantity, price, supplier, pack_size as text, plus
+    the file order) from lineitem x part, with the bad cells the import must reject."""
     t = X.Tables(spark, sf_dir)
     p = t.part.select("p_partkey", "p_name", "p_retailprice")
     li = t.lineitem.join(p, F.col("l_partkey") == F.col("p_partkey"))
@@ -36,9 +36,8 @@ def product_batch(spark, sf_dir):
            .otherwise(F.format_string("Supplier#%09d", F.col("l_suppkey"))))
     pack = (F.when(ln == 1, "Small").when(ln == 2, " medium ").when(ln == 3, "").when(ln == 4, "huge")
             .when(ln == 5, F.lit(None).cast("string")).when(ln == 6, "LARGE").otherwise("bulky"))
-    b = li.select(sku.alias("sku"), name.alias("name"), qty.alias("quantity"), price.alias("price"),
-                  sup.alias("supplier"), pack.alias("pack_size"), X.li_ord())
-    return U.number_rows(b, "_ord", "row")
+    return li.select(sku.alias("sku"), name.alias("name"), qty.alias("quantity"), price.alias("price"),
+                     sup.alias("supplier"), pack.alias("pack_size"), X.li_ord())
 
 
 def _products_suppliers(spark, sf_dir):
