@@ -15,6 +15,9 @@ LI_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedp
             "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
+SPREAD_MIN_BYTES = 1024 * 1024
+
+
 class Tables:
     """Lazy parquet readers for one scale-factor folder.
 
@@ -35,7 +38,9 @@ class Tables:
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         slots = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # small tables (broadcast candidates) are left alone: spreading them only adds a shuffle
+        if size > SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < slots:
             df = df.repartition(slots)
         return df
 
