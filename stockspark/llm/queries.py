@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stockspark.llm import sentence_pieces, token_store
+from stockspark.llm import pii, sentence_pieces, token_store
 
 QUERIES = {
     "op2_token_store": token_store.op2,
+    "op4_pii": pii.op4,
     "op7_sentence_pieces": sentence_pieces.op7,
 }
 
