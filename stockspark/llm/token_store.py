@@ -35,8 +35,7 @@ from stockspark.llm.common import prepare, scratch_path, shuffle_width
 
 SEGMENT_TOKENS = 1 << 18
 RANK_BITS = 512
-CACHE_ENTRIES = 1_000_000  # about 200 MB in a worker
-_CACHES: dict[str, dict[str, bytes]] = {}  # a Python worker keeps them from task to task
+CACHE_ENTRIES = 150_000  # in each of two generations: about 60 MB in a worker
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -115,18 +114,39 @@ class CachedEncoder:
     always starts a new piece, so a text may be cut there and its parts encoded
     on their own with the same ids. Parts that recur are looked up. Runs of
     several white-space characters stay whole with their neighbours.
+
+    Recently seen parts are kept in two generations, so that rare ones leave
+    and frequent ones stay. A part that is one run of letters, with or without
+    punctuation after it, is cut by the splitter in the obvious places and goes
+    straight to the library's merge model; other parts take its whole path.
+    Tokenizers of another kind encode whole texts.
     """
 
     _RUN = re.compile(r"(\S*\s{2,}\S*)")
+    _TAIL = ".,;:!?&$%#*|()[]\"-"
 
     def __init__(self, tokenizer_path: str):
+        import json
+        import os
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
         self._tok.encode_special_tokens = True
-        self._known = _CACHES.setdefault(tokenizer_path, {})
+        self._model = self._tok.model
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
+        self._byte_level = (spec["normalizer"] is None and pre.get("type") == "ByteLevel"
+                            and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        # the splitter's printable stand-in of each byte: itself if printable, else from U+0100 up
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (b for b in range(256) if b not in set(shown))
+        self._shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
-        if "\0" in text:
+        if "\0" in text or not self._byte_level:
             return [text]
         out: list[str] = []
         for i, piece in enumerate(self._RUN.split(text)):
@@ -136,19 +156,40 @@ class CachedEncoder:
                 out += piece.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return out
 
+    def _merge(self, piece: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._shown))]
+
+    def _encode_part(self, part: str) -> bytes:
+        word = part.rstrip(self._TAIL)
+        body = word[1:] if word[:1] == " " else word
+        if self._byte_level and body.isalpha():
+            tail = part[len(word):]
+            ids = self._merge(word) + (self._merge(tail) if tail else [])
+        else:
+            ids = self._tok.encode(part, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        known = self._known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
+        young, old = self._young, self._old
+        if len(young) > CACHE_ENTRIES:
+            young, old = self._young, self._old = {}, young
         split = [self._parts(t) for t in texts]
         new: set[str] = set()
         for parts in split:
-            new.update(p for p in parts if p not in known)
-        fresh = list(new)
-        for part, got in zip(fresh, self._tok.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[part] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in split]
+            new.update(p for p in parts if p not in young)
+        for part in new:
+            young[part] = old.get(part) or self._encode_part(part)
+        return [b"".join([young[p] for p in parts]) for parts in split]
+
+
+_ENCODERS: dict[str, CachedEncoder] = {}  # a Python worker keeps them from task to task
+
+
+def cached_encoder(tokenizer_path: str) -> CachedEncoder:
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = CachedEncoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 # ----------------------------------------------------------------- writing
@@ -166,7 +207,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
         import pyarrow as pa
         from pyspark import TaskContext
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = CachedEncoder(tokenizer_path)
+        encoder = cached_encoder(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         ids: list[bytes] = []
         doc_ids: list = []
