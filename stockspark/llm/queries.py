@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from stockspark.llm import pii, sentence_pieces, token_store
+from stockspark.llm import pii, quality, sentence_pieces, token_store
 
 QUERIES = {
     "op2_token_store": token_store.op2,
     "op4_pii": pii.op4,
+    "op5_quality": quality.op5,
     "op7_sentence_pieces": sentence_pieces.op7,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality": quality.OP5_SQL,
+}

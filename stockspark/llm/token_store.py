@@ -122,7 +122,7 @@ class CachedEncoder:
     Tokenizers of another kind encode whole texts.
     """
 
-    _RUN = re.compile(r"(\S*\s{2,}\S*)")
+    _RUN = re.compile(r"( ?\S*\s{2,}\S*)")
     _TAIL = ".,;:!?&$%#*|()[]\"-"
 
     def __init__(self, tokenizer_path: str):
