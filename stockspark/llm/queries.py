@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stockspark.llm import pii, quality, sentence_pieces, token_store
+from stockspark.llm import decontaminate, pii, quality, sentence_pieces, token_store
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1,
     "op2_token_store": token_store.op2,
     "op4_pii": pii.op4,
     "op5_quality": quality.op5,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op5_quality": quality.OP5_SQL,
 }
