@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockspark.llm import decontaminate, pii, quality, sentence_pieces, token_store
+from stockspark.llm import decontaminate, near_dup, pii, quality, sentence_pieces, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pii": pii.op4,
     "op5_quality": quality.op5,
     "op7_sentence_pieces": sentence_pieces.op7,
+    "op8_near_dup": near_dup.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {
