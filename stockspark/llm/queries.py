@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stockspark.llm import decontaminate, near_dup, pii, quality, sentence_pieces, token_store
+from stockspark.llm import decontaminate, near_dup, pii, quality, sentence_pieces, substring_dup, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
     "op2_token_store": token_store.op2,
     "op4_pii": pii.op4,
     "op5_quality": quality.op5,
+    "op6_substring_dedup": substring_dup.op6,
     "op7_sentence_pieces": sentence_pieces.op7,
     "op8_near_dup": near_dup.op8,
 }
