@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockspark.llm import decontaminate, near_dup, pii, quality, sentence_pieces, substring_dup, token_store
+from stockspark.llm import decontaminate, maxent_lm, near_dup, pii, quality, sentence_pieces, substring_dup, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dup.op6,
     "op7_sentence_pieces": sentence_pieces.op7,
     "op8_near_dup": near_dup.op8,
+    "op10_maxent_lm": maxent_lm.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
