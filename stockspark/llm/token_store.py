@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +36,7 @@ from stockspark.llm.common import prepare, scratch_path, shuffle_width
 
 SEGMENT_TOKENS = 1 << 18
 RANK_BITS = 512
-CACHE_ENTRIES = 150_000  # in each of two generations: about 60 MB in a worker
+CACHE_ENTRIES = 400_000  # in each of two generations: about 160 MB in a worker
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -122,6 +123,7 @@ class CachedEncoder:
     Tokenizers of another kind encode whole texts.
     """
 
+    _TWO = re.compile(r"\s\s")
     _RUN = re.compile(r"( ?\S*\s{2,}\S*)")
     _TAIL = ".,;:!?&$%#*|()[]\"-"
 
@@ -142,32 +144,49 @@ class CachedEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(shown))
         self._shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+        self._space = chr(self._shown[32])
+        self._tails: dict[str, bytes] = {}
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
         if "\0" in text or not self._byte_level:
             return [text]
+        if not self._TWO.search(text):
+            return self._cut(text)
         out: list[str] = []
         for i, piece in enumerate(self._RUN.split(text)):
-            if i % 2:
-                out.append(piece)
-            else:
-                out += piece.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            out += [piece] if i % 2 else self._cut(piece)
         return out
 
-    def _merge(self, piece: str) -> list[int]:
-        return [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._shown))]
+    @staticmethod
+    def _cut(piece: str) -> list[str]:
+        return piece.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _merge(self, piece: str) -> bytes:
+        if piece.isascii():
+            shown = piece.replace(" ", self._space)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self._shown)
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _encode_part(self, part: str) -> bytes:
         word = part.rstrip(self._TAIL)
         body = word[1:] if word[:1] == " " else word
         if self._byte_level and body.isalpha():
+            ids = self._young.get(word) or self._old.get(word)
+            if ids is None:
+                ids = self._young[word] = self._merge(word)
             tail = part[len(word):]
-            ids = self._merge(word) + (self._merge(tail) if tail else [])
-        else:
-            ids = self._tok.encode(part, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+            if tail:
+                more = self._tails.get(tail)
+                if more is None:
+                    more = self._tails[tail] = self._merge(tail)
+                ids += more
+                if len(self._tails) > 10_000:
+                    self._tails.clear()
+            return ids
+        return array("I", self._tok.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -177,8 +196,8 @@ class CachedEncoder:
         split = [self._parts(t) for t in texts]
         new: set[str] = set()
         for parts in split:
-            new.update(p for p in parts if p not in young)
-        for part in new:
+            new.update(parts)
+        for part in new.difference(young):
             young[part] = old.get(part) or self._encode_part(part)
         return [b"".join([young[p] for p in parts]) for parts in split]
 
