@@ -26,6 +26,7 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stockspark.llm.common import documents, prepare
 
@@ -331,6 +332,22 @@ def decode(tokens: DataFrame, model_path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def with_ids(docs: DataFrame, model_path: str) -> DataFrame:
+    """All columns of ``docs`` plus n_tokens, ids (array<int>) and decoded_chars (code
+    points of the text that the ids decode to); these replace columns of such names."""
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("n_tokens long, ids array<int>, decoded_chars long")
+    def run(texts):
+        import pandas as pd
+        m = model(model_path)
+        ids = m.encode([t or "" for t in texts])
+        return pd.DataFrame({"n_tokens": [len(x) for x in ids], "ids": ids, "decoded_chars": [len(t) for t in m.decode(ids)]})
+
+    made = docs.withColumn("_pieces", run(docs["text"]))
+    return made.withColumns({c: F.col(f"_pieces.{c}") for c in ("n_tokens", "ids", "decoded_chars")}).drop("_pieces")
+
+
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded again in one pass."""
     prepare(docs.sparkSession)
