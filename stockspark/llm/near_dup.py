@@ -256,7 +256,8 @@ def components(docs: DataFrame) -> DataFrame:
     more = save(verified(rest, docs), "links")
     roots = save(connect(links.unionByName(more)), "roots")
     return (members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles",
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
