@@ -49,10 +49,8 @@ def whole_number(c, rule: str = "round", clamp_negative: bool = False) -> Column
         w = F.ceil(v)
     else:
         w = F.bround(v, 0)
-    w = w.cast("bigint")
-    if clamp_negative:
-        w = F.greatest(w, F.lit(0).cast("bigint"))
-    return w.cast("int")
+    w = F.coalesce(w.try_cast("bigint"), F.lit(0).cast("bigint"))  # beyond 64 bits is no quantity
+    return F.greatest(w, F.lit(0).cast("bigint")) if clamp_negative else w
 
 
 def clamp_negative(c) -> Column:
@@ -81,7 +79,7 @@ def strict_int(c) -> Column:
 
 def money(c) -> Column:
     """SRT-3 helper: text money ($1,234.50) to double."""
-    return F.regexp_replace(_as_col(c).cast("string"), r"[$,]", "").try_cast("double")
+    return parse_number(F.regexp_replace(_as_col(c).cast("string"), r"[$,]", ""))
 
 
 _PYINT_RE = r"^\s*[+-]?\d(_?\d)*\s*$"

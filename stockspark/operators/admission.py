@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stockspark.config import ORDER_STATUSES
 from stockspark.functions.keys import strip_ws
 from stockspark.functions.numeric import py_float
-from stockspark.operators.ordering import HOT_KEY_ROWS, add_buckets, max_rows_per_key, segmented_sums
+from stockspark.operators.ordering import add_buckets, segmented_sums
 from stockspark.session import materialize
 
 ITEM_SCHEMA = "array<struct<product_sku:string,quantity:string,price_at_order:string>>"
@@ -70,16 +70,15 @@ def parse_order_rows(rows: DataFrame, row_col: str = "row") -> tuple[DataFrame,
     return orders, lines.withColumn("line_bad", bad)
 
 
-def _prefix(d: DataFrame, values: dict, hot: bool) -> DataFrame:
-    return segmented_sums(d, ["pid"], ["row"], values, inclusive=False, bucket_col="_bkt" if hot else None)
+def _prefix(d: DataFrame, values: dict) -> DataFrame:
+    return segmented_sums(d, ["pid"], ["row"], values, inclusive=False)
 
 
-def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets: int = 64,
-          max_rounds: int | None = None):
+def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets: int | None = None):
     """Run the admission. ``products``: id, sku, quantity.
 
     Returns (decisions, stock) where decisions has one row per input row
-    (row, customer_name, status, admitted, error, rounds) and stock is
+    (row, customer_name, status, admitted, error) and stock is
     (id, sku, quantity) after the admitted orders.
     """
     orders, lines = parse_order_rows(rows, row_col)
@@ -99,21 +98,17 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
     # their lines still get the exact availability for the error message
     # sequence buckets are fixed for the whole run: computed once
     demand = materialize(demand)
-    # products with more lines than HOT_KEY_ROWS get the two-level (bucketed) scan
-    hot = max_rows_per_key(demand, ["pid"]) > HOT_KEY_ROWS
-    if hot:
-        demand = materialize(add_buckets(demand, "row", n_buckets))
+    demand = add_buckets(demand, "row", n_buckets)
     state = cand.select("row", F.when(F.col("_first_static").isNotNull(), F.lit("R")).otherwise(F.lit("U"))
                         .alias("state"))
     state = materialize(state)
     rounds = 0
     undecided = state.where(F.col("state") == "U").count()
-    while undecided > 0 and (max_rounds is None or rounds < max_rounds):
+    while undecided > 0:
         rounds += 1
         d = demand.join(state, "row")
         d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint"),
-                        "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")},
-                    hot)
+                        "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
         # the largest line of a product in the order decides (lines do not see each other)
         per = d.where(F.col("state") == "U").groupBy("row").agg(
             F.bool_and(F.col("stock") - F.col("ub") >= F.col("_maxq")).alias("_sure_ok"),
@@ -128,7 +123,7 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
         undecided = obs.get["u"]
     # final availability per line (accepted-only prefix) -> first failing item and its message
     d = demand.join(state, "row")
-    d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")}, hot)
+    d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
     avail = d.select("pid", "row", (F.col("stock") - F.col("lb")).alias("avail"))
     li = lines.join(avail, ["pid", "row"], "left")
     fail = (F.when(F.col("line_bad"), F.lit(1)).when(F.col("pid").isNull(), F.lit(2))
@@ -144,8 +139,7 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
                                                          F.col("_f.avail"))))
     dec = (orders.join(state, "row", "left").join(first_fail, "row", "left")
            .select("row", "customer_name", "status", F.coalesce(F.col("state") == "A", F.lit(False)).alias("admitted"),
-                   F.coalesce(F.col("header_error"), F.when(F.col("state") != "A", msg)).alias("error"),
-                   F.lit(rounds).alias("rounds")))
+                   F.coalesce(F.col("header_error"), F.when(F.col("state") != "A", msg)).alias("error")))
     used = demand.join(state.where(F.col("state") == "A"), "row").groupBy("pid").agg(F.sum("dq").alias("_u"))
     stock = products.join(used, products["id"] == used["pid"], "left").select(
         "id", "sku", (F.col("quantity") - F.coalesce(F.col("_u"), F.lit(0))).cast("bigint").alias("quantity"))

@@ -167,6 +167,13 @@ def _strict_int(c: str, side: str) -> Column:
         F.coalesce(v, F.lit(0.0)).try_cast("bigint"))
 
 
+def _v3_side(df: DataFrame, cols: tuple, side: str, qname: str) -> DataFrame:
+    vc, sc, qc = cols
+    return df.select(_strict_int(vc, side).alias("vendor_id"),
+                     F.coalesce(F.col(sc).cast("string"), F.lit("nan")).alias("sku"),
+                     _strict_int(qc, side).alias(qname))
+
+
 def compare_v3(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> DataFrame:
     """(vendor_id, sku, qty_A, qty_B, Status); duplicates are not removed (m x n).
 
@@ -175,13 +182,8 @@ def compare_v3(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> Data
     hot (Spark does not split skewed full outer joins), and the three joins
     reuse the same key exchanges.
     """
-    def prep(df, cols, side, qname):
-        vc, sc, qc = cols
-        return df.select(_strict_int(vc, side).alias("vendor_id"),
-                         F.coalesce(F.col(sc).cast("string"), F.lit("nan")).alias("sku"),
-                         _strict_int(qc, side).alias(qname))
-    x = prep(a, a_cols, "A", "qty_A")
-    y = prep(b, b_cols, "B", "qty_B")
+    x = _v3_side(a, a_cols, "A", "qty_A")
+    y = _v3_side(b, b_cols, "B", "qty_B")
     keys = ["vendor_id", "sku"]
     zero = F.lit(0).cast("bigint")
     both = x.join(y, keys, "inner").select(
@@ -215,6 +217,57 @@ def status_counts_v3(result: DataFrame) -> DataFrame:
             .select("pos", "Status", F.coalesce("n", F.lit(0)).cast("bigint").alias("count")))
 
 
+def totals_v3(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> DataFrame:
+    """AGG-2/AGG-3 without building the m x n pairs: one row.
+
+    Per (key, quantity) the rows of both sides are counted; a key with nA and nB
+    rows has nA * nB pairs, of which those with equal quantities match, and its
+    pairs' quantity differences sum to nA * sum(B) - nB * sum(A).
+    """
+    keys = ["vendor_id", "sku"]
+    rows = (_v3_side(a, a_cols, "A", "q").withColumn("_a", F.lit(1).cast("bigint")).withColumn("_b", F.lit(0).cast("bigint"))
+            .unionByName(_v3_side(b, b_cols, "B", "q").withColumn("_a", F.lit(0).cast("bigint"))
+                         .withColumn("_b", F.lit(1).cast("bigint"))))
+    each = rows.groupBy(*keys, "q").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    big = "decimal(38,0)"
+    per = each.groupBy(*keys).agg(
+        F.sum("_a").alias("na"), F.sum("_b").alias("nb"), F.sum(F.col("_a") * F.col("_b")).alias("same"),
+        F.sum(F.col("_a").cast(big) * F.col("q")).alias("qa"), F.sum(F.col("_b").cast(big) * F.col("q")).alias("qb"))
+    both = F.col("na") * F.col("nb")
+    per = per.select("sku", "na", "nb", "same", (both - F.col("same")).alias("other"),
+                     F.when(both > 0, F.col("qb") * F.col("na") - F.col("qa") * F.col("nb")).alias("variance"))
+    # skus are counted once per vendor above, so their distinct count needs one more reduction
+    skus = per.groupBy("sku").agg(
+        F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("same").alias("same"), F.sum("other").alias("other"),
+        F.sum("variance").alias("variance"),
+        F.sum(F.when(F.col("nb") == 0, F.col("na")).otherwise(0)).alias("only_a"),
+        F.sum(F.when(F.col("na") == 0, F.col("nb")).otherwise(0)).alias("only_b"))
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    known = F.col("sku") != "nan"  # a null sku is no sku
+    return skus.agg(
+        total("na").alias("rows_a"), total("nb").alias("rows_b"),
+        F.count_if(known & (F.col("na") > 0)).alias("unique_skus_a"),
+        F.count_if(known & (F.col("nb") > 0)).alias("unique_skus_b"),
+        total("same").alias("matched"), total("other").alias("mismatched"),
+        total("only_a").alias("only_a"), total("only_b").alias("only_b"), total("variance").alias("qty_variance"))
+
+
+def stats_from_totals_v3(totals: DataFrame) -> DataFrame:
+    """AGG-3 figures of ``totals_v3``."""
+    common = F.col("matched") + F.col("mismatched")
+    rate = F.when(common > 0, F.col("matched") * 100.0 / common).otherwise(F.lit(0.0))
+    return totals.withColumn("match_rate", F.round(rate, 2))
+
+
+def counts_from_totals_v3(totals: DataFrame) -> DataFrame:
+    """AGG-2 rows of ``totals_v3`` in the fixed label order."""
+    parts = [(V3_MATCHED, "matched"), (V3_MISMATCHED, "mismatched"), (V3_ONLY_A, "only_a"), (V3_ONLY_B, "only_b")]
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(label).alias("Status"), F.col(c).alias("count"))
+                     for i, (label, c) in enumerate(parts)])
+    return totals.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def stats_v3(a: DataFrame, b: DataFrame, a_sku: str, b_sku: str, result: DataFrame) -> DataFrame:
     """AGG-3 in one pass over the union of both inputs and the result."""
     s = F.lit(None).cast("string")
@@ -267,6 +320,31 @@ def compare_v4(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> Data
         "status", F.when(d == 0, MATCH).otherwise(MISMATCH))
 
 
+def totals_v4(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> DataFrame:
+    """AGG-4 from rows grouped by (sku, account, quantity): only different quantities of
+    a key meet, each pair weighted by how often it occurs."""
+    def prep(df, cols, qname, n):
+        sc, ac, qc = cols
+        return (df.select(F.col(sc).cast("string").alias("sku"), F.col(ac).cast("string").alias("acct"),
+                          parse_number(F.col(qc)).alias(qname))
+                .where(F.col(qname).isNotNull() & ~F.isnan(qname))
+                .groupBy("sku", "acct", qname).agg(F.count(F.lit(1)).alias(n)))
+    x, y = prep(a, a_cols, "qw", "nw").alias("x"), prep(b, b_cols, "qe", "ne").alias("y")
+    j = x.join(y, F.col("x.sku").eqNullSafe(F.col("y.sku")) & F.col("x.acct").eqNullSafe(F.col("y.acct")))
+    qw, qe, n = F.col("qw"), F.col("qe"), F.col("nw") * F.col("ne")
+
+    def pairs(cond):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
+
+    def weighted(v):
+        return F.coalesce(F.sum(v * n), F.lit(0.0))
+    return j.agg(
+        pairs(F.lit(True)).alias("total_matched"), pairs(qw == qe).alias("match_count"), pairs(qw != qe).alias("mismatch_count"),
+        pairs((qw > 0) & (qe == 0)).alias("wh_in_ecom_out"), pairs((qe > 0) & (qw == 0)).alias("ecom_in_wh_out"),
+        pairs((qw > 0) & (qe > 0)).alias("in_stock_both"), weighted(qw).alias("total_qty_a"), weighted(qe).alias("total_qty_b"),
+        weighted(F.abs(qw - qe)).alias("total_discrepancy"))
+
+
 def kpis_v4(result: DataFrame) -> DataFrame:
     """AGG-4: one aggregate pass."""
     qw, qe = F.col("quantity_warehouse"), F.col("quantity_ecommerce")

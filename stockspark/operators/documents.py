@@ -16,6 +16,8 @@ from stockspark.functions.keys import strip_ws
 from stockspark.operators.ordering import global_row_number
 from stockspark.operators.upsert import reject_known
 
+# order fields carried as given; absent ones are null
+ORDER_EXTRAS = ("test_flag", "subtotal", "tax", "total", "supplier", "retailer")
 ADDRESS_FIELDS = ("country", "line_1", "line_2", "city", "postal_code", "state", "phone", "full_name", "email")
 
 
@@ -40,6 +42,7 @@ def ingest_order_documents(existing: DataFrame, docs: DataFrame, run_ts: str, or
         F.coalesce(opt("status"), F.lit("ORDER")).alias("status"),
         F.coalesce(opt("comment"), F.lit("")).alias("comment"),
         F.coalesce(opt("currency_code"), F.lit(default_currency)).alias("currency_code"),
+        *[opt(c).alias(c) for c in ORDER_EXTRAS],
         *[sa[f].alias(f"ship_{f}") for f in ADDRESS_FIELDS],
         F.col("retailer_data.name").alias("retailer_name"),
         F.col("items"))
@@ -61,21 +64,22 @@ def order_document_view(orders: DataFrame, items: DataFrame, item_cols) -> DataF
     retailer = F.when(F.col("retailer_name").isNotNull() & (F.col("retailer_name") != ""),
                       F.struct(F.col("retailer_name").alias("name")))
     j = orders.join(it, orders["id"] == it["order_id"], "left")
-    return j.select("id", "order_reference", "order_date", "status", "comment", "currency_code",
+    extras = [c for c in ORDER_EXTRAS if c in orders.columns]
+    return j.select("id", "order_reference", "order_date", "status", "comment", "currency_code", *extras,
                     addr.alias("shipping_address"), retailer.alias("retailer_data"),
                     F.coalesce(F.col("items"), F.array().cast(it.schema["items"].dataType)).alias("items"))
 
 
 def patch_article_ids(products: DataFrame, patches: DataFrame, order_col: str = "_ord"):
-    """DML-12: external article id per sku (last patch wins), trimmed; unknown sku
-    (404) and empty id (400) are rejected. Returns (products, rejects)."""
-    last = patches.groupBy("sku").agg(F.max_by(F.col("sap_article_id").cast("string"), F.col(order_col)).alias("_v"))
-    last = last.withColumn("_v", strip_ws(F.coalesce(F.col("_v"), F.lit(""))))
-    known = last.join(products.select(F.col("sku").alias("_k")), last["sku"] == F.col("_k"), "left")
+    """DML-12: external article id per sku, trimmed; each patch is judged on its own:
+    unknown sku (404) and empty id (400) are rejected, the last valid one counts.
+    Returns (products, rejects: the order column, sku, reason)."""
+    named = patches.withColumn("_v", strip_ws(F.coalesce(F.col("sap_article_id").cast("string"), F.lit(""))))
+    known = named.join(products.select(F.col("sku").alias("_k")), named["sku"] == F.col("_k"), "left")
     rejects = known.where(F.col("_k").isNull() | (F.col("_v") == "")).select(
-        "sku", F.when(F.col("_k").isNull(), "Product not found").otherwise("sap_article_id cannot be empty")
+        order_col, "sku", F.when(F.col("_k").isNull(), "Product not found").otherwise("sap_article_id cannot be empty")
         .alias("reason"))
-    ok = known.where(F.col("_k").isNotNull() & (F.col("_v") != "")).select(F.col("sku").alias("_ps"), "_v")
+    ok = named.where("_v <> ''").groupBy(F.col("sku").alias("_ps")).agg(F.max_by("_v", order_col).alias("_v"))
     j = products.join(ok, products["sku"] == F.col("_ps"), "left")
     return j.select(*[F.coalesce(F.col("_v"), F.col(c)).alias(c) if c == "sap_article_id" else F.col(c)
                       for c in products.columns]), rejects

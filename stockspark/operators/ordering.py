@@ -16,6 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockspark.functions.numeric import parse_number
 from stockspark.session import materialize as materialize_df
 
 
@@ -103,11 +104,19 @@ def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "row_num",
               .drop("_pid", "_local", "_off")
 
 
-def sequence_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64,
-                     rel_err: float = 0.001) -> Column:
-    """Quantile bucket of ``seq_col``: each bucket holds ~1/n of all rows,
-    so any (key, bucket) group is bounded whatever the key skew. Only the
-    n-1 boundaries reach the driver."""
+ROWS_PER_BUCKET = 500_000
+MOST_BUCKETS = 4096  # boundaries are literals of the plan
+
+
+def sequence_buckets(df: DataFrame, seq_col: str, n_buckets: int | None = None) -> Column:
+    """Quantile bucket of ``seq_col``: buckets of about ROWS_PER_BUCKET rows (their
+    number follows the row count), so any (key, bucket) group is bounded whatever
+    the key skew. Only the boundaries reach the driver."""
+    if n_buckets is None:
+        n_buckets = min(MOST_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+    if n_buckets <= 1:
+        return F.lit(0)
+    rel_err = 0.1 / n_buckets
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.col(seq_col).cast("double").alias("_s")).approxQuantile("_s", probs, rel_err)
     bounds = sorted(set(b for b in bounds if b is not None))
@@ -126,13 +135,12 @@ def sequence_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64,
 
 def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value_col: str,
                    out: str, how: str = "sum", inclusive: bool = True, bucket_col: str | None = None,
-                   n_buckets: int = 64) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """Per-key running aggregate in ``order_cols`` order (WIN-5 sum, WIN-6 last non-null).
 
-    When no key has more than ``HOT_KEY_ROWS`` rows this is one window per
-    key. Otherwise - level 1: a window inside (key, bucket); level 2: per-(key,
-    bucket) totals - at most ``n_buckets`` rows per key - scanned per key to give
-    the carry-in of each bucket. ``bucket_col`` (default: the first order column)
+    Level 1: a window inside (key, bucket); level 2: per-(key, bucket) totals - at
+    most one row per key and bucket - scanned per key to give the carry-in of each
+    bucket. ``bucket_col`` (default: the first order column)
     must be numeric and non-decreasing along ``order_cols``; its quantiles
     define the buckets, so each bucket holds ~1/n of all rows whatever the
     key skew. ``order_cols`` must be unique within a key.
@@ -140,15 +148,6 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     keys = list(keys)
     order_cols = list(order_cols)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    if max_rows_per_key(df, keys) <= HOT_KEY_ROWS:
-        # no hot key: one window per key is cheaper than the two-level scan
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(*frame)
-        v = F.col(value_col)
-        agg = F.sum(v) if how == "sum" else F.last(v, ignorenulls=True)
-        res = agg.over(w)
-        if how == "sum":
-            res = F.coalesce(res, F.lit(0).cast(df.schema[value_col].dataType))
-        return df.withColumn(out, res)
     bcol = bucket_col or order_cols[0]
     d = df.withColumn("_bkt", sequence_buckets(df, bcol, n_buckets))
     wl = Window.partitionBy(*keys, "_bkt").orderBy(*order_cols).rowsBetween(*frame)
@@ -173,38 +172,20 @@ def segmented_scan(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     return d.withColumn(out, res).drop("_bkt", "_loc", "_carry")
 
 
-# A key with more rows than this is "hot": its running aggregates are split over
-# sequence buckets. Cooler keys use one window per key (one task holds at most
-# this many rows of a key, which a window buffers and spills comfortably).
-HOT_KEY_ROWS = 200_000
-
-
-def max_rows_per_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key group (one aggregate; only a number reaches the driver)."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(r or 0)
-
-
-def add_buckets(df: DataFrame, seq_col: str, n_buckets: int = 64, out: str = "_bkt") -> DataFrame:
+def add_buckets(df: DataFrame, seq_col: str, n_buckets: int | None = None, out: str = "_bkt") -> DataFrame:
     """Attach the quantile bucket of ``seq_col`` once, for repeated scans."""
     return df.withColumn(out, sequence_buckets(df, seq_col, n_buckets))
 
 
 def segmented_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], values: dict,
                    inclusive: bool = False, bucket_col: str = "_bkt") -> DataFrame:
-    """Several running sums per key. With ``bucket_col`` (a bucket index that is
-    non-decreasing along ``order_cols``, see ``add_buckets``) it is the two-level
-    scan for hot keys; with ``bucket_col=None`` one window per key."""
+    """Several running sums per key as the two-level scan over ``bucket_col``, a bucket
+    index that is non-decreasing along ``order_cols`` (see ``add_buckets``)."""
     keys = list(keys)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     d = df
     for name, col in values.items():
         d = d.withColumn(f"_v_{name}", col)
-    if bucket_col is None:
-        # no hot key: one window per key
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(*frame)
-        d = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)).alias(n) for n in values])
-        return d.drop(*[f"_v_{n}" for n in values])
     wl = Window.partitionBy(*keys, bucket_col).orderBy(*order_cols).rowsBetween(*frame)
     wc = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", *[F.sum(f"_v_{n}").over(wl).alias(f"_l_{n}") for n in values])
@@ -218,31 +199,38 @@ def segmented_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
 
 
 def typed_sort_key(df: DataFrame, col: str) -> tuple:
-    """SRT-1: numeric order when every non-blank value parses (commas removed),
-    else case-insensitive text; blanks last. One aggregate decides."""
-    num = F.regexp_replace(F.col(col).cast("string"), ",", "").try_cast("double")
-    all_numeric = df.agg(F.bool_and(num.isNotNull() | F.col(col).isNull()).alias("ok")).first()["ok"]
-    blank = F.coalesce(F.col(col).cast("string"), F.lit("")) == ""
-    if all_numeric:
+    """SRT-1: numeric order when every value parses (commas removed), else
+    case-insensitive text with blanks last; a blank is no number. One aggregate decides."""
+    num = parse_number(F.regexp_replace(F.col(col).cast("string"), ",", ""))
+    if df.agg(F.bool_and(num.isNotNull()).alias("ok")).first()["ok"]:
         return (num,)
-    return (blank, F.lower(F.col(col).cast("string")))
+    text = F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return (text == "", F.lower(text))
 
 
 def numeric_first_sort_key(col: str) -> tuple:
     """SRT-2: numeric value, unparsable = +inf, then text as tie-break."""
-    num = F.regexp_replace(F.col(col).cast("string"), ",", "").try_cast("double")
-    return (F.coalesce(num, F.lit(float("inf"))), F.col(col).cast("string"))
+    num = parse_number(F.regexp_replace(F.col(col).cast("string"), ",", ""))
+    return (F.coalesce(F.nanvl(num, F.lit(float("inf"))), F.lit(float("inf"))), F.col(col).cast("string"))
 
 
 def page(df: DataFrame, order_cols: Sequence, offset: int = 0, limit: int = 50,
          max_limit: int = 200) -> DataFrame:
-    """SRT-5: ORDER BY unique key, OFFSET/LIMIT with bounded page size."""
-    limit = max(1, min(int(limit), int(max_limit)))
-    return df.orderBy(*_cols(order_cols)).offset(max(0, int(offset))).limit(limit)
+    """SRT-5: ORDER BY unique key, OFFSET/LIMIT; a limit outside 1..max_limit or a
+    negative offset is refused."""
+    _check_page(offset, limit, max_limit)
+    return df.orderBy(*_cols(order_cols)).offset(int(offset)).limit(int(limit))
+
+
+def _check_page(offset: int, limit: int, max_limit: int) -> None:
+    if not 1 <= int(limit) <= int(max_limit):
+        raise ValueError(f"limit must be between 1 and {max_limit}")
+    if int(offset) < 0:
+        raise ValueError("offset must be >= 0")
 
 
 def keyset_page(df: DataFrame, key: str, after, limit: int = 50, max_limit: int = 200) -> DataFrame:
     """SRT-5, keyset variant: rows with key > after (pushed to the scan)."""
-    limit = max(1, min(int(limit), int(max_limit)))
+    _check_page(0, limit, max_limit)
     d = df if after is None else df.where(F.col(key) > F.lit(after))
-    return d.orderBy(key).limit(limit)
+    return d.orderBy(key).limit(int(limit))

@@ -104,7 +104,7 @@ def _validate_core(batch: DataFrame, policy: ImportPolicy, keep) -> DataFrame:
     else:
         pack_set = raw_pack != ""          # blank keeps the current pack
     pack_val = F.when(raw_pack.isin(*PACK_SIZES), raw_pack)
-    return batch.select(*keep, sku.alias("sku"), name.alias("name"), q_val.cast("int").alias("quantity"),
+    return batch.select(*keep, sku.alias("sku"), name.alias("name"), q_val.cast("bigint").alias("quantity"),
                         p_val.alias("price"), sup.alias("supplier"), pack_set.alias("_pack_set"),
                         pack_val.alias("_pack"), code.alias("_err"))
 
@@ -282,13 +282,16 @@ def delete_suppliers(suppliers: DataFrame, products: DataFrame, to_delete: DataF
 
 
 def patch_stock(products: DataFrame, patches: DataFrame, order_col: str = "_ord"):
-    """DML-12: stock patches by sku (last per sku), rejects unknown sku / negative stock.
-    Returns (products, rejects)."""
-    last = patches.groupBy("sku").agg(F.max_by(F.col("stock"), F.col(order_col)).alias("_stock"))
-    known = last.join(products.select(F.col("sku").alias("_k")), last["sku"] == F.col("_k"), "left")
-    rejects = known.where(F.col("_k").isNull() | (F.col("_stock") < 0)).select(
-        "sku", F.when(F.col("_k").isNull(), "Product not found").otherwise("Stock must be >= 0").alias("reason"))
-    ok = known.where(F.col("_k").isNotNull() & (F.col("_stock") >= 0)).select(F.col("sku").alias("_ps"), "_stock")
+    """DML-12: stock patches by sku, each judged on its own: unknown sku and negative or
+    missing stock are rejected, the last valid patch of a sku counts.
+    Returns (products, rejects: the order column, sku, reason)."""
+    # reduced per sku first: the last valid value, and every reject stays a row of its own
+    negative = F.coalesce(F.col("stock") < 0, F.lit(True))
+    skus = products.select(F.col("sku").alias("_k"))
+    known = patches.join(skus, patches["sku"] == F.col("_k"), "left")
+    rejects = known.where(F.col("_k").isNull() | negative).select(
+        order_col, "sku", F.when(F.col("_k").isNull(), "Product not found").otherwise("Stock must be >= 0").alias("reason"))
+    ok = patches.where(~negative).groupBy(F.col("sku").alias("_ps")).agg(F.max_by("stock", order_col).alias("_stock"))
     j = products.join(ok, products["sku"] == F.col("_ps"), "left")
     qcol = "stock" if "stock" in products.columns else "quantity"
     new = j.select(*[F.coalesce(F.col("_stock").cast(products.schema[c].dataType), F.col(c)).alias(c)

@@ -15,19 +15,8 @@ LI_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedp
             "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
-SPREAD_MIN_BYTES = 1024 * 1024
-
-
 class Tables:
-    """Lazy parquet readers for one scale-factor folder.
-
-    A scan that yields fewer splits than the cluster has task slots (one
-    small file with a single row group) would run all per-row work before
-    the first shuffle in one task; such scans are spread round-robin over
-    the default parallelism. Column pruning and filters still reach the
-    parquet scan below the repartition. Large inputs (many splits) are left
-    untouched, so this costs nothing at scale.
-    """
+    """Lazy parquet readers for one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -36,13 +25,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        slots = self.spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        # small tables (broadcast candidates) are left alone: spreading them only adds a shuffle
-        if size > SPREAD_MIN_BYTES and df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def li_ord() -> F.Column:
@@ -93,7 +76,7 @@ def book_products(t: Tables) -> DataFrame:
             .when(F.col("p_type") == "STANDARD", "extra_bulky"))
     return p.select(F.col("p_partkey").alias("id"),
                     F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"),
-                    F.col("p_name").alias("name"), (F.col("p_size") % 12).cast("int").alias("quantity"),
+                    F.col("p_name").alias("name"), (F.col("p_size") % 12).cast("bigint").alias("quantity"),
                     F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 100).alias("supplier_id"),
                     pack.alias("pack_size"))
 

@@ -165,7 +165,7 @@ def v2_only_diffs(spark, sf_dir):
 
 def _v3_sides(spark, sf_dir):
     li = X.Tables(spark, sf_dir).lineitem
-    a = li.where(F.col("l_returnflag") == "A").select(
+    a = li.where(F.col("l_returnflag") != "N").select(
         F.col("l_suppkey").cast("string").alias("Vendor"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("Item SKU"),
         F.col("l_quantity").alias("Qty"))
@@ -178,7 +178,7 @@ def _v3_sides(spark, sf_dir):
 
 _V3_CTE = """
 a AS (SELECT CAST(l_suppkey AS BIGINT) AS vendor_id, 'P' || CAST(l_partkey AS VARCHAR) AS sku,
-             CAST(trunc(l_quantity) AS BIGINT) AS qty_A FROM lineitem WHERE l_returnflag = 'A'),
+             CAST(trunc(l_quantity) AS BIGINT) AS qty_A FROM lineitem WHERE l_returnflag <> 'N'),
 b AS (SELECT CAST(l_suppkey AS BIGINT) AS vendor_id, 'P' || CAST(l_partkey AS VARCHAR) AS sku,
              CAST(trunc(l_quantity + CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS qty_B,
              TRUE AS in_b
@@ -192,15 +192,14 @@ v3 AS (SELECT COALESCE(a2.vendor_id, b.vendor_id) AS vendor_id, COALESCE(a2.sku,
 """
 
 
-def _v3(spark, sf_dir):
-    a, b = _v3_sides(spark, sf_dir)
-    return a, b, C.compare_v3(a, b, ("Vendor", "Item SKU", "Qty"), ("vendor_no", "sku", "stock"))
+_V3_COLS = (("Vendor", "Item SKU", "Qty"), ("vendor_no", "sku", "stock"))
 
 
 @query("v3_vendor_compare", f"WITH {_V3_CTE} SELECT * FROM v3")
 def v3_vendor_compare(spark, sf_dir):
     """V3: (vendor_id, sku) full outer join without dedupe (m x n), strict ints."""
-    return _v3(spark, sf_dir)[2]
+    a, b = _v3_sides(spark, sf_dir)
+    return C.compare_v3(a, b, *_V3_COLS)
 
 
 @query("v3_status_counts", f"""WITH {_V3_CTE},
@@ -210,13 +209,14 @@ SELECT l.pos, l.Status, CAST(COALESCE(c.n, 0) AS BIGINT) AS count
 FROM labels l LEFT JOIN (SELECT Status, count(*) AS n FROM v3 GROUP BY Status) c ON l.Status = c.Status""")
 def v3_status_counts(spark, sf_dir):
     """AGG-2."""
-    return C.status_counts_v3(_v3(spark, sf_dir)[2])
+    a, b = _v3_sides(spark, sf_dir)
+    return C.counts_from_totals_v3(C.totals_v3(a, b, *_V3_COLS))
 
 
 @query("v3_stats", f"""WITH {_V3_CTE}
-SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A') AS rows_a,
+SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'N') AS rows_a,
        (SELECT count(*) FROM lineitem WHERE l_returnflag = 'N') AS rows_b,
-       (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag = 'A') AS unique_skus_a,
+       (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag <> 'N') AS unique_skus_a,
        (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag = 'N') AS unique_skus_b,
        count(*) FILTER (WHERE Status = 'Matched') AS matched,
        count(*) FILTER (WHERE Status = 'Mismatched') AS mismatched,
@@ -230,15 +230,15 @@ SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A') AS rows_a,
 FROM v3""")
 def v3_stats(spark, sf_dir):
     """AGG-3 in one pass."""
-    a, b, r = _v3(spark, sf_dir)
-    return C.stats_v3(a, b, "Item SKU", "sku", r)
+    a, b = _v3_sides(spark, sf_dir)
+    return C.stats_from_totals_v3(C.totals_v3(a, b, *_V3_COLS))
 
 
 # ---------------------------------------------------------------------------------- V4
 
 def _v4_sides(spark, sf_dir):
     li = X.Tables(spark, sf_dir).lineitem
-    a = li.where(F.col("l_returnflag") == "A").select(
+    a = li.where(F.col("l_returnflag") != "R").select(
         F.col("l_partkey").cast("string").alias("sku"), F.col("l_suppkey").cast("string").alias("acct"),
         F.when(F.col("l_discount") == 0, F.lit("x")).otherwise(F.col("l_quantity").cast("string"))
          .alias("quantity"))
@@ -251,7 +251,7 @@ def _v4_sides(spark, sf_dir):
 _V4_CTE = f"""
 a AS (SELECT CAST(l_partkey AS VARCHAR) AS sku, CAST(l_suppkey AS VARCHAR) AS account_number,
              {num("CASE WHEN l_discount = 0 THEN 'x' ELSE CAST(l_quantity AS VARCHAR) END")} AS quantity_warehouse
-      FROM lineitem WHERE l_returnflag = 'A'),
+      FROM lineitem WHERE l_returnflag <> 'R'),
 b AS (SELECT CAST(l_partkey AS VARCHAR) AS sku, CAST(l_suppkey AS VARCHAR) AS account_number,
              {num("CAST(l_quantity AS VARCHAR)")} AS quantity_ecommerce
       FROM lineitem WHERE l_returnflag = 'R'),
@@ -264,15 +264,14 @@ v4 AS (SELECT a.sku, a.account_number, quantity_warehouse, quantity_ecommerce,
 """
 
 
-def _v4(spark, sf_dir):
-    a, b = _v4_sides(spark, sf_dir)
-    return C.compare_v4(a, b, ("sku", "acct", "quantity"), ("item", "account", "free_stock"))
+_V4_COLS = (("sku", "acct", "quantity"), ("item", "account", "free_stock"))
 
 
 @query("v4_basic_compare", f"WITH {_V4_CTE} SELECT * FROM v4")
 def v4_basic_compare(spark, sf_dir):
     """V4: inner m x n join on raw (sku, account), null-safe, bad quantities dropped."""
-    return _v4(spark, sf_dir)
+    a, b = _v4_sides(spark, sf_dir)
+    return C.compare_v4(a, b, *_V4_COLS)
 
 
 @query("v4_kpis", f"""WITH {_V4_CTE}
@@ -286,7 +285,8 @@ SELECT count(*) AS total_matched, count(*) FILTER (WHERE status = 'Match') AS ma
 FROM v4""")
 def v4_kpis(spark, sf_dir):
     """AGG-4."""
-    return C.kpis_v4(_v4(spark, sf_dir))
+    a, b = _v4_sides(spark, sf_dir)
+    return C.totals_v4(a, b, *_V4_COLS)
 
 
 # ---------------------------------------------------------------------------------- V5

@@ -85,7 +85,7 @@ b AS (SELECT row, {strip("COALESCE(sku_t, '')")} AS sku, {strip("COALESCE(name_t
              {_py_int('qty_t')} AS q, {_py_float('price_t')} AS p,
              NULLIF({strip("COALESCE(sup_t, '')")}, '') AS supplier,
              lower({strip("COALESCE(pack_t, '')")}) AS rpack FROM b0),
-v AS (SELECT row, sku, name, CAST(q AS INTEGER) AS quantity, p AS price, supplier,
+v AS (SELECT row, sku, name, CAST(q AS BIGINT) AS quantity, p AS price, supplier,
              rpack <> '' AS pack_set,
              CASE WHEN rpack IN ('small', 'medium', 'large', 'bulky', 'extra_bulky') THEN rpack END AS pack,
              CASE WHEN sku = '' OR name = '' THEN printf('Row %d: ''sku'' and ''name'' required.', row)
@@ -218,7 +218,7 @@ _OPEN_ITEMS = """items i JOIN orders_b o ON o.id = i.order_id"""
 
 @query("stock_ledger", f"""WITH {P_SQL},
 d AS (SELECT i.product_id, sum(-i.quantity) AS d FROM {_OPEN_ITEMS} WHERE o.status <> 'Cancelled' GROUP BY i.product_id)
-SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS INTEGER) AS quantity, p.price, p.supplier_id, p.pack_size
+SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS BIGINT) AS quantity, p.price, p.supplier_id, p.pack_size
 FROM products p LEFT JOIN d ON d.product_id = p.id""")
 def stock_ledger(spark, sf_dir):
     """DML-9: stock after deducting every line of non-cancelled orders."""
@@ -237,7 +237,7 @@ s AS (SELECT o.id, CASE WHEN ch.new_status = 'Cancelled' AND o.status <> 'Cancel
       FROM orders_b o JOIN ch ON ch.order_id = o.id),
 d AS (SELECT i.product_id, sum(i.quantity * s.sign) AS d FROM items i JOIN s ON s.id = i.order_id WHERE s.sign <> 0
       GROUP BY i.product_id)
-SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS INTEGER) AS quantity, p.price, p.supplier_id, p.pack_size
+SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS BIGINT) AS quantity, p.price, p.supplier_id, p.pack_size
 FROM products p LEFT JOIN d ON d.product_id = p.id""")
 def status_change_stock(spark, sf_dir):
     """DML-7: 2-HIGH orders cancelled (restock), 3-MEDIUM set Pending (un-cancel deducts)."""
@@ -253,7 +253,7 @@ def status_change_stock(spark, sf_dir):
 del AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
 d AS (SELECT i.product_id, sum(i.quantity) AS d FROM items i JOIN orders_b o ON o.id = i.order_id
       WHERE o.id IN (SELECT id FROM del) AND o.status <> 'Cancelled' GROUP BY i.product_id)
-SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS INTEGER) AS quantity, p.price, p.supplier_id, p.pack_size
+SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS BIGINT) AS quantity, p.price, p.supplier_id, p.pack_size
 FROM products p LEFT JOIN d ON d.product_id = p.id""")
 def delete_orders_restock(spark, sf_dir):
     """DML-8: delete 1-URGENT orders with their items; restock unless Cancelled."""
@@ -333,7 +333,7 @@ def distinct_rows(spark, sf_dir):
 
 @query("stock_ledger_stream", f"""WITH {P_SQL},
 d AS (SELECT i.product_id, sum(-i.quantity) AS d FROM {_OPEN_ITEMS} WHERE o.status <> 'Cancelled' GROUP BY i.product_id)
-SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS INTEGER) AS quantity, p.price, p.supplier_id, p.pack_size
+SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS BIGINT) AS quantity, p.price, p.supplier_id, p.pack_size
 FROM products p LEFT JOIN d ON d.product_id = p.id""")
 def stock_ledger_stream(spark, sf_dir):
     """STM-3: the ledger deltas as a stream with running totals in the state store;
@@ -349,5 +349,5 @@ def stock_ledger_stream(spark, sf_dir):
     work = f"{checkpoint_dir(spark).rstrip('/')}/streams/ledger-{uuid.uuid4().hex}"
     totals = run_ledger_stream(deltas, work)
     out = apply_totals(p, totals)
-    return out.select("id", "sku", "name", F.col("quantity").cast("int").alias("quantity"), "price",
+    return out.select("id", "sku", "name", F.col("quantity").cast("bigint").alias("quantity"), "price",
                       "supplier_id", "pack_size")

@@ -1,4 +1,4 @@
-"""Tolerance grading queries: per part, EC = returned stock, WH = new stock."""
+"""Tolerance grading queries: per part, EC = number of odd lines, WH = number of even lines."""
 
 from __future__ import annotations
 
@@ -14,13 +14,9 @@ RUN_TS = "2026-01-01 00:00:00"   # fixed run timestamp (DT-1) so runs are reprod
 
 def _input(spark, sf_dir):
     """(sku, ec_qty, wh_qty, use_low_stock, low_stock_max) per part, one aggregate pass."""
-    li = X.Tables(spark, sf_dir).lineitem.where(F.col("l_returnflag").isin("R", "N"))
-    big = F.col("l_discount") >= 0.09
-    g = li.groupBy("l_partkey").agg(
-        F.sum(F.when((F.col("l_returnflag") == "R") & big, F.col("l_quantity")).otherwise(0.0))
-         .cast("bigint").alias("ec_qty"),
-        F.sum(F.when((F.col("l_returnflag") == "N") & big, F.col("l_quantity")).otherwise(0.0))
-         .cast("bigint").alias("wh_qty"))
+    li = X.Tables(spark, sf_dir).lineitem
+    g = li.groupBy("l_partkey").agg(F.count_if(F.col("l_linenumber") % 2 == 1).alias("ec_qty"),
+                                    F.count_if(F.col("l_linenumber") % 2 == 0).alias("wh_qty"))
     return g.select(F.concat(F.lit(" SKU-"), F.col("l_partkey").cast("string")).alias("sku"), "ec_qty", "wh_qty",
                     (F.col("l_partkey") % 2 == 0).alias("use_low_stock"),
                     (F.col("l_partkey") % 50).alias("low_stock_max"))
@@ -54,9 +50,9 @@ def _sql(p: TolerancePolicy) -> str:
     return f"""
 WITH g AS (
   SELECT l_partkey,
-         CAST(sum(CASE WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN l_quantity ELSE 0.0 END) AS BIGINT) AS e,
-         CAST(sum(CASE WHEN l_returnflag = 'N' AND l_discount >= 0.09 THEN l_quantity ELSE 0.0 END) AS BIGINT) AS w
-  FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY l_partkey),
+         count(*) FILTER (WHERE l_linenumber % 2 = 1) AS e,
+         count(*) FILTER (WHERE l_linenumber % 2 = 0) AS w
+  FROM lineitem GROUP BY l_partkey),
 i AS (SELECT trim(' SKU-' || CAST(l_partkey AS VARCHAR)) AS sku, e, w, l_partkey % 2 = 0 AS ul,
              CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey % 50 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS lm
       FROM g),

@@ -1,6 +1,7 @@
 """Smaller operators: sorts, paging, view filters, exports, table helpers."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockspark.functions.numeric import money
@@ -26,7 +27,9 @@ def test_typed_sorts(spark):
 def test_paging(spark):
     df = spark.range(1, 501).withColumnRenamed("id", "k")
     assert [r[0] for r in page(df, ["k"], offset=10, limit=5).collect()] == [11, 12, 13, 14, 15]
-    assert page(df, ["k"], offset=0, limit=10_000).count() == 200            # bounded page size
+    for bad in (dict(offset=0, limit=10_000), dict(offset=0, limit=0), dict(offset=-1, limit=5)):   # refused, not clamped
+        with pytest.raises(ValueError):
+            page(df, ["k"], **bad)
     assert [r[0] for r in keyset_page(df, "k", 495, limit=50).collect()] == [496, 497, 498, 499, 500]
 
 

@@ -24,8 +24,7 @@ import stockspark.operators.ordering as ordering_mod
 def hot_mode(request, monkeypatch):
     """Run once with the per-key window and once forcing the two-level bucketed scan."""
     if request.param == "hot":
-        monkeypatch.setattr(ordering_mod, "HOT_KEY_ROWS", 0)
-        monkeypatch.setattr(admission_mod, "HOT_KEY_ROWS", 0)
+        monkeypatch.setattr(ordering_mod, "ROWS_PER_BUCKET", 7)
     return request.param
 
 
