@@ -193,7 +193,7 @@ def _documents(spark, sf_dir):
                     F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("rush")).alias("comment"),
                     F.lit(None).cast("string").alias("currency_code"), (F.col("o_orderpriority") == "2-HIGH").alias("test_flag"),
                     *[F.format_string("%.2f", F.col("o_totalprice") * k).alias(c)
-                      for c, k in (("subtotal", 0.5), ("tax", 0.25), ("total", 1.0))],
+                      for c, k in (("subtotal", 2.0), ("tax", 4.0), ("total", 1.0))],
                     F.lit(None).cast("string").alias("supplier"), F.col("c_mktsegment").alias("retailer"), addr.alias("shipping_address"),
                     F.struct(F.col("c_mktsegment").alias("name")).alias("retailer_data"),
                     F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType)).alias("items"),
@@ -218,8 +218,8 @@ num AS (SELECT *, (SELECT max(id) FROM ex) + row_number() OVER (ORDER BY o_order
 SELECT id, order_reference,
        CASE WHEN o_orderpriority = '5-LOW' THEN TIMESTAMP '{RUN_TS}' ELSE CAST(o_orderdate AS TIMESTAMP) END AS order_date,
        'ORDER' AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'rush' ELSE '' END AS comment,
-       'AUD' AS currency_code, o_orderpriority = '2-HIGH' AS test_flag, printf('%.2f', o_totalprice * 0.5) AS subtotal,
-       printf('%.2f', o_totalprice * 0.25) AS tax, printf('%.2f', o_totalprice) AS total,
+       'AUD' AS currency_code, o_orderpriority = '2-HIGH' AS test_flag, printf('%.2f', o_totalprice * 2.0) AS subtotal,
+       printf('%.2f', o_totalprice * 4.0) AS tax, printf('%.2f', o_totalprice) AS total,
        CAST(NULL AS VARCHAR) AS supplier, c_mktsegment AS retailer, CAST(c_nationkey AS VARCHAR) AS ship_country,
        CASE WHEN c_acctbal < 0 THEN '' ELSE '1 Main St' END AS ship_line_1,
        CAST(NULL AS VARCHAR) AS ship_line_2, CAST(NULL AS VARCHAR) AS ship_city,

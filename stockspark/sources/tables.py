@@ -13,7 +13,7 @@ SUPPLIERS = T.StructType([
     T.StructField("email", T.StringType()), T.StructField("phone", T.StringType())])
 PRODUCTS = T.StructType([
     T.StructField("id", T.LongType(), False), T.StructField("sku", T.StringType(), False),
-    T.StructField("name", T.StringType(), False), T.StructField("quantity", T.IntegerType(), False),
+    T.StructField("name", T.StringType(), False), T.StructField("quantity", T.LongType(), False),
     T.StructField("price", T.DoubleType(), False), T.StructField("supplier_id", T.LongType()),
     T.StructField("pack_size", T.StringType())])
 ORDERS = T.StructType([
