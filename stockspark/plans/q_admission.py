@@ -1,4 +1,4 @@
-"""Order admission (DML-5) on orders x lineitem against part stock; rows-only check."""
+"""Order admission (DML-5) on orders x lineitem against part stock."""
 
 from __future__ import annotations
 
@@ -42,8 +42,62 @@ def stock(spark, sf_dir):
                     (F.col("p_size") * 8).cast("bigint").alias("quantity"))
 
 
-@query("order_admission")
+# The same rule in SQL: every round, per product and in order sequence, what earlier orders
+# have surely taken (lb) and may take at most (ub) decides those orders that it can.
+_ADMIT_CTE = """
+o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row FROM orders),
+li AS (SELECT row, CASE WHEN l_linenumber = 6 AND l_tax = 0 THEN 'SKU-X' ELSE 'SKU-' || CAST(l_partkey AS VARCHAR) END AS sku,
+              CAST(l_quantity AS BIGINT) AS qty,
+              row_number() OVER (PARTITION BY row ORDER BY l_linenumber,
+                  CASE WHEN l_linenumber = 6 AND l_tax = 0 THEN 'SKU-X' ELSE 'SKU-' || CAST(l_partkey AS VARCHAR) END,
+                  CAST(l_quantity AS BIGINT), l_extendedprice) AS item
+       FROM o JOIN lineitem ON l_orderkey = o_orderkey),
+head AS (SELECT row, CASE WHEN o_custkey % 97 = 0 THEN '' ELSE 'Customer ' || CAST(o_custkey AS VARCHAR) END AS customer_name,
+                CASE WHEN o_orderstatus = 'P' THEN 'Cancelled' ELSE 'Pending' END AS status,
+                CASE WHEN o_custkey % 97 = 0 THEN printf('Row %d: customer_name required.', row)
+                     WHEN o_orderkey % 101 = 0 OR row NOT IN (SELECT row FROM li)
+                     THEN printf('Row %d: invalid items_json (items_json must be non-empty array).', row) END AS header_error
+         FROM o),
+prod AS (SELECT p_partkey AS pid, 'SKU-' || CAST(p_partkey AS VARCHAR) AS sku, CAST(p_size * 8 AS BIGINT) AS stock FROM part),
+ln AS (SELECT li.*, pid, stock FROM li JOIN head USING (row) LEFT JOIN prod USING (sku) WHERE header_error IS NULL),
+dem AS (SELECT pid, row, sum(qty) AS dq, max(qty) AS maxq, min(stock) AS stock,
+               row IN (SELECT row FROM ln WHERE pid IS NULL) AS bad
+        FROM ln WHERE pid IS NOT NULL GROUP BY pid, row),
+rounds AS (
+  SELECT 0 AS k, pid, row, CAST(dq AS BIGINT) AS dq, maxq, stock, CASE WHEN bad THEN 'R' ELSE 'U' END AS st FROM dem
+  UNION ALL
+  SELECT k + 1, pid, row, dq, maxq, stock,
+         CASE WHEN st = 'U' AND bool_and(stock - ub >= maxq) OVER (PARTITION BY row) THEN 'A'
+              WHEN st = 'U' AND bool_or(stock - lb < maxq) OVER (PARTITION BY row) THEN 'R' ELSE st END
+  FROM (SELECT *, CAST(coalesce(sum(CASE WHEN st = 'A' THEN dq ELSE 0 END) OVER before, 0) AS BIGINT) AS lb,
+               CAST(coalesce(sum(CASE WHEN st <> 'R' THEN dq ELSE 0 END) OVER before, 0) AS BIGINT) AS ub,
+               bool_or(st = 'U') OVER () AS more
+        FROM rounds WINDOW before AS (PARTITION BY pid ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE more),
+final AS (SELECT *, stock - CAST(coalesce(sum(CASE WHEN st = 'A' THEN dq ELSE 0 END) OVER (
+                        PARTITION BY pid ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS avail
+          FROM rounds WHERE k = (SELECT max(k) FROM rounds)),
+verdict AS (SELECT row, max(st) AS st FROM final GROUP BY row),
+fails AS (SELECT ln.row, item, CASE WHEN ln.pid IS NULL THEN printf('Row %d item %d: unknown SKU ''%s''.', ln.row, item, sku)
+                 ELSE printf('Row %d item %d: not enough stock for %s (avail %d).', ln.row, item, sku, avail) END AS msg
+          FROM ln LEFT JOIN final ON final.pid = ln.pid AND final.row = ln.row WHERE ln.pid IS NULL OR avail < qty),
+first_fail AS (SELECT row, arg_min(msg, item) AS msg FROM fails GROUP BY row)
+"""
+
+
+@query("order_admission", f"""WITH RECURSIVE {_ADMIT_CTE}
+SELECT row, customer_name, status, coalesce(st = 'A', false) AS admitted,
+       coalesce(header_error, CASE WHEN coalesce(st, 'R') <> 'A' THEN msg END) AS error
+FROM head LEFT JOIN verdict USING (row) LEFT JOIN first_fail USING (row)""")
 def order_admission(spark, sf_dir):
     """DML-5: sequential admission as a fix-point; one decision per order row."""
     dec, _ = A.admit(order_file(spark, sf_dir), stock(spark, sf_dir))
     return dec
+
+
+@query("admission_stock", f"""WITH RECURSIVE {_ADMIT_CTE}
+SELECT prod.pid AS id, prod.sku, CAST(prod.stock - coalesce(u, 0) AS BIGINT) AS quantity
+FROM prod LEFT JOIN (SELECT pid, sum(dq) AS u FROM final WHERE st = 'A' GROUP BY pid) t USING (pid)""")
+def admission_stock(spark, sf_dir):
+    """DML-5: stock left after the admitted orders; never negative but for several lines of one order."""
+    return A.admit(order_file(spark, sf_dir), stock(spark, sf_dir))[1]
