@@ -14,11 +14,11 @@ empty set and is linked with nothing. Two documents are linked if
   probability equal to their similarity, with Chernoff-like concentration.
 * ``BANDS`` bands of ``BAND_ROWS`` coordinates: two sets of similarity 0.75 share
   none with probability (1 - 0.75^5)^48 = 2.3e-6, less for any closer ones.
-* In every bucket each document is compared with the smallest one, and what that
-  leaves unconnected is compared until every two documents of a bucket are
-  either connected or compared: links are lost only where sketches share no
-  band. Comparison is on full sets, streamed past one text at a time; a text with
-  many partners is dealt to several tasks.
+* In every bucket each document is compared with the smallest one. Where that
+  leaves a bucket in several components, those outside its largest one are compared
+  with all documents around that one, so every two documents of a bucket are either
+  connected or compared: links are lost only where sketches share no band.
+  Comparison is on full sets, streamed past one text or one bounded block at a time.
 
 Null text counts as empty. Rows with a null doc_id cannot be linked; they get a
 null component and are kept. Rows with the same doc_id each get the result of
@@ -29,7 +29,7 @@ by ``components`` and pass through ``keep_one``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockspark.llm.common import documents, mix, prepare, save, shingle_sets, utf8_batch
@@ -40,6 +40,7 @@ BANDS = 48
 BAND_ROWS = 5
 COORDS = BANDS * BAND_ROWS
 PARTNERS_PER_TASK = 512
+BLOCK_SHINGLES = 1_000_000
 
 _U = np.uint64
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 2 * COORDS, dtype=np.uint64)
@@ -184,6 +185,67 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("a", "deal", "role", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
 
 
+def crossing_links(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of different ``root`` in one group.
+
+    ``groups`` (main, doc_id, n, root): in each group the documents whose root is
+    not ``main`` are compared with all. Both sides are dealt to blocks of about
+    BLOCK_SHINGLES shingles, and each pair of blocks is one key. A task indexes the
+    shingles of one block of members, then streams the other documents past it:
+    all intersections of one text come from one look-up, so no pair of documents
+    becomes a row unless it is a link.
+    """
+    size = groups.groupBy("main").agg(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("_ms"),
+        F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES).alias("_os"))
+    dealt = groups.join(size, "main")
+
+    def deal(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(blocks))
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    members = dealt.where("_os > 0").select("main", deal("_ms").alias("m"), every("_os").alias("o"), F.lit(0).alias("role"), "doc_id", "root")
+    others = dealt.where(F.col("root") != F.col("main")).select(
+        "main", every("_ms").alias("m"), deal("_os").alias("o"), F.lit(1).alias("role"), "doc_id", "root")
+    rows = (members.unionByName(others).join(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id")
+            .repartition("main", "m", "o").sortWithinPartitions("main", "m", "o", "role", "doc_id"))
+
+    def run(batches):
+        import pyarrow as pa
+        now, ids, roots, sets, index = None, [], [], [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("main", "m", "o"))))
+            role, doc, root = (batch.column(c).to_pylist() for c in ("role", "doc_id", "root"))
+            out = []
+            for i, mine in enumerate(shingle_sets(*utf8_batch(batch.column("text")), SHINGLE)):
+                if now != keys[i]:
+                    now, ids, roots, sets, index = keys[i], [], [], [], None
+                if role[i] == 0:
+                    ids.append(doc[i])
+                    roots.append(root[i])
+                    sets.append(mine)
+                    continue
+                if index is None:
+                    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, np.array(ids), np.array(roots)
+                    sets = []
+                hashes, owner, sizes, member, member_root = index
+                lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+                count = hi - lo
+                at = np.arange(count.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+                both = np.bincount(owner[at], minlength=len(sizes))
+                hit = (both > 0) & (100 * both >= PERCENT * (sizes + len(mine) - both)) & (member_root != root[i])
+                out += [(min(doc[i], d), max(doc[i], d)) for d in member[hit].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
+                                              pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return rows.select("main", "m", "o", "role", "doc_id", "root", "text").mapInArrow(run, "a long, b long").distinct()
+
+
 # ----------------------------------------------------------------- components
 
 def connect(links: DataFrame) -> DataFrame:
@@ -235,25 +297,20 @@ def components(docs: DataFrame) -> DataFrame:
     near = (buckets.alias("x").join(buckets.where("doc_id = first").select("band", F.col("n").alias("n0")), "band")
             .where("doc_id <> first").where(_sizes_fit("n", "n0"))
             .select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
-    tried = save(near, "pairs")
-    links = save(verified(tried, docs), "links")
+    # the only texts that are compared
+    texts = save(docs.select("doc_id", "text").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    links = save(verified(save(near, "pairs"), texts), "links")
     roots = connect(links)
 
-    # what the first comparison left unconnected: members outside their bucket's
-    # largest component, against the whole bucket
+    # what the first comparison left unconnected: documents outside their bucket's
+    # largest component, against all that share a bucket with that component
     placed = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
     shares = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
     split = (shares.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts"))
              .where("parts > 1").select("band", "main"))
-    mixed = save(placed.join(split, "band"), "mixed")
-    out = mixed.where("root <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    rest = (out.join(mixed.select("band", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "band")
-            .where((F.col("rx") != F.col("ry")) & _sizes_fit("nx", "ny"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
-    rest = save(rest, "rest")
-    more = save(verified(rest, docs), "links")
+    mixed = save(placed.join(split, "band").select("main", "doc_id", "n", "root").distinct(), "mixed")
+    more = save(crossing_links(mixed, texts), "links")
     roots = save(connect(links.unionByName(more)), "roots")
     return (members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", "n_shingles",
