@@ -237,18 +237,6 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, key: str = "produ
                     .alias("quantity")).select(*products.columns)
 
 
-def status_change_deltas(orders: DataFrame, items: DataFrame, changes: DataFrame) -> DataFrame:
-    """DML-7 stock effect: into Cancelled -> +qty per line, out of Cancelled -> -qty
-    (availability of un-cancels is checked by the admission job), same status -> none."""
-    ch = changes.select(F.col("order_id").alias("_oid"), F.col("new_status"))
-    o = orders.select(F.col("id").alias("_oid"), F.col("status").alias("old_status")).join(ch, "_oid")
-    sign = (F.when((F.col("new_status") == "Cancelled") & (F.col("old_status") != "Cancelled"), 1)
-            .when((F.col("new_status") != "Cancelled") & (F.col("old_status") == "Cancelled"), -1).otherwise(0))
-    o = o.where(sign != 0).select("_oid", sign.alias("_sign"))
-    j = items.join(o, items["order_id"] == F.col("_oid"))
-    return j.select("product_id", (F.col("quantity") * F.col("_sign")).alias("delta"))
-
-
 def delete_orders(orders: DataFrame, items: DataFrame, to_delete: DataFrame):
     """DML-8: remove orders and their items (cascade); restock unless Cancelled.
     Returns (orders, items, stock deltas)."""

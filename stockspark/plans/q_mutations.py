@@ -229,24 +229,70 @@ def stock_ledger(spark, sf_dir):
     return U.apply_stock_deltas(p, lines.select("product_id", (-F.col("quantity")).alias("delta")))
 
 
-@query("status_change_stock", f"""WITH {P_SQL},
-ch AS (SELECT o_orderkey AS order_id, CASE o_orderpriority WHEN '2-HIGH' THEN 'Cancelled' ELSE 'Pending' END AS new_status
-       FROM orders WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM')),
-s AS (SELECT o.id, CASE WHEN ch.new_status = 'Cancelled' AND o.status <> 'Cancelled' THEN 1
-                        WHEN ch.new_status <> 'Cancelled' AND o.status = 'Cancelled' THEN -1 ELSE 0 END AS sign
-      FROM orders_b o JOIN ch ON ch.order_id = o.id),
-d AS (SELECT i.product_id, sum(i.quantity * s.sign) AS d FROM items i JOIN s ON s.id = i.order_id WHERE s.sign <> 0
-      GROUP BY i.product_id)
-SELECT p.id, p.sku, p.name, CAST(p.quantity + COALESCE(d.d, 0) AS BIGINT) AS quantity, p.price, p.supplier_id, p.pack_size
-FROM products p LEFT JOIN d ON d.product_id = p.id""")
-def status_change_stock(spark, sf_dir):
-    """DML-7: 2-HIGH orders cancelled (restock), 3-MEDIUM set Pending (un-cancel deducts)."""
+_STATUS_CTE = f"""{P_SQL},
+ch AS (SELECT o.o_orderkey AS seq, o.o_orderkey AS order_id, b.status AS old,
+              CASE o_orderpriority WHEN '2-HIGH' THEN 'Cancelled' WHEN '3-MEDIUM' THEN 'Pending' ELSE 'Bogus' END AS new_status
+       FROM orders o JOIN orders_b b ON b.id = o.o_orderkey WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW')),
+ev AS (SELECT *, CASE WHEN new_status = 'Bogus' THEN 'X' WHEN new_status = 'Cancelled' AND old <> 'Cancelled' THEN 'K'
+                      WHEN new_status <> 'Cancelled' AND old = 'Cancelled' THEN 'U' ELSE 'P' END AS st FROM ch),
+dem AS (SELECT ev.seq, ev.st, i.product_id AS pid, CAST(sum(i.quantity) AS BIGINT) AS dq, max(i.quantity) AS maxq,
+               CAST(min(p.quantity) AS BIGINT) AS stock
+        FROM ev JOIN items i ON i.order_id = ev.order_id JOIN products p ON p.id = i.product_id WHERE ev.st IN ('K', 'U')
+        GROUP BY ev.seq, ev.st, i.product_id),
+rounds AS (
+  SELECT 0 AS k, seq, st, pid, dq, maxq, stock FROM dem
+  UNION ALL
+  SELECT k + 1, seq, CASE WHEN st = 'U' AND bool_and(stock - most >= maxq) OVER (PARTITION BY seq) THEN 'A'
+                          WHEN st = 'U' AND bool_or(stock - least < maxq) OVER (PARTITION BY seq) THEN 'R' ELSE st END,
+         pid, dq, maxq, stock
+  FROM (SELECT *, CAST(coalesce(sum(CASE st WHEN 'K' THEN -dq WHEN 'A' THEN dq ELSE 0 END) OVER before, 0) AS BIGINT) AS least,
+               CAST(coalesce(sum(CASE st WHEN 'K' THEN -dq WHEN 'A' THEN dq WHEN 'U' THEN dq ELSE 0 END) OVER before, 0) AS BIGINT) AS most,
+               bool_or(st = 'U') OVER () AS more
+        FROM rounds WINDOW before AS (PARTITION BY pid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE more),
+final AS (SELECT *, stock - CAST(coalesce(sum(CASE st WHEN 'K' THEN -dq WHEN 'A' THEN dq ELSE 0 END) OVER (
+                        PARTITION BY pid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS avail
+          FROM rounds WHERE k = (SELECT max(k) FROM rounds)),
+short AS (SELECT f.seq, arg_min(f.pid, (i.line_no, i.product_id)) AS pid
+          FROM final f JOIN ev ON ev.seq = f.seq JOIN items i ON i.order_id = ev.order_id AND i.product_id = f.pid
+          WHERE f.st = 'R' AND f.avail < i.quantity GROUP BY f.seq),
+log AS (SELECT ev.seq, order_id, new_status,
+               CASE WHEN new_status = 'Bogus' THEN 'Invalid order status.'
+                    WHEN short.seq IS NOT NULL THEN printf('Not enough stock to un-cancel. Product ID %d.', short.pid) END AS error
+        FROM ev LEFT JOIN short ON short.seq = ev.seq)"""
+
+
+def _status_changes(spark, sf_dir):
+    from stockspark.operators.status import change_status
     t = X.Tables(spark, sf_dir)
-    p, o, i = X.book_products(t), X.book_orders(t), X.book_items(t)
-    ch = t.orders.where(F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM")).select(
-        F.col("o_orderkey").alias("order_id"),
-        F.when(F.col("o_orderpriority") == "2-HIGH", "Cancelled").otherwise("Pending").alias("new_status"))
-    return U.apply_stock_deltas(p, U.status_change_deltas(o, i, ch))
+    new = (F.when(F.col("o_orderpriority") == "2-HIGH", "Cancelled").when(F.col("o_orderpriority") == "3-MEDIUM", "Pending")
+           .otherwise("Bogus"))
+    ch = t.orders.where(F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM", "5-LOW")).select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("order_id"), new.alias("new_status"))
+    return change_status(X.book_products(t), X.book_orders(t), X.book_items(t), ch)
+
+
+@query("status_change_stock", f"""WITH RECURSIVE {_STATUS_CTE}
+SELECT p.id, p.sku, p.name, CAST(p.quantity - coalesce(m.taken, 0) AS BIGINT) AS quantity, p.price, p.supplier_id, p.pack_size
+FROM products p LEFT JOIN (SELECT pid, sum(CASE st WHEN 'K' THEN -dq WHEN 'A' THEN dq ELSE 0 END) AS taken FROM final GROUP BY pid) m
+     ON m.pid = p.id""")
+def status_change_stock(spark, sf_dir):
+    """DML-7: stock after 2-HIGH orders are cancelled and cancelled 3-MEDIUM orders reopened where stock allows."""
+    return _status_changes(spark, sf_dir)[0]
+
+
+@query("status_change_log", f"""WITH RECURSIVE {_STATUS_CTE}
+SELECT seq, order_id, new_status, error IS NULL AS applied, error FROM log""")
+def status_change_log(spark, sf_dir):
+    """DML-7: every change with its refusal: unknown status, or the first product short of stock."""
+    return _status_changes(spark, sf_dir)[2]
+
+
+@query("status_change_orders", f"""WITH RECURSIVE {_STATUS_CTE}
+SELECT o.id, coalesce(log.new_status, o.status) AS status FROM orders_b o LEFT JOIN log ON log.order_id = o.id AND log.error IS NULL""")
+def status_change_orders(spark, sf_dir):
+    """DML-7: order statuses after the granted changes."""
+    return _status_changes(spark, sf_dir)[1].select("id", "status")
 
 
 @query("delete_orders_restock", f"""WITH {P_SQL},
