@@ -39,7 +39,7 @@ from stockspark.llm.common import documents, gram_hashes, prepare, save, utf8_ba
 
 WINDOW = 50
 GRAM = 20
-DOCS_PER_BLOCK = 4096
+DOCS_PER_BLOCK = 512
 
 
 def minimizers(h: np.ndarray) -> np.ndarray:
