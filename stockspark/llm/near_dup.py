@@ -39,7 +39,7 @@ PERCENT = 75
 BANDS = 48
 BAND_ROWS = 5
 COORDS = BANDS * BAND_ROWS
-PARTNERS_PER_TASK = 512
+PARTNERS_PER_TASK = 128
 BLOCK_SHINGLES = 1_000_000
 
 _U = np.uint64
