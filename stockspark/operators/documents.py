@@ -30,9 +30,8 @@ def ingest_order_documents(existing: DataFrame, docs: DataFrame, run_ts: str, or
     items array<struct>, plus the batch order column.
     """
     accepted, rejects = reject_known(existing.select("id", "order_reference"), docs, "order_reference", order_col)
-    base_max = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_max"))
-    numbered = global_row_number(accepted, [order_col], "_n")
-    numbered = numbered.join(F.broadcast(base_max), how="inner")   # one-row frame
+    base = int(existing.agg(F.max("id")).first()[0] or 0)  # one number
+    numbered = global_row_number(accepted, [order_col], "_n").withColumn("_max", F.lit(base).cast("bigint"))
     def opt(c: str):
         return F.col(c) if c in docs.columns else F.lit(None).cast("string")
     sa = F.col("shipping_address")

@@ -27,18 +27,16 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(s == "", F.lit(None).cast("string")).otherwise(s)
 
 
-def _assign_new_ids(new_keys: DataFrame, key: str, first_row: str, base_max: DataFrame,
+def _assign_new_ids(new_keys: DataFrame, key: str, first_row: str, base_max: int,
                     out: str = "id") -> DataFrame:
     """ids = max(existing id) + rank of first appearance (global row number, no single-partition window)."""
     ranked = global_row_number(new_keys, [first_row, key], "_rank")
-    # base_max is one row: a broadcast join with no key attaches it to every row
-    return ranked.join(F.broadcast(base_max), how="inner").select(
-        *new_keys.columns, (F.col("_max") + F.col("_rank")).alias(out))
+    return ranked.select(*new_keys.columns, (F.lit(base_max).cast("bigint") + F.col("_rank")).alias(out))
 
 
-def _max_id(table: DataFrame) -> DataFrame:
-    """One-row frame with the current max id (0 for an empty table)."""
-    return table.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_max"))
+def _max_id(table: DataFrame) -> int:
+    """The current max id (0 for an empty table): one number."""
+    return int(table.agg(F.max("id")).first()[0] or 0)
 
 
 def number_rows(batch: DataFrame, order_col: str = "_ord", out: str = "row") -> DataFrame:
@@ -218,11 +216,12 @@ def upsert_products(products: DataFrame, suppliers: DataFrame, batch: DataFrame,
 
 def import_summary(log: DataFrame, errors: DataFrame, n_errors_shown: int = 20):
     """AGG-15: inserted / updated / error counts (one row) and the first errors by row."""
-    counts = log.agg(F.count_if(F.col("action") == "inserted").alias("inserted"),
-                     F.count_if(F.col("action") == "updated").alias("updated"))
-    ne = errors.agg(F.count(F.lit(1)).alias("errors"))
+    outcomes = log.select("action").unionByName(errors.select(F.lit("error").alias("action")))
+    counts = outcomes.agg(F.count_if(F.col("action") == "inserted").alias("inserted"),
+                          F.count_if(F.col("action") == "updated").alias("updated"),
+                          F.count_if(F.col("action") == "error").alias("errors"))
     first = errors.orderBy("row").limit(n_errors_shown)
-    return counts.join(F.broadcast(ne), how="inner"), first
+    return counts, first
 
 
 # ------------------------------------------------------------------------------ stock
