@@ -31,8 +31,6 @@ class SideMapping:
     norm: Normalization = field(default_factory=Normalization)
 
 
-# The default severity policy of the tolerance checker.
-DEFAULT_SEVERITY_ORDER = ("Critical", "High", "Medium", "Low", "Very Low")
 DEFAULT_SEVERITY_MAP = {
     "Critical": {"pct": 0.00, "min_units": 0, "max_units": 0},
     "High": {"pct": 0.00, "min_units": 0, "max_units": 0},
@@ -108,6 +106,3 @@ CARRIERS = (
     ("STARTRACK", "StarTrack", ("PRIORITY", "AUTHORITY_TO_LEAVE")),
     ("TOLL", "Toll IPEC", ("ROAD", "PRIORITY")),
 )
-
-# Order lifecycle states.
-LIFECYCLE_STATES = ("ORDER", "ACKNOWLEDGED", "BACKORDERED", "DISPATCHED", "CANCELLATION_ACK")

@@ -53,12 +53,6 @@ def whole_number(c, rule: str = "round", clamp_negative: bool = False) -> Column
     return F.greatest(w, F.lit(0).cast("bigint")) if clamp_negative else w
 
 
-def clamp_negative(c) -> Column:
-    """NUM-6."""
-    col = _as_col(c)
-    return F.when(col < 0, F.lit(0)).otherwise(col)
-
-
 def stock_status_flag(c) -> Column:
     """NUM-7: 1 when quantity > 0 else 0."""
     return (_as_col(c) > 0).cast("int")
@@ -70,13 +64,6 @@ def sign_class(diff) -> Column:
     return F.when(d == 0, "zero").when(d > 0, "pos").otherwise("neg")
 
 
-def strict_int(c) -> Column:
-    """NUM-4: numeric text truncated to bigint, null -> 0; non-numeric -> null
-    (the caller fails the job when any row is null here but not in the input)."""
-    v = parse_number(c)
-    return F.when(_as_col(c).isNull(), F.lit(0).cast("bigint")).otherwise(v.try_cast("bigint"))
-
-
 def money(c) -> Column:
     """SRT-3 helper: text money ($1,234.50) to double."""
     return parse_number(F.regexp_replace(_as_col(c).cast("string"), r"[$,]", ""))

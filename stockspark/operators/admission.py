@@ -149,17 +149,3 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
 def merge_lines(items: DataFrame) -> DataFrame:
     """AGG-16: repeated lines of one product in an order become one line."""
     return items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity"))
-
-
-def sequential_admit(orders: list, stock: dict) -> list:
-    """Plain-Python model of the admission used by tests as the oracle:
-    orders = [(row, [(sku, qty), ...]) ...] already statically valid."""
-    out = []
-    cur = dict(stock)
-    for row, lines in orders:
-        ok = all(sku in cur and cur[sku] >= q for sku, q in lines)
-        if ok:
-            for sku, q in lines:
-                cur[sku] -= q
-        out.append((row, ok))
-    return out
