@@ -137,13 +137,12 @@ _SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:(?P<plus>plus)(?=[\x20-]*(?:[0-9]|(
                       rf"|(?P<many>double|triple)[\x20-]+(?P<what>{_NUMBER}|[0-9])(?![A-Za-z0-9])"
                       rf"|(?P<digit>{_NUMBER})(?![A-Za-z])"
                       rf"|(?<=[0-9eorxnt][\x20-])(?P<oh>oh|o)(?=[\x20-](?:[0-9]|oh|o|{_NUMBER})(?![A-Za-z])))")
-# cheap looks at the lower-cased text: without a hit no transducer of the kind can matter
-_MAYBE_SPELLED = re.compile(rf"[\s+(:,.-](?:double|triple|plus|{_NUMBER})[\x20-]")
 _SPACED_PLUS = re.compile(r"\+\x20+(?=[0-9])")
 _OPEN, _CLOSE = r"[(\[{<]\s?", r"\s?[)\]}>]"
 _AT = re.compile(rf"(?i)\s?{_OPEN}(?:at|@){_CLOSE}\s?")
 _DOT = re.compile(rf"(?i)\s?{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}\s?")
-_LABEL = r"[A-Za-z0-9-]+"
+# "-at-" and "-dot-" always part labels, so that a run of them is read once
+_LABEL = r"(?:[A-Za-z0-9]|-(?!(?:at|dot)[_-]))++"
 # Last labels that make a spoken "at ... dot ..." an address and not prose.
 _TOP = ("com|org|net|edu|gov|mil|int|info|biz|io|dev|app|co|uk|de|fr|es|eu|ca|au|ch|nl|jp|br|ru|cn|pl|se|mx|ar"
         "|example|test|invalid|localhost")
@@ -151,7 +150,6 @@ _SPOKEN_DOT = r"(?:\x20dot\x20|[_-]dot[_-]|\x20\.\x20|\.)"
 _SAID = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:\x20(?:at|@)\x20|[_-]at[_-]|\x20@|@\x20)"
                    rf"(?={_LABEL}(?:{_SPOKEN_DOT}{_LABEL}){{0,8}}?{_SPOKEN_DOT}(?:{_TOP})(?![A-Za-z0-9]))")
 _SAID_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9-])(?:\x20dot\x20|[_-]dot[_-]|\x20\.\x20)(?={_LABEL})")
-_MAYBE_SAID = re.compile(r"[(\[{<]\s?(?:at|dot|punkt|punto|point|@|\.)\s?[)\]}>]|[\x20_-]dot[\x20_-]|\x20@|@\x20")
 
 
 class Traced:
@@ -181,15 +179,20 @@ class Traced:
             self.ends = np.concatenate([*ends, self.ends[last:]])
 
 
+def _digit(word: str) -> str:
+    # the letters that (?i) takes for "i" and "s"
+    word = word.casefold().replace("\u0131", "i").replace("\u0307", "")
+    return DIGIT_WORDS.get(word, word)
+
+
 def _spell(m) -> str | None:
     if m["plus"]:
         return "+"
     if m["oh"]:
         return "0"
     if m["digit"]:
-        return DIGIT_WORDS[m["digit"].lower()]
-    what = m["what"].lower()
-    return DIGIT_WORDS.get(what, what) * (2 if m["many"].lower() == "double" else 3)
+        return _digit(m["digit"])
+    return _digit(m["what"]) * (2 if m["many"].lower() == "double" else 3)
 
 
 def _say_dots(traced: Traced) -> None:
@@ -209,23 +212,17 @@ def _say_dots(traced: Traced) -> None:
 
 
 def normalise(text: str) -> Traced | None:
-    """The text read through all transducers; None if no place needs them."""
-    odd = not text.isascii() and not _ODD.isdisjoint(text)
+    """The text read through all transducers; None if none of them rewrites a place."""
     traced = Traced(text)
-    if odd:
+    if not text.isascii() and not _ODD.isdisjoint(text):
         traced.rewrite(_CHARACTER, lambda m: CHARACTERS[m[0]])
-    low = " " + traced.text.lower()
-    spelled = _MAYBE_SPELLED.search(low) is not None
-    said = _MAYBE_SAID.search(low) is not None
-    if spelled:
-        traced.rewrite(_SPELLED, _spell)
-        traced.rewrite(_SPACED_PLUS, lambda m: "+")
-    if said:
-        traced.rewrite(_AT, lambda m: "@")
-        traced.rewrite(_DOT, lambda m: ".")
-        traced.rewrite(_SAID, lambda m: "@")
-        _say_dots(traced)
-    return traced if odd or spelled or said else None
+    traced.rewrite(_SPELLED, _spell)
+    traced.rewrite(_SPACED_PLUS, lambda m: "+")
+    traced.rewrite(_AT, lambda m: "@")
+    traced.rewrite(_DOT, lambda m: ".")
+    traced.rewrite(_SAID, lambda m: "@")
+    _say_dots(traced)
+    return None if traced.text is text else traced
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -59,6 +59,32 @@ def test_long_runs_take_linear_time():
         pii.find(text)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("write jane at example.com please", ("email", "jane at example.com")),
+    ("see jane_at_example.com", ("email", "jane_at_example.com")),
+    ("call + 49 30 1234567 89 now", ("phone", "+ 49 30 1234567 89")),
+    ("call plus49 30 1234567 89 now", ("phone", "plus49 30 1234567 89")),
+    ("call + f\u0131ve 5 5 5 1 2 3 4 5 6 s\u0131x", ("phone", "+ f\u0131ve 5 5 5 1 2 3 4 5 6 s\u0131x")),
+])
+def test_disguises_need_no_other_hit_in_the_text(text, found):
+    assert found in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text)[1]]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["jane", "example", "com", "uk", "49", "30123456", "789", "plus", "double", "one", "oh", "at", "_at_",
+                                 "-at-", "dot", "-dot-", " at ", " dot ", " @ ", "(at)", "[dot]", "+", ".", "-", " ", "\n", "\u0131"]),
+                max_size=24).map("".join))
+def test_what_stands_elsewhere_changes_no_span(text):
+    spans = pii.find(text)[1]
+    for more in ("\n\nonly one left, double two", "\n\nx dot y", "\n\nx [dot] y"):
+        assert [s for s in pii.find(text + more)[1] if s[0] < len(text)] == spans
+
+
+def test_runs_of_disguise_words_take_linear_time():
+    for text in ("-at-a" * 40_000, " at a.a" * 30_000, "x at a" + "-dot-a" * 30_000, "a at " + "b" * 200_000, "_at_" * 50_000):
+        pii.find(text)
+
+
 def test_pii_rows_and_redaction(spark):
     found = pii.scan(table(spark)).collect()
     assert len(found) == len(rows())
