@@ -120,7 +120,8 @@ class CachedEncoder:
     and frequent ones stay. A part that is one run of letters, with or without
     punctuation after it, is cut by the splitter in the obvious places and goes
     straight to the library's merge model; other parts take its whole path.
-    Tokenizers of another kind encode whole texts.
+    Tokenizers of another kind encode whole texts. Added tokens written out in
+    a text ("<|endoftext|>") get their own id, as the library gives it.
     """
 
     _TWO = re.compile(r"\s\s")
@@ -133,13 +134,13 @@ class CachedEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(tokenizer_path)
-        self._tok.encode_special_tokens = True
         self._model = self._tok.model
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         self._byte_level = (spec["normalizer"] is None and pre.get("type") == "ByteLevel"
-                            and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+                            and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+                            and all(map(self._apart, spec.get("added_tokens") or [])))
         # the splitter's printable stand-in of each byte: itself if printable, else from U+0100 up
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in set(shown))
@@ -149,6 +150,12 @@ class CachedEncoder:
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
+    def _apart(self, added: dict) -> bool:
+        """Whether an added token always lies inside one part, and never in a plain word or its tail."""
+        content = added["content"]
+        return (not (added["lstrip"] or added["rstrip"] or added["single_word"] or re.search(r"[\s\0]", content))
+                and any(not c.isalpha() and c not in self._TAIL for c in content))
+
     def _parts(self, text: str) -> list[str]:
         if "\0" in text or not self._byte_level:
             return [text]

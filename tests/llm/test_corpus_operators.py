@@ -1,5 +1,6 @@
 """Token store, sentence pieces, near and substring duplicates, rollups, language model: against brute force."""
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -14,6 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 from stockspark.llm import maxent_lm, near_dup, sentence_pieces, substring_dup, token_rollup, token_store
 
@@ -45,6 +47,33 @@ def test_cached_encoder_equals_library(text):
     assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc._tok.encode(text, add_special_tokens=False).ids
 
 
+@functools.cache
+def fresh_tokenizer():
+    return Tokenizer.from_file(BPE)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.", "é", " ", "\n", "\t", "'s", "<", "|>", "\0", "<|endoftext|>", " <|endoftext|> "]),
+                max_size=16).map("".join))
+def test_encoder_equals_a_freshly_loaded_library(text):
+    fresh = fresh_tokenizer()
+    enc = token_store.cached_encoder(BPE)
+    for t in (text, "a <|endoftext|> b"):
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("added", [{"content": "foo"}, {"content": "&&"}, {"content": "<a b>"}, {"content": "<x>", "lstrip": True},
+                                   {"content": "<x>", "rstrip": True}, {"content": "<x>", "single_word": True}])
+def test_added_tokens_of_any_kind(added, tmp_path):
+    tok = Tokenizer.from_file(BPE)
+    tok.add_special_tokens([AddedToken(**added)])
+    path = str(tmp_path / "tokenizer.json")
+    tok.save(path)
+    text = "a foo foo. foobar a&& && b <a b> c <x> d<x>e\n<x>\n <x> foo\nfoo"
+    got = token_store.CachedEncoder(path).encode([text, "foo", "b&&"])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in (text, "foo", "b&&")]
+
+
 def test_store_round_trip_and_random_access(spark):
     path = os.path.join(tempfile.mkdtemp(), "dac")
     token_store.write_store(table(spark), path, BPE, end_id=2)
