@@ -7,8 +7,8 @@ for:
 
 1. look-alike letters, full-width and styled characters become ASCII, invisible
    characters vanish;
-2. spelled digits ("four", "double five", "oh" among digits) become digits and
-   "plus" before them "+";
+2. spelled digits ("four", "vier", "double five", "oh" among digits) become digits
+   and "plus" or "más" before them "+";
 3. "(at)", "[dot]", " @ ", and "name at host dot com" become "@" and ".".
 
 The same detectors run over the result, and their spans map back to source
@@ -109,8 +109,16 @@ def detect(text: str) -> list[tuple[int, int, int]]:
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁӏԛԝһҽАВЕКМНОРСТУХІЈЅԌ" "αονρυικχτΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
                        "aeopcyxijsdlqwheABEKMHOPCTYXIJSG" "aovpuikxtABEZHIKMNOPTYX"))
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-               "seven": "7", "eight": "8", "nine": "9"}
+# The words for 0 to 9, by language of the corpus.
+DIGITS_OF = {
+    "en": "zero one two three four five six seven eight nine",
+    "de": "null eins zwei|zwo drei vier fünf|fuenf sechs sieben acht neun",
+    "fr": "zéro un|une deux trois quatre cinq six sept huit neuf",
+    "es": "cero uno|un|una dos tres cuatro cinco seis siete ocho nueve",
+}
+DIGIT_WORDS = {form: str(d) for spoken in DIGITS_OF.values() for d, words in enumerate(spoken.split()) for word in words.split("|")
+               for form in (word, unicodedata.normalize("NFD", word))}
+ARTICLES = ("un", "une", "una")  # digits only after a digit word, or before one or a digit
 
 
 def _styled() -> dict[str, str]:
@@ -132,23 +140,37 @@ CHARACTERS = {**_styled(), **LOOK_ALIKES, "․": ".", "。": ".", "｡": ".", "
 _ODD = frozenset(CHARACTERS)
 _CHARACTER = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
 
-_NUMBER = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:(?P<plus>plus)(?=[\x20-]*(?:[0-9]|(?:{_NUMBER})(?![A-Za-z])))"
-                      rf"|(?P<many>double|triple)[\x20-]+(?P<what>{_NUMBER}|[0-9])(?![A-Za-z0-9])"
-                      rf"|(?P<digit>{_NUMBER})(?![A-Za-z])"
-                      rf"|(?<=[0-9eorxnt][\x20-])(?P<oh>oh|o)(?=[\x20-](?:[0-9]|oh|o|{_NUMBER})(?![A-Za-z])))")
+_NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_LETTER = "A-Za-zÀ-ÖØ-öø-\u024f\u0300-\u036f"  # of the languages' words
+_SPELLED = re.compile(rf"(?i)(?<![{_LETTER}])(?:(?P<plus>plus|m(?:a\u0301?|á)s)(?=[\x20-]*(?:[0-9]|(?:{_NUMBER})(?![{_LETTER}])))"
+                      rf"|(?P<many>double|triple)[\x20-]+(?P<what>{_NUMBER}|[0-9])(?![{_LETTER}0-9])"
+                      rf"|(?P<digit>{_NUMBER})(?![{_LETTER}])"
+                      rf"|(?<=[0-9eorxnt][\x20-])(?P<oh>oh|o)(?=[\x20-](?:[0-9]|oh|o|{_NUMBER})(?![{_LETTER}])))")
+_DIGIT_BEFORE = re.compile(rf"(?i)(?<![{_LETTER}])(?:{_NUMBER})[\x20-]\Z")
+_DIGIT_AFTER = re.compile(rf"(?i)[\x20-](?:[0-9]|(?:{_NUMBER})(?![{_LETTER}]))")
 _SPACED_PLUS = re.compile(r"\+\x20+(?=[0-9])")
 _OPEN, _CLOSE = r"[(\[{<]\s?", r"\s?[)\]}>]"
 _AT = re.compile(rf"(?i)\s?{_OPEN}(?:at|@){_CLOSE}\s?")
 _DOT = re.compile(rf"(?i)\s?{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}\s?")
 # "-at-" and "-dot-" always part labels, so that a run of them is read once
 _LABEL = r"(?:[A-Za-z0-9]|-(?!(?:at|dot)[_-]))++"
-# Last labels that make a spoken "at ... dot ..." an address and not prose.
+# Last labels that make an "at" before plain dots an address and not prose.
 _TOP = ("com|org|net|edu|gov|mil|int|info|biz|io|dev|app|co|uk|de|fr|es|eu|ca|au|ch|nl|jp|br|ru|cn|pl|se|mx|ar"
         "|example|test|invalid|localhost")
+# After a dot said aloud every last label of three letters or more counts, and of those of two
+# letters, which are all country codes, the ones in use.
+_COUNTRY = "|".join("a[cdefgilmoqrstuwxz] b[abdefghijmnorstvwyz] c[acdfghiklmnoruvwxyz] d[ejkmoz] e[ceghrstu] f[ijkmor] "
+                    "g[abdefghilmnpqrstuwy] h[kmnrtu] i[delmnoqrst] j[emop] k[eghimnprwyz] l[abcikrstuvy] "
+                    "m[acdeghklmnopqrstuvwxyz] n[acefgilopruz] om p[aefghklmnrstwy] qa r[eosuw] s[abcdeghijklmnorstuvxyz] "
+                    "t[cdfghjklmnortvwz] u[agksyz] v[aceginu] w[fs] y[et] z[amw]".split())
+_SPOKEN_TOP = rf"(?:{_COUNTRY}|(?!(?:dot|punkt|punto|point)(?![A-Za-z0-9]))[A-Za-z]{{3,}})"
+_SAID_ALOUD = r"(?:\x20dot\x20|[_-]dot[_-])"
 _SPOKEN_DOT = r"(?:\x20dot\x20|[_-]dot[_-]|\x20\.\x20|\.)"
-_SAID = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:\x20(?:at|@)\x20|[_-]at[_-]|\x20@|@\x20)"
-                   rf"(?={_LABEL}(?:{_SPOKEN_DOT}{_LABEL}){{0,8}}?{_SPOKEN_DOT}(?:{_TOP})(?![A-Za-z0-9]))")
+_SAID = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:"
+                   rf"(?:\x20(?:at|@)\x20|[_-]at[_-]|\x20@|@\x20)"
+                   rf"(?={_LABEL}(?:{_SPOKEN_DOT}{_LABEL}){{0,8}}?{_SPOKEN_DOT}(?:{_TOP})(?![A-Za-z0-9]))"
+                   rf"|(?:\x20at\x20|[_-]at[_-])"
+                   rf"(?={_LABEL}(?:{_SPOKEN_DOT}{_LABEL}){{0,8}}?{_SAID_ALOUD}{_SPOKEN_TOP}(?![A-Za-z0-9])))")
 _SAID_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9-])(?:\x20dot\x20|[_-]dot[_-]|\x20\.\x20)(?={_LABEL})")
 
 
@@ -181,7 +203,7 @@ class Traced:
 
 def _digit(word: str) -> str:
     # the letters that (?i) takes for "i" and "s"
-    word = word.casefold().replace("\u0131", "i").replace("\u0307", "")
+    word = word.lower().replace("\u017f", "s").replace("\u0131", "i").replace("\u0307", "")
     return DIGIT_WORDS.get(word, word)
 
 
@@ -191,7 +213,9 @@ def _spell(m) -> str | None:
     if m["oh"]:
         return "0"
     if m["digit"]:
-        return _digit(m["digit"])
+        alone = m["digit"].lower() in ARTICLES and not (
+            _DIGIT_AFTER.match(m.string, m.end()) or _DIGIT_BEFORE.search(m.string[max(0, m.start() - 10):m.start()]))
+        return None if alone else _digit(m["digit"])
     return _digit(m["what"]) * (2 if m["many"].lower() == "double" else 3)
 
 

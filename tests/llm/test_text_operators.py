@@ -70,6 +70,34 @@ def test_disguises_need_no_other_hit_in_the_text(text, found):
     assert found in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text)[1]]
 
 
+@pytest.mark.parametrize("text, found", [
+    ("schreib jane at firma dot it heute", ("email", "jane at firma dot it")),
+    ("jane_at_firma_dot_xyz", ("email", "jane_at_firma_dot_xyz")),
+    ("write jo at mail dot firma dot us", ("email", "jo at mail dot firma dot us")),
+    ("jo at firma dot museum!", ("email", "jo at firma dot museum")),
+    ("ruf plus vier neun drei null eins zwei drei vier fünf sechs an",
+     ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs")),
+    ("appelez plus trois trois un deux trois quatre cinq six sept huit neuf z\u00e9ro ici",
+     ("phone", "plus trois trois un deux trois quatre cinq six sept huit neuf z\u00e9ro")),
+    ("llama al m\u00e1s tres cuatro cero uno dos siete ocho nueve cinco seis", ("phone", "m\u00e1s tres cuatro cero uno dos siete ocho nueve cinco seis")),
+    ("PLUS VIER NEUN DREI ZWO FU\u0308NF FUENF ACHT SIEBEN SECHS NULL.", ("phone", "PLUS VIER NEUN DREI ZWO FU\u0308NF FUENF ACHT SIEBEN SECHS NULL")),
+])
+def test_spoken_hosts_and_digits_of_the_corpus_languages(text, found):
+    assert found in [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text)[1]]
+
+
+@pytest.mark.parametrize("text", ["un homme et une femme", "look at that dot on the wall", "los \u00eddos y el algodos", "at noon dot punkt",
+                                  "at home. The end", "meet at ten. It was late"])
+def test_words_of_the_languages_alone_are_no_data(text):
+    assert pii.find(text) == ([], [])
+    assert pii.normalise(text) is None
+
+
+def test_an_article_after_a_plain_number_stays_outside():
+    text = "appelez +33 1 23 45 67 89 un jour"
+    assert pii.find(text)[1] == pii.detect(text) == [(8, 3, 25)]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["jane", "example", "com", "uk", "49", "30123456", "789", "plus", "double", "one", "oh", "at", "_at_",
                                  "-at-", "dot", "-dot-", " at ", " dot ", " @ ", "(at)", "[dot]", "+", ".", "-", " ", "\n", "\u0131"]),
