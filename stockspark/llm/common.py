@@ -175,3 +175,27 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5):
             yield np.zeros(0, np.uint64)
         else:
             yield np.unique(gram_hashes(h[a:b], min(k, int(b - a))))
+
+
+# ----------------------------------------------------------------- small tables
+
+BROADCAST_BYTES = 8 << 20
+DEALS = 64
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], salt: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``table``, whose ``keys`` are unique; null keys match null.
+
+    ``table`` should be a written table: its bytes are summed first. Up to
+    BROADCAST_BYTES it is broadcast; a larger one is repeated for DEALS values of a
+    salt, by which the rows of a hot key are dealt to as many tasks.
+    """
+    named = [f"_key{i}" for i in range(len(keys))]
+    table = table.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], *[c for c in table.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)]
+    small = (table.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+    if small:
+        return rows.join(F.broadcast(table), on, how).drop(*named)
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*salt), F.lit(DEALS)))
+    table = table.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return rows.join(table, [*on, F.col("_deal") == F.col("_dealt")], how).drop(*named, "_deal", "_dealt")
