@@ -180,22 +180,33 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5):
 # ----------------------------------------------------------------- small tables
 
 BROADCAST_BYTES = 8 << 20
-DEALS = 64
+HOT_ROWS = 100_000
+HOT_KEYS = 1000
 
 
 def look_up(rows: DataFrame, table: DataFrame, keys: list[str], salt: list[str], how: str = "left") -> DataFrame:
     """``rows`` with the columns of ``table``, whose ``keys`` are unique; null keys match null.
 
-    ``table`` should be a written table: its bytes are summed first. Up to
-    BROADCAST_BYTES it is broadcast; a larger one is repeated for DEALS values of a
-    salt, by which the rows of a hot key are dealt to as many tasks.
+    Both should be written tables: the bytes of ``table`` are summed first. Up to
+    BROADCAST_BYTES it is broadcast. Otherwise keys of over HOT_ROWS rows (at most
+    HOT_KEYS keys) are dealt by ``salt`` to as many tasks as they need, and their
+    row of ``table`` is repeated for each; other keys are joined as they are.
     """
     named = [f"_key{i}" for i in range(len(keys))]
     table = table.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], *[c for c in table.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named)]
+
+    def same(left: list[str], right: list[str]) -> list[Column]:
+        return [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
+
     small = (table.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
     if small:
-        return rows.join(F.broadcast(table), on, how).drop(*named)
-    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*salt), F.lit(DEALS)))
-    table = table.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    return rows.join(table, [*on, F.col("_deal") == F.col("_dealt")], how).drop(*named, "_deal", "_dealt")
+        return rows.join(F.broadcast(table), same(keys, named), how).drop(*named)
+    bound = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot_key = [f"_hot{i}" for i in range(len(keys))]
+    hot = save(rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, hot_key)]).agg(F.ceil(F.count("*") / bound).alias("_deals"))
+               .where("_deals > 1"), "hot-keys")
+    rows = rows.join(F.broadcast(hot), same(keys, hot_key), "left").withColumn(
+        "_deal", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_deals")), F.lit(0).cast("long"))).drop(*hot_key, "_deals")
+    table = table.join(F.broadcast(hot), same(named, hot_key), "left").withColumn(
+        "_dealt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1).cast("long")) - 1))).drop(*hot_key, "_deals")
+    return rows.join(table, [*same(keys, named), F.col("_deal") == F.col("_dealt")], how).drop(*named, "_deal", "_dealt")

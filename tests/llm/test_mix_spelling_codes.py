@@ -113,8 +113,9 @@ def test_look_up_beyond_the_broadcast_bound(spark, monkeypatch):
     big = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5) for i in range(100)], "i long, k long")
     small = spark.createDataFrame([(None, "n"), (1, "one"), (2, "two")], "k long, word string")
     want = sorted((i, {None: "n", 1: "one", 2: "two"}.get(None if i % 3 == 0 else i % 5)) for i in range(100))
-    for bound in (common.BROADCAST_BYTES, 0):
+    for bound, hot in ((common.BROADCAST_BYTES, common.HOT_ROWS), (0, common.HOT_ROWS), (0, 4)):
         monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         got = common.look_up(big, small, ["k"], ["i"])
         assert sorted((r.i, r.word) for r in got.collect()) == want
 
