@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 # exponent notation, inf/infinity/nan, surrounding whitespace. Spark's own
 # cast additionally accepts "5d"/"5f" suffixes, which must stay invalid.
 _NUM_RE = (r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$")
-# Python's float() also accepts digit groups separated by single underscores.
-_PYFLOAT_RE = (r"(?i)^\s*[+-]?(((\d(_?\d)*)(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)(e[+-]?\d(_?\d)*)?"
+# Python's int() and float() also accept digit groups separated by single underscores.
+# Possessive: java.util.regex would recurse once per digit and overflow on long cells.
+_DIGITS = r"\d++(?:_\d++)*+"
+_PYFLOAT_RE = (rf"(?i)^\s*[+-]?(({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})(e[+-]?{_DIGITS})?"
                r"|inf|infinity|nan)\s*$")
 
 
@@ -69,7 +71,7 @@ def money(c) -> Column:
     return parse_number(F.regexp_replace(_as_col(c).cast("string"), r"[$,]", ""))
 
 
-_PYINT_RE = r"^\s*[+-]?\d(_?\d)*\s*$"
+_PYINT_RE = rf"^\s*[+-]?{_DIGITS}\s*$"
 
 
 def py_int(c) -> Column:
