@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from stockspark.config import ORDER_STATUSES
 from stockspark.functions.keys import strip_ws
 from stockspark.functions.numeric import py_float
-from stockspark.operators.ordering import add_buckets, segmented_sums
+from stockspark.operators.ordering import add_buckets, global_row_number, segmented_sums
 from stockspark.session import materialize
+from stockspark.sinks.tableset import TableSet
 
 ITEM_SCHEMA = "array<struct<product_sku:string,quantity:string,price_at_order:string>>"
 
@@ -74,6 +75,32 @@ def _prefix(d: DataFrame, values: dict) -> DataFrame:
     return segmented_sums(d, ["pid"], ["row"], values, inclusive=False)
 
 
+def decide(demand: DataFrame, state: DataFrame) -> DataFrame:
+    """The rounds: ``state`` (row, state U or R; a written table) with every U turned into A or R.
+
+    ``demand``: pid, row, dq, _maxq (the largest line), stock and the bucket of ``row``."""
+    rounds = 0
+    undecided = state.where(F.col("state") == "U").count()
+    while undecided > 0:
+        rounds += 1
+        d = demand.join(state, "row")
+        d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint"),
+                        "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
+        # the largest line of a product in the order decides (lines do not see each other)
+        per = d.where(F.col("state") == "U").groupBy("row").agg(
+            F.bool_and(F.col("stock") - F.col("ub") >= F.col("_maxq")).alias("_sure_ok"),
+            F.bool_or(F.col("stock") - F.col("lb") < F.col("_maxq")).alias("_sure_bad"))
+        new = (state.join(per, "row", "left")
+               .select("row", F.when((F.col("state") == "U") & F.col("_sure_ok"), F.lit("A"))
+                       .when((F.col("state") == "U") & F.col("_sure_bad"), F.lit("R"))
+                       .otherwise(F.col("state")).alias("state")))
+        # the undecided count of the next round is observed while writing the new state
+        obs = Observation(f"admission-round-{rounds}")
+        state = materialize(new.observe(obs, F.count_if(F.col("state") == "U").alias("u")))
+        undecided = obs.get["u"]
+    return state
+
+
 def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets: int | None = None):
     """Run the admission. ``products``: id, sku, quantity.
 
@@ -102,25 +129,7 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
     state = cand.select("row", F.when(F.col("_first_static").isNotNull(), F.lit("R")).otherwise(F.lit("U"))
                         .alias("state"))
     state = materialize(state)
-    rounds = 0
-    undecided = state.where(F.col("state") == "U").count()
-    while undecided > 0:
-        rounds += 1
-        d = demand.join(state, "row")
-        d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint"),
-                        "ub": F.when(F.col("state").isin("A", "U"), F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
-        # the largest line of a product in the order decides (lines do not see each other)
-        per = d.where(F.col("state") == "U").groupBy("row").agg(
-            F.bool_and(F.col("stock") - F.col("ub") >= F.col("_maxq")).alias("_sure_ok"),
-            F.bool_or(F.col("stock") - F.col("lb") < F.col("_maxq")).alias("_sure_bad"))
-        new = (state.join(per, "row", "left")
-               .select("row", F.when((F.col("state") == "U") & F.col("_sure_ok"), F.lit("A"))
-                       .when((F.col("state") == "U") & F.col("_sure_bad"), F.lit("R"))
-                       .otherwise(F.col("state")).alias("state")))
-        # the undecided count of the next round is observed while writing the new state
-        obs = Observation(f"admission-round-{rounds}")
-        state = materialize(new.observe(obs, F.count_if(F.col("state") == "U").alias("u")))
-        undecided = obs.get["u"]
+    state = decide(demand, state)
     # final availability per line (accepted-only prefix) -> first failing item and its message
     d = demand.join(state, "row")
     d = _prefix(d, {"lb": F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")})
@@ -149,3 +158,67 @@ def admit(rows: DataFrame, products: DataFrame, row_col: str = "row", n_buckets:
 def merge_lines(items: DataFrame) -> DataFrame:
     """AGG-16: repeated lines of one product in an order become one line."""
     return items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("quantity"))
+
+
+def create_orders(requests: DataFrame, lines: DataFrame, products: DataFrame, orders: DataFrame,
+                  n_buckets: int | None = None) -> dict[str, DataFrame]:
+    """DML-6: create orders in ``row`` sequence; all lines of an order or none.
+
+    ``requests``: row (unique), customer_name, order_date. ``lines``: row, line,
+    product_id, quantity. ``products``: id, sku, quantity, price. Lines of one product
+    become one (at the place of the first) before they are held against the stock that
+    earlier created orders left; a line keeps the product's price as ``price_at_order``.
+
+    Returns ``decisions`` (row, order_id - null if refused -, error), the new ``orders``
+    (id, customer_name, order_date, status) and ``items`` (order_id, line_no, product_id,
+    quantity, price_at_order), and ``products`` with what is left. Ids follow the
+    largest id of ``orders`` in row order.
+    """
+    customer = strip_ws(F.coalesce("customer_name", F.lit("")))
+    bad = ~F.coalesce(F.col("quantity") > 0, F.lit(False))
+    held = lines.groupBy("row").agg(F.count(F.lit(1)).alias("_lines"), F.count_if(bad).alias("_bad"))
+    error = (F.when(customer == "", "Customer name is required.")
+             .when(F.col("_lines").isNull(), "Order must contain at least one product.")
+             .when(F.col("_bad") > 0, "Quantity must be greater than 0."))
+    asked = materialize(requests.join(held, "row", "left").select(
+        "row", customer.alias("customer_name"), "order_date", error.alias("header_error")))
+    valid = asked.where(F.col("header_error").isNull())
+    merged = (lines.join(valid.select("row"), "row", "left_semi").groupBy("row", "product_id")
+              .agg(F.sum(F.col("quantity").cast("bigint")).alias("dq"), F.min("line").alias("line")))
+    stock = products.select(F.col("id").alias("pid"), "sku", F.col("quantity").cast("bigint").alias("stock"), "price")
+    merged = materialize(merged.join(stock, F.col("product_id") == F.col("pid"), "left"))
+    unknown = merged.where(F.col("pid").isNull()).select("row").distinct().withColumn("_unknown", F.lit(True))
+    state = materialize(valid.select("row").join(unknown, "row", "left").select(
+        "row", F.when(F.col("_unknown"), "R").otherwise("U").alias("state")))
+    known = merged.where(F.col("pid").isNotNull()).select("pid", "row", "dq", F.col("dq").alias("_maxq"), "stock")
+    demand = add_buckets(materialize(known), "row", n_buckets)
+    state = decide(demand, state)
+    taken = F.when(F.col("state") == "A", F.col("dq")).otherwise(F.lit(0)).cast("bigint")
+    left = _prefix(demand.join(state, "row"), {"lb": taken}).select("pid", "row", (F.col("stock") - F.col("lb")).alias("avail"))
+    short = (merged.join(left, ["pid", "row"], "left").where(F.col("pid").isNull() | (F.col("avail") < F.col("dq")))
+             .groupBy("row").agg(F.min_by(F.struct("sku", "avail"), F.struct("line", "product_id")).alias("_f")))
+    created = state.where(F.col("state") == "A").select("row")
+    base = int(orders.agg(F.max("id")).first()[0] or 0)
+    ids = global_row_number(created, ["row"], "_rank").select("row", (F.col("_rank") + base).alias("order_id"))
+    ids = materialize(ids)
+    message = F.format_string("Not enough stock for %s. Available: %d", F.coalesce("_f.sku", F.lit("?")), F.coalesce("_f.avail", F.lit(0)))
+    decisions = asked.join(ids, "row", "left").join(short, "row", "left").select(
+        "row", "order_id", F.coalesce("header_error", F.when(F.col("order_id").isNull(), message)).alias("error"))
+    new_orders = asked.join(ids, "row").select(F.col("order_id").alias("id"), "customer_name", "order_date", F.lit("Pending").alias("status"))
+    items = merged.join(ids, "row").select("order_id", F.col("line").alias("line_no"), "product_id", F.col("dq").alias("quantity"),
+                                           F.col("price").alias("price_at_order"))
+    used = items.groupBy(F.col("product_id").alias("_pid")).agg(F.sum("quantity").alias("_used"))
+    after = products.join(used, products["id"] == F.col("_pid"), "left").select(
+        *[(F.col("quantity") - F.coalesce("_used", F.lit(0))).cast(products.schema["quantity"].dataType).alias("quantity")
+          if c == "quantity" else F.col(c) for c in products.columns])
+    return {"decisions": decisions, "orders": new_orders, "items": items, "products": after}
+
+
+def publish_orders(tables: TableSet, batch: int, requests: DataFrame, lines: DataFrame) -> bool:
+    """DML-6 on published tables ``orders``, ``order_items``, ``products``: orders, items and stock
+    appear under one record, with the batch's ``order_decisions``. False if the batch was published before."""
+    if tables.done("create_orders", batch):
+        return False
+    made = create_orders(requests, lines, tables.read("products"), tables.read("orders"))
+    return tables.publish("create_orders", batch, replace={"products": made["products"], "order_decisions": made["decisions"]},
+                          append={"orders": made["orders"], "order_items": made["items"]})

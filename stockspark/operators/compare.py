@@ -510,8 +510,13 @@ def change_feed(ec: DataFrame, wh: DataFrame, ec_keys: Sequence[str], ec_qty: st
                 wh_norm: Normalization = Normalization(), order_col: str = "_ord") -> DataFrame:
     """(sku, ec_qty, wh_qty, key) for keys whose quantities differ; missing side = 0;
     blank EC sku falls back to the key. The new quantity is the EC one."""
-    e = change_side(ec, ec_keys, ec_qty, ec_norm, ec_sku, order_col).alias("e")
-    w = change_side(wh, wh_keys, wh_qty, wh_norm, None, order_col).alias("w")
+    return compare_sides(change_side(ec, ec_keys, ec_qty, ec_norm, ec_sku, order_col),
+                         change_side(wh, wh_keys, wh_qty, wh_norm, None, order_col))
+
+
+def compare_sides(ec: DataFrame, wh: DataFrame) -> DataFrame:
+    """``change_feed`` of sides that ``change_side`` made: (key, qty, sku) and (key, qty)."""
+    e, w = ec.alias("e"), wh.alias("w")
     j = e.join(w, F.col("e.key") == F.col("w.key"), "full")
     key = F.coalesce(F.col("e.key"), F.col("w.key"))
     eq = F.coalesce(F.col("e.qty"), F.lit(0).cast("bigint"))
