@@ -30,10 +30,12 @@ ORDER, ACKED, BACKORDERED, DISPATCHED, CANCEL_ACK = (
 
 
 def replay_commands(cmds: DataFrame, order_col: str = "order_id", ts_col: str = "ts",
-                    seq_col: str = "seq", n_buckets: int = 64) -> DataFrame:
+                    seq_col: str = "seq", n_buckets: int | None = 64, initial: DataFrame | None = None) -> DataFrame:
     """Per command: accepted flag and the state after it.
 
     Input columns: order_id, ts, seq, command, carrier, service, tracking_number, reason.
+    ``initial`` (order_id, status; one row an order) gives the state that earlier
+    commands left; orders without a row start in ORDER.
     """
     known = [c for c, _, _ in CARRIERS]
     cmd = F.col("command")
@@ -50,11 +52,17 @@ def replay_commands(cmds: DataFrame, order_col: str = "order_id", ts_col: str =
     d = segmented_scan(d, [order_col], [ts_col, seq_col], "_ab", "_prev_ab", how="last", inclusive=False,
                        bucket_col="_tsd", n_buckets=n_buckets)
     d = d.join(term, order_col, "left")
+    start, over = F.lit(ORDER), F.lit(False)
+    if initial is not None:
+        d = d.join(initial.select(F.col("order_id").alias(order_col), F.col("status").alias("_start")), order_col, "left")
+        start = F.coalesce("_start", F.lit(ORDER))
+        over = start.isin(DISPATCHED, CANCEL_ACK)  # the terminal command came before all of these
+        d = d.withColumn("_t_cmd", F.when(start == DISPATCHED, DISPATCH).when(start == CANCEL_ACK, CANCEL).otherwise(F.col("_t_cmd")))
     prev_state = (F.when(F.col("_prev_ab") == ACK, ACKED).when(F.col("_prev_ab") == BACKORDER, BACKORDERED)
-                  .otherwise(ORDER))
+                  .otherwise(start))
     t_state = F.when(F.col("_t_cmd") == DISPATCH, DISPATCHED).otherwise(CANCEL_ACK)
-    before = F.col("_t_ord").isNull() | (F.col("_ord") < F.col("_t_ord"))
-    at = F.col("_ord") == F.col("_t_ord")
+    before = ~over & (F.col("_t_ord").isNull() | (F.col("_ord") < F.col("_t_ord")))
+    at = ~over & F.coalesce(F.col("_ord") == F.col("_t_ord"), F.lit(False))
     accepted = (F.when(before, (cmd == BACKORDER) | ((cmd == ACK) & (prev_state != ACKED)))
                 .when(at, F.lit(True))
                 .otherwise((F.col("_t_cmd") == CANCEL) & (cmd == CANCEL)))

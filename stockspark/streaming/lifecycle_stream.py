@@ -1,80 +1,70 @@
-"""STM-2: order lifecycle commands as a keyed stream with per-order state.
+"""STM-2: order lifecycle commands as a stream with per-order state.
 
-Each order's state (status) lives in Spark's state store; every micro-batch
-replays that order's new commands in (ts, seq) order with the same rules as
-the batch closed form (``operators.lifecycle``), which is the oracle.
-The per-order work in one micro-batch is bounded by the batch size
-(``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``).
+Every micro-batch is replayed with the batch closed form
+(``operators.lifecycle.replay_commands``), starting from the status that each of its
+orders had: a first-terminal aggregate, a two-level "last acknowledge or backorder"
+scan and row-wise logic. No order's commands are brought together in one task, however
+many a batch holds. The statuses are a keyed state table (``sinks.tableset``): a
+batch reads those of its orders and publishes those that it changed.
+
+A batch writes its outcomes to a folder of its own, then publishes the state. A
+retried batch either repeats both, or finds the state published and does nothing.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from stockspark.config import CARRIERS
-from stockspark.operators.lifecycle import (ACK, ACKED, BACKORDER, BACKORDERED, CANCEL, CANCEL_ACK, DISPATCH,
-                                            DISPATCHED, ORDER)
-
-OUTPUT_SCHEMA = ("order_id long, ts {ts}, seq long, command string, accepted boolean, "
-                 "state_before string, state_after string")
-STATE_SCHEMA = "status string"
-_KNOWN = {c for c, _, _ in CARRIERS}
-
-
-def step(status: str, command: str, carrier) -> tuple[bool, str]:
-    """One command against the current status -> (accepted, new status)."""
-    if command == ACK:
-        ok = status in (ORDER, BACKORDERED)
-        return ok, (ACKED if ok else status)
-    if command == BACKORDER:
-        ok = status not in (DISPATCHED, CANCEL_ACK)
-        return ok, (BACKORDERED if ok else status)
-    if command == DISPATCH:
-        ok = status in (ORDER, ACKED, BACKORDERED) and carrier in _KNOWN
-        return ok, (DISPATCHED if ok else status)
-    if command == CANCEL:
-        ok = status != DISPATCHED
-        return ok, (CANCEL_ACK if ok else status)
-    return False, status
-
-
-def _replay(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status = state.get[0] if state.exists else ORDER
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-    acc, before, after = [], [], []
-    for cmd, carrier in zip(batch["command"], batch["carrier"]):
-        before.append(status)
-        ok, status = step(status, cmd, carrier)
-        acc.append(ok)
-        after.append(status)
-    state.update((status,))
-    yield pd.DataFrame({"order_id": batch["order_id"].astype("int64"), "ts": batch["ts"],
-                        "seq": batch["seq"].astype("int64"), "command": batch["command"], "accepted": acc,
-                        "state_before": before, "state_after": after})
-
-
-def lifecycle_stream(commands: DataFrame) -> DataFrame:
-    """Streaming commands -> per-command outcome, append mode."""
-    cols = commands.select("order_id", "ts", "seq", "command", "carrier")
-    ts_type = cols.schema["ts"].dataType.simpleString()
-    return cols.groupBy("order_id").applyInPandasWithState(
-        _replay, OUTPUT_SCHEMA.format(ts=ts_type), STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_lifecycle_stream(commands: DataFrame, work_dir: str) -> DataFrame:
-    """Stage commands as files, replay them with the keyed stream (availableNow)
-    into a Parquet sink, and return the sink's rows. ``work_dir`` must be on
-    the shared file system (e.g. under spark.checkpoint.dir)."""
+from pyspark.sql import functions as F
+
+from stockspark.operators.lifecycle import replay_commands
+from stockspark.operators.ordering import order_struct
+from stockspark.sinks.tableset import KeyedState, TableSet
+
+COLUMNS = ["order_id", "ts", "seq", "command", "carrier"]
+OUTCOME = ["order_id", "ts", "seq", "command", "accepted", "state_before", "state_after"]
+JOB = "lifecycle"
+
+
+def order_states(tables: TableSet) -> KeyedState:
+    return KeyedState(tables, "orders", "order_id", "order_id long, status string")
+
+
+def replay_batch(tables: TableSet, batch: DataFrame, batch_id: int, out: str) -> None:
+    """Outcomes of one micro-batch to ``out/batch=N``, then the new statuses of its orders."""
+    if tables.done(JOB, batch_id):
+        return
+    states = order_states(tables)
+    cmds = batch.select(*COLUMNS)
+    initial = states.current().join(cmds.select("order_id").distinct(), "order_id", "left_semi")
+    path = f"{out}/batch={batch_id}"
+    replay_commands(cmds, n_buckets=None, initial=initial).select(*OUTCOME).write.mode("overwrite").parquet(path)
+    written = tables.spark.read.parquet(path)
+    status = written.groupBy("order_id").agg(F.max_by("state_after", order_struct("ts", "seq")).alias("status"))
+    tables.publish(JOB, batch_id, *states.changed(status, batch_id))
+
+
+def start_lifecycle_stream(commands: DataFrame, out: str, state_dir: str, checkpoint: str, available_now: bool = True):
+    """Start the replay of a stream of commands; ``state_dir`` belongs to one ``checkpoint``."""
+    tables = TableSet(commands.sparkSession, state_dir)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # staged: a micro-batch runs in a session without adaptive plans
+        staged = f"{tables.root}/_staged"
+        batch.select(*COLUMNS).write.mode("overwrite").parquet(staged)
+        replay_batch(tables, tables.spark.read.parquet(staged), batch_id, out)
+
+    w = commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def run_lifecycle_stream(commands: DataFrame, work_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stage commands as files, replay them as a stream (availableNow) and return the outcomes.
+    ``work_dir`` must be on the shared file system (e.g. under spark.checkpoint.dir)."""
     spark = commands.sparkSession
-    src, out, ck = f"{work_dir}/in", f"{work_dir}/out", f"{work_dir}/ckpt"
-    commands.write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
-    q = (lifecycle_stream(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(lifecycle_stream(stream).schema).parquet(out)
+    src, out = f"{work_dir}/in", f"{work_dir}/out"
+    commands.select(*COLUMNS).write.mode("overwrite").parquet(src)
+    reader = spark.readStream.schema(spark.read.parquet(src).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    start_lifecycle_stream(reader.parquet(src), out, f"{work_dir}/state", f"{work_dir}/ckpt").awaitTermination()
+    return spark.read.parquet(out).select(*OUTCOME)

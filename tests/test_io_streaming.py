@@ -3,14 +3,15 @@ import glob
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockspark.config import Normalization
 from stockspark.operators import importfile as I
+from stockspark.operators.lifecycle import replay_commands
 from stockspark.sinks import write_chunks
 from stockspark.sources import read_snapshot, read_with_header_row, sniff_csv_meta, columns_and_count
-from stockspark.streaming import file_feed, ledger
-from stockspark.streaming.lifecycle_stream import lifecycle_stream
+from stockspark.streaming import file_feed, ledger, lifecycle_stream
 
 
 def write(path, text, enc="utf-8"):
@@ -90,29 +91,86 @@ def test_file_feed_stream(spark, tmpdir_path):
     assert got == [("b", "3"), ("b", "3"), ("c", "0"), ("c", "0")]
 
 
-def test_lifecycle_and_ledger_streams(spark, tmpdir_path):
-    src = os.path.join(tmpdir_path, "cmds")
-    spark.createDataFrame(
+def test_second_snapshot_is_compared_with_the_state(spark, tmpdir_path):
+    landing, out, ck = (os.path.join(tmpdir_path, x) for x in ("landing", "out", "ck"))
+
+    def run():
+        file_feed.start_change_feed(spark, landing, out, ck, ["code"], "qty", "sku", ["code"], "free", Normalization(),
+                                    chunk_size=100, available_now=True).awaitTermination(120)
+
+    def rows(batch):
+        df = spark.read.option("header", True).csv(os.path.join(out, f"batch={batch}"))
+        return sorted({(r["sku"], r["qty"]) for r in df.collect()})
+
+    wh = write(os.path.join(tmpdir_path, "wh1.csv"), "code,free\nA,5\nB,1\nC,2\nE,4\n")
+    file_feed.publish_snapshot(spark, landing, "ec", write(os.path.join(tmpdir_path, "ec1.csv"), "code,qty,sku\nA,5,SKU-A\nB,3,\nD,7,\nE,4,\n"))
+    file_feed.publish_snapshot(spark, landing, "wh", wh)
+    run()
+    first = max(int(d.split("=")[-1]) for d in glob.glob(out + "/batch=*"))
+    assert rows(first) == [("b", "3"), ("c", "0"), ("d", "7")]
+    os.remove(wh)  # the second run reads the new snapshot and the state only
+    # A changes, B stays, C comes with the warehouse quantity, D and E go
+    file_feed.publish_snapshot(spark, landing, "ec", write(os.path.join(tmpdir_path, "ec2.csv"), "code,qty,sku\nA,6,SKU-A\nB,3,\nC,2,\n"))
+    run()
+    second = max(int(d.split("=")[-1]) for d in glob.glob(out + "/batch=*"))
+    assert second > first and rows(second) == [("SKU-A", "6"), ("e", "0")]
+    state = file_feed.side_state(file_feed.TableSet(spark, out + "-state"), "ec")
+    assert sorted((r.key, r.qty) for r in state.current().collect()) == [("a", 6), ("b", 3), ("c", 2)]
+
+
+def commands_table(spark):
+    return spark.createDataFrame(
         [(1, "2024-01-01 00:00:00", 1, "acknowledge", "TOLL"), (1, "2024-01-01 00:01:00", 2, "acknowledge", "TOLL"),
          (1, "2024-01-01 00:02:00", 3, "dispatch", "DHL"), (1, "2024-01-01 00:03:00", 4, "dispatch", "TOLL"),
          (2, "2024-01-01 00:00:00", 5, "cancel", "TOLL"), (2, "2024-01-01 00:01:00", 6, "cancel", "TOLL")],
-        "order_id long, ts string, seq long, command string, carrier string") \
-        .withColumn("ts", F.to_timestamp("ts")).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
-    q = (lifecycle_stream(stream).writeStream.format("memory").queryName("lc_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).start())
-    q.processAllAvailable()
-    q.stop()
-    got = {r["seq"]: (r["accepted"], r["state_after"]) for r in spark.sql("select * from lc_out").collect()}
+        "order_id long, ts string, seq long, command string, carrier string").withColumn("ts", F.to_timestamp("ts"))
+
+
+def test_lifecycle_stream(spark, tmpdir_path):
+    out = lifecycle_stream.run_lifecycle_stream(commands_table(spark), tmpdir_path)
+    got = {r["seq"]: (r["accepted"], r["state_after"]) for r in out.collect()}
     assert got == {1: (True, "ACKNOWLEDGED"), 2: (False, "ACKNOWLEDGED"), 3: (False, "ACKNOWLEDGED"),
                    4: (True, "DISPATCHED"), 5: (True, "CANCELLATION_ACK"), 6: (True, "CANCELLATION_ACK")}
-    dsrc = os.path.join(tmpdir_path, "deltas")
-    spark.createDataFrame([(1, -2), (1, -3), (2, 4)], "product_id long, delta long").write.parquet(dsrc)
-    ds = spark.readStream.schema("product_id long, delta long").parquet(dsrc)
-    q2 = (ledger.running_deltas(ds).writeStream.format("memory").queryName("ledger_out").outputMode("complete")
-          .option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).start())
-    q2.processAllAvailable()
-    q2.stop()
-    tot = {r["product_id"]: r["delta_total"] for r in spark.sql("select * from ledger_out").collect()}
-    assert tot == {1: -5, 2: 4}
+
+
+def test_lifecycle_batches_equal_one_replay(spark, tmpdir_path):
+    """A hot order and others over several micro-batches, one of them retried: as one batch replay."""
+    import random
+    r = random.Random(2)
+    kinds = ["acknowledge", "backorder", "dispatch", "cancel", "refund"]
+    made = [(r.choice([1, 1, 1, 2, 3, 4, 5, 6, 7, 8]), k, r.choice(kinds if k > 40 else kinds[:2]), r.choice(["TOLL", "DHL", "DHL"])) for k in range(1, 81)]
+    cmds = spark.createDataFrame(made, "order_id long, seq long, command string, carrier string").withColumn(
+        "ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
+    tables, out = file_feed.TableSet(spark, tmpdir_path + "/state"), tmpdir_path + "/out"
+    for batch, (lo, hi) in enumerate([(0, 20), (20, 21), (21, 60), (60, 80)]):
+        part = cmds.where((F.col("seq") > lo) & (F.col("seq") <= hi))
+        for _ in range(2 if batch == 2 else 1):
+            lifecycle_stream.replay_batch(tables, part, batch, out)
+    whole = replay_commands(cmds, n_buckets=None).select(*lifecycle_stream.OUTCOME)
+    assert sorted(map(tuple, spark.read.parquet(out).select(*lifecycle_stream.OUTCOME).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_ledger_stream(spark, tmpdir_path):
+    deltas = spark.createDataFrame([(1, -2), (1, -3), (2, 4), (3, 1), (None, 9)], "product_id long, delta long").repartition(4)
+    totals = ledger.run_ledger_stream(deltas, tmpdir_path, files_per_batch=1)
+    assert {r["product_id"]: (r["delta_total"], r["n_deltas"]) for r in totals.collect()} == {1: (-5, 2), 2: (4, 1), 3: (1, 1)}
+
+
+def test_ledger_batch_killed_before_the_swap(spark, tmpdir_path, monkeypatch):
+    tables = file_feed.TableSet(spark, tmpdir_path)
+    batch = [spark.createDataFrame(rows, "product_id long, delta_total long, n_deltas long") for rows in ([(1, 5, 1), (2, 7, 1)], [(2, 9, 2)])]
+    assert ledger.publish_totals(tables, batch[0], 0)
+
+    def broken(self, record):
+        raise OSError("lost before the swap")
+    with monkeypatch.context() as m:
+        m.setattr(file_feed.TableSet, "_commit", broken)
+        with pytest.raises(OSError):
+            ledger.publish_totals(tables, batch[1], 1)
+    read = lambda: {r.product_id: r.delta_total for r in ledger.totals_table(tables).current().collect()}
+    assert read() == {1: 5, 2: 7}
+    assert ledger.publish_totals(tables, batch[1], 1) and not ledger.publish_totals(tables, batch[1], 1)
+    assert read() == {1: 5, 2: 9}
+    # only the touched product was written
+    folders = tables.record()["tables"]["totals"]["folders"]
+    assert [spark.read.parquet(f"{tables.root}/{f}").count() for f in folders] == [2, 1]

@@ -4,11 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from stockspark.config import ImportPolicy
+from stockspark.config import CARRIERS, ImportPolicy
 from stockspark.operators import admission as A
 from stockspark.operators import lifecycle as L
 from stockspark.operators import upsert as U
-from stockspark.streaming.lifecycle_stream import step
 
 CMDS = ["acknowledge", "backorder", "dispatch", "cancel", "refund"]
 CARRIER = ["TOLL", "STARTRACK", "DHL", "AUSPOST_PARCEL"]
@@ -20,6 +19,22 @@ import stockspark.operators.admission as admission_mod
 import stockspark.operators.ordering as ordering_mod
 
 
+def step(status, command, carrier):
+    """One command against the current status -> (accepted, new status)."""
+    if command == "acknowledge":
+        ok, new = status in ("ORDER", "BACKORDERED"), "ACKNOWLEDGED"
+    elif command == "backorder":
+        ok, new = status not in ("DISPATCHED", "CANCELLATION_ACK"), "BACKORDERED"
+    elif command == "dispatch":
+        known = carrier in {c for c, _, _ in CARRIERS}
+        ok, new = status in ("ORDER", "ACKNOWLEDGED", "BACKORDERED") and known, "DISPATCHED"
+    elif command == "cancel":
+        ok, new = status != "DISPATCHED", "CANCELLATION_ACK"
+    else:
+        ok, new = False, status
+    return ok, new if ok else status
+
+
 def sequential_admit(orders: list, stock: dict) -> list:
     """Plain-Python model of the admission used by tests as the oracle:
     orders = [(row, [(sku, qty), ...]) ...] already statically valid."""
