@@ -39,6 +39,8 @@ UNITS = ("mm cm m km in inch inches ft feet foot mi mile miles yard yards mg g k
          "ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month "
          "months year years kmh mph percent dollar dollars euro euros cent cents usd eur c f degrees").split()
 _NUMBER = "^[0-9]+([.,][0-9]+)*$"
+# The same for java.util.regex, possessive: it would recurse once per group of a long number.
+_IS_NUMBER = "^[0-9]++(?:[.,][0-9]++)*+$"
 _NAME = r"^\p{Lu}[\p{Ll}'-]+$"
 _ENDS = r"[.!?:;]$"
 _MID_NAME = r"[^.!?:;\x20\x09-\x0D][\x20\x09-\x0D]+[!-/:-@\[-`{-~]*\p{Lu}"
@@ -57,8 +59,8 @@ def canonical(text: Column) -> Column:
     def typed(ws: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             before = F.get(ws, i - 1)
-            kind = (F.when(x.rlike(_NUMBER), "<num>")
-                    .when(F.lower(x).isin(UNITS) & F.coalesce(_core(before).rlike(_NUMBER), F.lit(False)), "<unit>")
+            kind = (F.when(x.rlike(_IS_NUMBER), "<num>")
+                    .when(F.lower(x).isin(UNITS) & F.coalesce(_core(before).rlike(_IS_NUMBER), F.lit(False)), "<unit>")
                     .when(x.rlike(_NAME) & F.coalesce(~before.rlike(_ENDS), F.lit(False)), "<name>"))
             return F.struct(F.coalesce(kind, F.lower(x)).alias("w"), F.when(kind.isNotNull(), F.lower(x)).alias("v"))
         return F.transform(ws, lambda x, i: one(_core(x), i))

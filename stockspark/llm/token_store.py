@@ -124,8 +124,9 @@ class CachedEncoder:
     a text ("<|endoftext|>") get their own id, as the library gives it.
     """
 
-    _TWO = re.compile(r"\s\s")
-    _RUN = re.compile(r"( ?\S*\s{2,}\S*)")
+    # White space as the library has it; Python's \s also holds U+001C to U+001F
+    _SPACE = re.compile(r"[^\S\x1c-\x1f]")
+    _TWO = re.compile(r"[^\S\x1c-\x1f]{2,}")
     _TAIL = ".,;:!?&$%#*|()[]\"-"
 
     def __init__(self, tokenizer_path: str):
@@ -159,12 +160,25 @@ class CachedEncoder:
     def _parts(self, text: str) -> list[str]:
         if "\0" in text or not self._byte_level:
             return [text]
-        if not self._TWO.search(text):
-            return self._cut(text)
         out: list[str] = []
-        for i, piece in enumerate(self._RUN.split(text)):
-            out += [piece] if i % 2 else self._cut(piece)
-        return out
+        at = 0
+        for run in self._TWO.finditer(text):
+            lo = self._word_start(text, at, run.start())
+            if lo > at and text[lo - 1] == " ":
+                lo -= 1
+            after = self._SPACE.search(text, run.end())
+            hi = after.start() if after else len(text)
+            out += [*self._cut(text[at:lo]), text[lo:hi]]
+            at = hi
+        return out + self._cut(text[at:])
+
+    @classmethod
+    def _word_start(cls, text: str, lo: int, hi: int) -> int:
+        """Where the word that ends at ``hi`` starts, not before ``lo``."""
+        lo = max(lo, text.rfind(" ", lo, hi) + 1, text.rfind("\n", lo, hi) + 1)
+        for rare in cls._SPACE.finditer(text, lo, hi):
+            lo = rare.end()
+        return lo
 
     @staticmethod
     def _cut(piece: str) -> list[str]:

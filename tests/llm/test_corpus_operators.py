@@ -62,6 +62,17 @@ def test_encoder_equals_a_freshly_loaded_library(text):
         assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_control_characters_and_long_words():
+    """U+001C to U+001F are no white space to the library; a long word beside a run costs no rescans."""
+    fresh, enc, r = fresh_tokenizer(), token_store.cached_encoder(BPE), random.Random(6)
+    parts = ["a", "b.", " ", "  ", "\n", "\t", "'s", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "\u180e", "\u200b", "é", "1"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(20000)]
+    texts += ["\x1c's  \u3000", "a" * 30000 + " b  c", "x " * 20000 + "\n\n" + "y" * 30000 + "  ", "\t\t".join(["w" * 50] * 2000)]
+    got = enc.encode(texts)
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
 @pytest.mark.parametrize("added", [{"content": "foo"}, {"content": "&&"}, {"content": "<a b>"}, {"content": "<x>", "lstrip": True},
                                    {"content": "<x>", "rstrip": True}, {"content": "<x>", "single_word": True}])
 def test_added_tokens_of_any_kind(added, tmp_path):

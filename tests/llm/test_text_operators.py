@@ -219,3 +219,12 @@ def test_sql_on_awkward_rows(spark):
     con.execute("CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text FROM frame")
     ref = {r[0]: r[1:6] for r in con.execute(quality.OP5_SQL).fetchall()}
     assert ref == {d: measures(t) for d, t in made}
+
+
+def test_long_numbers_and_words_are_no_trouble(spark):
+    """A number of a hundred thousand groups and a word of a megabyte, in documents and benchmark."""
+    number = ",".join(["1"] * 100_000)
+    question = "how many of the 12 apples are left after Anna gave away five of them to her brother"
+    docs = spark.createDataFrame([(1, number), (2, f"{question} {number}"), (3, "w" * 1_000_000), (4, "1." * 50_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, question), (2, number)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, items).collect()} >= {2}
