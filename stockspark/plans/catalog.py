@@ -26,5 +26,5 @@ def query(name: str, sql: Optional[str] = None):
 def load_all() -> dict:
     # importing the modules registers their queries
     from stockspark.plans import q_compare, q_imports, q_tolerance, q_book, q_mutations  # noqa: F401
-    from stockspark.plans import q_lifecycle, q_admission, q_sources, q_commands  # noqa: F401
+    from stockspark.plans import q_lifecycle, q_admission, q_sources, q_commands, q_declared  # noqa: F401
     return QUERIES

@@ -61,6 +61,39 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+_WIDER = {("int", "bigint"), ("int", "double"), ("smallint", "int"), ("smallint", "bigint"), ("float", "double"), ("date", "timestamp")}
+
+
+def read_generations(spark: SparkSession, paths: list, schema: T.StructType, renamed: dict | None = None,
+                     defaults: dict | None = None) -> DataFrame:
+    """DML-13: the files of several generations of a table as one, in today's ``schema``.
+
+    Each generation is read by its own schema. ``renamed`` (old name -> today's name)
+    is the column history; a column that a generation lacks holds its ``defaults`` value
+    or null; its type may only have been widened since (or become text), else the
+    generation is refused."""
+    out = None
+    for path in paths:
+        df = spark.read.parquet(path)
+        for old, new in (renamed or {}).items():
+            if old in df.columns and new not in df.columns:
+                df = df.withColumnRenamed(old, new)
+        cols = []
+        for f in schema.fields:
+            if f.name not in df.columns:
+                cols.append(F.lit((defaults or {}).get(f.name)).cast(f.dataType).alias(f.name))
+                continue
+            was, now = df.schema[f.name].dataType.simpleString(), f.dataType.simpleString()
+            if was != now and now != "string" and (was, now) not in _WIDER:
+                raise ValueError(f"{path}: column {f.name} is {was}, not a narrower {now}")
+            cols.append(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name))
+        df = df.select(*cols)
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise ValueError("no generation given")
+    return out
+
+
 def carriers(spark: SparkSession) -> DataFrame:
     """SRC-11: the 3-row carrier dimension (code, name, services)."""
     return spark.createDataFrame([(c, n, list(s)) for c, n, s in CARRIERS],
