@@ -168,7 +168,7 @@ def export_suppliers(spark, sf_dir):
 
 
 @query("export_products", f"""WITH {P_SQL}
-SELECT p.id, p.sku, p.name, p.quantity, p.price, coalesce(s.name, '') AS supplier, coalesce(p.pack_size, '') AS pack_size
+SELECT p.id, p.sku, p.name, p.quantity, p.price, coalesce(s.name, '') AS supplier, p.pack_size
 FROM products p LEFT JOIN suppliers s ON s.id = p.supplier_id""")
 def export_products(spark, sf_dir):
     """SNK-7: product export with supplier names."""
