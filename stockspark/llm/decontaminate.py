@@ -5,10 +5,13 @@ measure turn into typed placeholders, the rest is lower-cased without outer
 punctuation. Windows of ``WINDOW`` canonical words (the whole item where it is
 shorter) are hash-joined with those of the benchmark, so a question with other
 numbers or names still meets its template. A document and an item are then
-aligned (window position minus item position); an alignment counts if its slots
-are consistent: one value of the item always stands for one value of the
-document. An item leaks when consistent alignments hold at least
-``LEAK_WINDOWS`` of its windows, or half of them for shorter items.
+aligned (window position minus item position). A window whose slots hold the
+item's own values counts. One with other values counts if its alignment is
+consistent: one value of the item always stands for one value of the document.
+Windows of which fewer than ``MIN_LITERALS`` words are left beside placeholders
+are joined with their real values instead, so numbers and names alone match only
+as they are. An item leaks when at least ``LEAK_WINDOWS`` of its windows count,
+or half of them for shorter items.
 
 Words: [^\\x20\\x09-\\x0D]+, those without a letter or digit are left out.
 number = digits with . or , between; unit = a word of UNITS after a number;
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from stockspark.llm.common import documents, let, prepare, save, words_of
 
 WINDOW = 8
-MIN_LITERALS = 5       # of the words of a full window; fewer would match by placeholders alone
+MIN_LITERALS = 5       # of the words of a full window; with fewer, real values take the placeholders' place
 LEAK_WINDOWS = 6       # 13 words in a row
 BROADCAST_ROWS = 1_000_000  # of 16 bytes: the most that is sent to every executor
 
@@ -72,27 +75,33 @@ def canonical(text: Column) -> Column:
 
 
 def window_rows(frame: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, size, pos, hash, slots) of the windows; slots holds a window's replaced values, null if it has none."""
+    """(key, size, pos, hash, slots) of the windows; slots holds a window's replaced values, null if it has none
+    or is joined by its real values."""
     def of(c: Column) -> Column:
         hashes = F.transform(c, lambda x: F.xxhash64(x["w"]))
-        values = F.when(F.exists(c, lambda x: x["v"].isNotNull()), F.transform(c, lambda x: x["v"]))
-        return F.array(F.struct(hashes.alias("h"), values.alias("v")))
+        some = F.exists(c, lambda x: x["v"].isNotNull())
+        values = F.when(some, F.transform(c, lambda x: x["v"]))
+        real = F.when(some, F.transform(c, lambda x: F.xxhash64(F.coalesce(x["v"], x["w"]), F.lit("real"))))
+        return F.array(F.struct(hashes.alias("h"), values.alias("v"), real.alias("r")))
 
     def windows(hv: Column, k: int) -> Column:
+        least = -(-k * MIN_LITERALS // WINDOW)
+
         def one(i: Column) -> Column:
+            # null where the text holds no slot at all
             slots = F.slice(hv["v"], i, k)
-            slots = F.when(F.exists(slots, lambda v: v.isNotNull()), slots)
+            held = F.coalesce(F.size(F.filter(slots, lambda v: v.isNotNull())), F.lit(0))
+            poor = held > k - least
             return F.struct(F.lit(k).alias("size"), (i - 1).alias("pos"),
-                            F.xxhash64(F.slice(hv["h"], i, k)).alias("hash"), slots.alias("slots"))
+                            F.xxhash64(F.when(poor, F.slice(hv["r"], i, k)).otherwise(F.slice(hv["h"], i, k))).alias("hash"),
+                            F.when((held > 0) & ~poor, slots).alias("slots"))
         n = F.size(hv["h"])
         made = F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), one))
         return made.otherwise(F.array().cast(_WINDOWS))
 
     every = let(canonical(frame["text"]),
                 lambda c: F.transform(of(c), lambda hv: F.concat(*[windows(hv, k) for k in sizes]))[0])
-    rows = frame.where(F.col(key).isNotNull()).select(key, F.explode(every).alias("_w")).select(key, "_w.*")
-    literals = F.col("size") - F.coalesce(F.size(F.filter("slots", lambda v: v.isNotNull())), F.lit(0))
-    return rows.where(F.col("slots").isNull() | (literals * WINDOW >= F.col("size") * MIN_LITERALS))
+    return frame.where(F.col(key).isNotNull()).select(key, F.explode(every).alias("_w")).select(key, "_w.*")
 
 
 _WINDOWS = "array<struct<size:int,pos:int,hash:bigint,slots:array<string>>>"
@@ -122,8 +131,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              .select(*per, F.col("z.islots").alias("mine"), F.col("z.slots").alias("theirs")).distinct())
     bad = (slots.groupBy(*per, "mine").agg(F.count("*").alias("n"), F.max((F.col("mine") != F.col("theirs")).cast("int")).alias("c"))
            .groupBy(*per).agg(F.max("n").alias("_meanings"), F.sum("c").alias("_changed")))
-    held = (pairs.select(*per, "ipos").distinct().join(bad, per, "left")
-            .where(F.coalesce("_meanings", F.lit(1)) == 1)
+    same = F.col("islots").eqNullSafe(F.col("slots"))
+    held = (pairs.select(*per, "ipos", same.alias("_same")).distinct().join(bad, per, "left")
+            .where(F.col("_same") | (F.coalesce("_meanings", F.lit(1)) == 1))
             .groupBy("doc_id", "item_id").agg(F.count_distinct("ipos").alias("n_windows"),
                                               F.max(F.coalesce("_changed", F.lit(0))).cast("long").alias("n_changed")))
     whole = theirs.groupBy("item_id").agg(F.count("*").alias("item_windows"))
@@ -173,8 +183,10 @@ sizes AS (SELECT DISTINCT least(len(ws), {WINDOW}) AS size FROM a WHERE side = '
 win AS (SELECT side, id, size, pos, ws[pos + 1:pos + size] AS win, vs[pos + 1:pos + size] AS vals
         FROM (SELECT *, unnest(range(0, len(ws) - size + 1)) AS pos FROM a, sizes
               WHERE len(ws) >= size AND (side = 'd' OR size = least(len(ws), {WINDOW})))),
-ok AS (SELECT * FROM win WHERE (size - len(list_filter(vals, lambda v: v IS NOT NULL))) * {WINDOW} >= size * {MIN_LITERALS}
-       OR len(list_filter(vals, lambda v: v IS NOT NULL)) = 0),
+ok AS (SELECT side, id, size, pos, CASE WHEN poor THEN list_concat(['<real>'], list_transform(range(1, size + 1), lambda j: coalesce(vals[j], win[j]))) ELSE win END AS win,
+              CASE WHEN NOT poor THEN vals END AS vals
+       FROM (SELECT *, len(list_filter(vals, lambda v: v IS NOT NULL)) > 0
+                       AND (size - len(list_filter(vals, lambda v: v IS NOT NULL))) * {WINDOW} < size * {MIN_LITERALS} AS poor FROM win)),
 theirs AS (SELECT * FROM ok WHERE side = 'b'),
 pairs AS (SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS shift, b.pos AS ipos, b.vals AS ivals, d.vals AS dvals
           FROM ok d JOIN theirs b ON d.side = 'd' AND d.win = b.win),
@@ -184,7 +196,7 @@ bad AS (SELECT doc_id, item_id, shift, max(n) AS meanings, sum(c) AS changed
         FROM (SELECT doc_id, item_id, shift, mine, count(*) AS n, max((mine <> his)::INT) AS c FROM slots GROUP BY ALL)
         GROUP BY ALL),
 held AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, max(coalesce(changed, 0)) AS n_changed
-         FROM pairs LEFT JOIN bad USING (doc_id, item_id, shift) WHERE coalesce(meanings, 1) = 1 GROUP BY ALL),
+         FROM pairs LEFT JOIN bad USING (doc_id, item_id, shift) WHERE coalesce(meanings, 1) = 1 OR ivals IS NOT DISTINCT FROM dvals GROUP BY ALL),
 whole AS (SELECT id AS item_id, count(*) AS item_windows FROM theirs GROUP BY ALL)
 SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, item_windows::BIGINT AS item_windows, n_changed::BIGINT AS n_changed
 FROM held JOIN whole USING (item_id) WHERE n_windows >= least({LEAK_WINDOWS}, ceil(item_windows / 2))

@@ -175,8 +175,21 @@ def test_reparameterised_question_is_found(spark):
     other = QUESTION.replace("Anna", "Berta").replace("12", "40").replace("3 hours", "5 days")
     got = leak_rows(spark, [(1, "x y z " + QUESTION + " q"), (2, other), (3, QUESTION.replace("12", "40", 1)),
                             (4, "nothing of the kind is here at all in this text"), (5, None), (None, QUESTION), (6, "")])
-    assert {k for k in got} == {(1, 1), (2, 1)}  # 3: one value would stand for two
+    assert {k for k in got} == {(1, 1), (2, 1), (3, 1)}
     assert got[(1, 1)].n_changed == 0 and got[(2, 1)].n_changed == 4
+    # 3: one value stands for two, so only the windows that hold the item's own values count
+    assert got[(1, 1)].n_windows == got[(2, 1)].n_windows == 18 and got[(3, 1)].n_windows == 10
+
+
+SUMS = "Solve 3 x 4 = 12, 5 x 6 = 30, 7 x 8 = 56, 9 x 10 = 90 now"
+NAMES = "Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi sit in a row"
+
+
+def test_items_of_numbers_or_names_are_found_as_they_are(spark):
+    got = leak_rows(spark, [(1, "so: " + SUMS), (2, SUMS.replace("3 x 4", "4 x 5")), (3, "see " + NAMES + " today"),
+                            (4, "Zoe, Yan, Xaver, Will, Vera, Uwe, Tom, Sue sit in a row"), (5, "Solve 1 x 2 = 3, 4 x 5 = 6, 7 x 8 = 9, 1 x 1 = 1 now")],
+                    [(1, SUMS), (2, NAMES)])
+    assert {(1, 1), (3, 2)} <= set(got) and not {(4, 2), (5, 1)} & set(got)
 
 
 def test_short_items_null_items_and_empty_tables(spark):
