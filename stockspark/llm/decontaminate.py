@@ -63,12 +63,12 @@ def canonical(text: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             before = F.get(ws, i - 1)
             kind = (F.when(x.rlike(_IS_NUMBER), "<num>")
-                    .when(F.lower(x).isin(UNITS) & F.coalesce(_core(before).rlike(_IS_NUMBER), F.lit(False)), "<unit>")
-                    .when(x.rlike(_NAME) & F.coalesce(~before.rlike(_ENDS), F.lit(False)), "<name>"))
+                    .when(F.lower(x).isin(UNITS) & F.coalesce(before["core"].rlike(_IS_NUMBER), F.lit(False)), "<unit>")
+                    .when(x.rlike(_NAME) & F.coalesce(~before["word"].rlike(_ENDS), F.lit(False)), "<name>"))
             return F.struct(F.coalesce(kind, F.lower(x)).alias("w"), F.when(kind.isNotNull(), F.lower(x)).alias("v"))
-        return F.transform(ws, lambda x, i: one(_core(x), i))
+        return F.transform(ws, lambda x, i: one(x["core"], i))
 
-    worded = F.filter(words_of(text), lambda x: _core(x) != "")
+    worded = F.filter(F.transform(words_of(text), lambda x: F.struct(x.alias("word"), _core(x).alias("core"))), lambda c: c["core"] != "")
     # most texts hold no digit and no capital inside a sentence: nothing to replace there
     may_hold = F.coalesce(text, F.lit("")).rlike("[0-9]|" + _MID_NAME)
     return F.when(may_hold, let(worded, typed)).otherwise(plain)
