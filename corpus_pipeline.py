@@ -18,7 +18,7 @@ from stockspark.llm.common import documents, prepare, scratch_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
-    return quality.cascade(docs).where("kept").select(*docs.columns)
+    return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
