@@ -192,7 +192,7 @@ def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS)
     part = docs.select("text")
     if rows > sample_rows:
         part = part.sample(sample_rows / rows, seed=11)
-    sample = save(with_parts(part.coalesce(1)), "quality-sample").coalesce(1)
+    sample = save(with_parts(part), "quality-sample").coalesce(1)
 
     def run(rejects: Callable[[Column, Column], Column]) -> tuple[float, float]:
         verdict = rejects(text_of(F.col("text")), F.col("_words"))
