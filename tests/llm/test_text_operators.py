@@ -156,6 +156,28 @@ def test_cascade_order_does_not_change_the_verdict(spark):
     assert quality.cascade(empty(spark)).count() == 0
 
 
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = table(spark)
+    verdict = {str(r.text): r.kept for r in quality.cascade(docs).select("text", "kept").collect()}
+    named = docs.withColumn("kept", F.lit("mine")).withColumn("rejected_by", F.lit(7)).withColumn("_Words", F.lit("w"))
+    got = quality.clean(named)
+    assert got.columns == named.columns and got.schema == named.schema
+    left = got.collect()
+    assert sorted(str(r.text) for r in left) == sorted(str(r.text) for r in docs.collect() if verdict[str(r.text)])
+    assert all((r.kept, r.rejected_by, r._Words) == ("mine", 7, "w") for r in left)
+    assert quality.clean(empty(spark)).count() == 0
+
+
+def test_stop_words_are_looked_for_in_the_whole_text(spark):
+    """The first hundred words only settle texts that hold two stop words already."""
+    texts = {"late": " ".join(["zzz"] * 150 + ["The,", "und."]), "one": " ".join(["zzz"] * 150 + ["the", "The"]),
+             "early": "of and " + "zzz " * 150, "split": " ".join(["the"] + ["zzz"] * 150 + ["der"])}
+    rows_ = spark.createDataFrame(list(texts.items()), "name string, text string")
+    rule = next(r for r in quality.RULES if r.name == "stop_words")
+    got = dict(rows_.select("name", rule.rejects(F.col("text"), quality.words_of(F.col("text")))).collect())
+    assert got == {"late": False, "one": True, "early": False, "split": False}
+
+
 def test_cascade_prefers_rejections_per_cost():
     order = quality.ordered(quality.RULES[:3], [(quality.RULES[0].name, 0.1, 1.0), (quality.RULES[1].name, 0.1, 0.1),
                                                 (quality.RULES[2].name, 0.0, 0.01)])
