@@ -1,16 +1,19 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-Tokens: words [^\\x20\\x09-\\x0D]+ of the text (A-Z lower-cased), then one end. The
-``HEAD`` most frequent training tokens fall into classes of ``MEMBERS`` by
-frequency; one more class holds every other word. The model is
+Tokens: words [^\\x20\\x09-\\x0D]+ of the text (A-Z lower-cased), then one end. Classes
+form a tree of ``WAYS`` children a node, built from the training counts, frequent
+leaves near the root. Its leaves are the frequent training tokens and buckets of
+all rarer words (by bits of the word's hash); both grow with the vocabulary. The
+model is
 
-    P(token | context) = P(class | context) * P(token | class, context)
+    P(token | context) = product over the steps from the root to the token's leaf
+                         of P(child | node, context)
 
-Both factors of head tokens are softmaxes over hashed features of the context
-(previous word, previous two words, the word before the last, the one before
-that; the second factor's features also hash the class), beside an offset from
-the training counts. A word of the last class has the smoothed share
-(c + 1) / (N' + V' + 1) of that class, which leaves one share for unseen words.
+where each step is a softmax over the node's children: an offset from the training
+counts plus hashed features of the context (previous word, previous two words, the
+word before the last, the one before that), each hashed with the node. A word of a
+bucket has the smoothed share (c + 1) / (N' + V' + 1) of that bucket (N' tokens of
+V' words), which leaves one share for unseen words.
 
 * Counts of all training tokens come from one shuffle with map-side sums.
 * Training is distributed: every partition runs Adagrad over its share of the
@@ -36,20 +39,22 @@ from pyspark.sql import functions as F
 
 from stockspark.llm.common import documents, mix, prepare, save, utf8_batch, word_hashes
 
-CLASSES = 32                       # the last one for all words outside the head
-MEMBERS = 32
-HEAD = (CLASSES - 1) * MEMBERS
-ROWS = 1 << 13                     # hashed feature rows of each factor
+WAYS = 16                          # children of a node of the class tree
+TABLES = 3                         # weight tables: root, second level, all others
+ROW_BITS = (8, 14)                 # hashed rows of a table follow the leaves, within these powers of two
 BLOCK_ROWS = 128
 ROUNDS = 2
-RATE = 0.15
-CHUNK = 4096
+RATE = 0.12
+CHUNK = 16384
 LOCAL_SHARE = 1 << 18
+BUCKET_SHIFT = 40                  # buckets of rarer words: bits of the hash from here on
 FOLDS, HELD_OUT = 7, 2
 
 _U = np.uint64
 START = _U(0x5BD1E995A1B2C3D4)
 END = _U(0x27D4EB2F165667C5)
+_SPREAD = _U(0x9E3779B97F4A7C15)
+_ONES = np.ones(WAYS, dtype=np.float32)
 _SEED = np.random.default_rng(5).integers(1, 2**63, 8, dtype=np.uint64)
 
 
@@ -83,105 +88,148 @@ def features(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([mix(p1 ^ _SEED[0]), mix(p1 * _SEED[1] + mix(p2)), mix(p2 ^ _SEED[2]), mix(p3 ^ _SEED[3])])
 
 
+def n_buckets(words: int) -> int:
+    """Buckets of the rarer words: a sixteenth of the root of their number, 4,096 at most."""
+    return 1 << min(12, max(0, (max(words, 1).bit_length() - 1) // 2 - 4))
+
+
+def code_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class tree of ``WAYS`` children a node, frequent leaves near the root: (depth of
+    each leaf, node and child by leaf and level, weight by node and child). Node 0 is the root."""
+    n = len(weights)
+    pad = -(n - 1) % (WAYS - 1) if n > 1 else WAYS - 1
+    order = np.argsort(weights, kind="stable")
+    leaves = np.concatenate([np.zeros(pad), weights[order]]).tolist()
+    n_nodes = (len(leaves) - 1) // (WAYS - 1)
+    up, made, at_leaf, at_node = np.zeros(len(leaves) + n_nodes, dtype=np.int64), [], 0, 0
+    child = np.zeros(len(up), dtype=np.int64)
+    shares = np.zeros((n_nodes, WAYS))
+    for node in range(n_nodes):  # the lightest WAYS of leaves and nodes become one node
+        for k in range(WAYS):
+            if at_leaf < len(leaves) and (at_node >= len(made) or leaves[at_leaf] <= made[at_node]):
+                what, weight, at_leaf = at_leaf, leaves[at_leaf], at_leaf + 1
+            else:
+                what, weight, at_node = len(leaves) + at_node, made[at_node], at_node + 1
+            up[what], child[what], shares[node, k] = node, k, weight
+        made.append(shares[node].sum())
+    root = len(leaves) + n_nodes - 1
+    here, depth = np.arange(pad, len(leaves)), np.zeros(n, dtype=np.int64)
+    steps = []
+    while (here != root).any():
+        on = here != root
+        depth += on
+        steps.append((np.where(on, n_nodes - 1 - up[here], 0), np.where(on, child[here], 0)))
+        here = np.where(on, len(leaves) + up[here], root)
+    nodes = np.zeros((n, len(steps)), dtype=np.int32)
+    children = np.zeros((n, len(steps)), dtype=np.int8)
+    for back, (node, k) in enumerate(steps):
+        on = np.flatnonzero(depth > back)
+        nodes[on, depth[on] - 1 - back] = node[on]
+        children[on, depth[on] - 1 - back] = k[on]
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    return depth[place], nodes[place], children[place], shares[::-1]
+
+
 class Model:
-    """Offsets from counts, weight rows of both factors, and the known words."""
+    """The class tree with its offsets from counts, the weight rows, and the known words."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int,
+                 tail_counts: np.ndarray, tail_words: np.ndarray):
         """``words``/``counts``: the frequent training tokens, the end token among
-        them; ``total``/``distinct``: all training tokens."""
-        order = np.lexsort((words, -counts))
-        head = order[:HEAD]
-        self.total, self.distinct = total, distinct
+        them; ``total``/``distinct``: all training tokens; ``tail_counts``/``tail_words``:
+        tokens and words of each bucket of the others."""
         by_hash = np.argsort(words)
         self.words, self.counts = words[by_hash], counts[by_hash]
-        slot = np.full(len(words), -1, dtype=np.int32)
-        slot[head] = np.arange(len(head))
-        self.slots = slot[by_hash]
-        self.head_words = np.sort(words[head])
-        self.head_slots = slot[head][np.argsort(words[head])]
-        inside = np.zeros(HEAD)
-        inside[:len(head)] = counts[head]
-        self.tail_total = total - int(inside.sum())
-        self.tail_norm = self.tail_total + max(0, distinct - len(head)) + 1
-        shares = np.append(inside.reshape(CLASSES - 1, MEMBERS).sum(axis=1), self.tail_total + 1.0)
-        filled = inside > 0
-        with np.errstate(divide="ignore"):
-            self.class_offset = np.log(shares / shares.sum()).astype(np.float32)
-            self.word_offset = np.log(inside).astype(np.float32).reshape(CLASSES - 1, MEMBERS)
-        # a class without words has no mass, nor has an unused place
-        self.class_offset[~np.isfinite(self.class_offset)] = -1e9
-        self.word_offset[~filled.reshape(CLASSES - 1, MEMBERS)] = -1e9
-        self.class_weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
-        self.word_weights = np.zeros((ROWS, MEMBERS), dtype=np.float32)
-
-    def find(self, tokens: np.ndarray, among: np.ndarray, values: np.ndarray, missing: int) -> np.ndarray:
-        if not len(among):
-            return np.full(len(tokens), missing, dtype=values.dtype)
-        at = np.minimum(np.searchsorted(among, tokens), len(among) - 1)
-        return np.where(among[at] == tokens, values[at], missing)
-
-    def class_logits(self, feats):
-        rows = (feats % _U(ROWS)).astype(np.uint16)
-        return rows, self.class_offset + sum(self.class_weights[r] for r in rows)
-
-    def word_logits(self, feats, cls):
-        rows = (mix(feats + (cls.astype(np.uint64) + _U(1)) * _SEED[4]) % _U(ROWS)).astype(np.uint16)
-        return rows, self.word_offset[cls] + sum(self.word_weights[r] for r in rows)
-
-    @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def log10(self, feats: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """log10 probability of the tokens with head ``slot`` (-1: their class only)."""
-        out = np.empty(len(slot))
-        for lo in range(0, len(slot), CHUNK):
-            f, s = feats[:, lo:lo + CHUNK], slot[lo:lo + CHUNK]
-            cls = np.where(s >= 0, s // MEMBERS, CLASSES - 1)
-            got = self.log_softmax(self.class_logits(f)[1])[np.arange(len(s)), cls].astype(np.float64)
-            h = np.flatnonzero(s >= 0)
-            if len(h):
-                z = self.log_softmax(self.word_logits(f[:, h], cls[h])[1])
-                got[h] += z[np.arange(len(h)), s[h] % MEMBERS]
-            out[lo:lo + CHUNK] = got
-        return out / np.log(10)
+        self.total, self.distinct, self.buckets = total, distinct, len(tail_counts)
+        self.tail_norm = (tail_counts + tail_words + 1).astype(np.float64)
+        weights = np.concatenate([self.counts, tail_counts + 1]).astype(np.float64)
+        self.depth, self.nodes, self.children, shares = code_tree(weights)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.offset = np.log(shares / shares.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.offset[~np.isfinite(self.offset)] = -1e9  # an unused place has no mass
+        self.salt = mix(np.arange(len(shares), dtype=np.uint64) * _SEED[4] + _SEED[5])
+        self.bits = int(np.clip(np.ceil(np.log2(len(weights) + 1)), *ROW_BITS))
+        self.rows = 1 << self.bits
+        self.weights = np.zeros((TABLES, self.rows, WAYS), dtype=np.float32)
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """Place of each token among the known words, -1 for others."""
+        if not len(self.words):
+            return np.full(len(tokens), -1)
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        return np.where(self.words[at] == tokens, at, -1)
+
+    def bucket(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> _U(BUCKET_SHIFT)).astype(np.int64) % self.buckets
+
+    def leaves(self, tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Leaf of each token: its own or that of its bucket."""
+        return np.where(index >= 0, index, len(self.words) + self.bucket(tokens))
+
+    def steps(self, feats: np.ndarray, leaf: np.ndarray):
+        """For each weight table (table, token, node, child, rows of its four features)
+        of all steps from the root to the tokens' leaves that the table serves."""
+        depth = self.depth[leaf]
+        for table in range(TABLES):
+            if table < TABLES - 1:
+                token = np.flatnonzero(depth > table)
+                level = table
+            else:
+                more = np.maximum(depth - table, 0)
+                token = np.repeat(np.arange(len(leaf)), more)
+                level = table + np.arange(len(token)) - np.repeat(np.cumsum(more) - more, more)
+            if len(token):
+                node = self.nodes[leaf[token], level]
+                rows = ((feats[:, token] ^ self.salt[node]) * _SPREAD) >> _U(64 - self.bits)
+                yield table, token, node, self.children[leaf[token], level], rows.astype(np.uint16)
+
+    def softmax(self, table: int, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        z = self.offset.take(node, axis=0)
+        for r in rows:
+            z += self.weights[table].take(r, axis=0)
+        np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        z /= (z @ _ONES)[:, None]
+        return z
+
+    def log10(self, feats: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """log10 probability of the leaves."""
+        out = np.zeros(len(leaf))
+        for lo in range(0, len(leaf), CHUNK):
+            here = leaf[lo:lo + CHUNK]
+            for table, token, node, child, rows in self.steps(feats[:, lo:lo + CHUNK], here):
+                p = self.softmax(table, node, rows)[np.arange(len(token)), child]
+                out[lo:lo + CHUNK] += np.bincount(token, np.log10(np.maximum(p, 1e-30)), len(here))
+        return out
 
 
 class Trainer:
-    """Adagrad over chunks of tokens; counts how often each row was used."""
+    """Adagrad with one step size a row; counts how often each row was used."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.weights = [model.class_weights.copy(), model.word_weights.copy()]
-        model.class_weights, model.word_weights = self.weights
-        self.squares = [np.zeros_like(w) for w in self.weights]
-        self.used = [np.zeros(ROWS), np.zeros(ROWS)]
-
-    def _step(self, which: int, rows: np.ndarray, logits: np.ndarray, target: np.ndarray) -> None:
-        n = len(target)
-        z = logits - logits.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), target] -= 1.0
-        flat = rows.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        grad = np.add.reduceat(z[order % n], starts, axis=0)
-        at = flat[starts]
-        self.squares[which][at] += grad * grad
-        self.weights[which][at] -= RATE * grad / np.sqrt(self.squares[which][at] + 1.0)
-        self.used[which][at] += np.diff(np.append(starts, len(flat)))
-
-    def learn(self, feats: np.ndarray, slot: np.ndarray) -> None:
-        for lo in range(0, len(slot), CHUNK):
-            f, s = feats[:, lo:lo + CHUNK], slot[lo:lo + CHUNK]
-            cls = np.where(s >= 0, s // MEMBERS, CLASSES - 1)
-            self._step(0, *self.model.class_logits(f), cls)
-            h = np.flatnonzero(s >= 0)
-            if len(h):
-                self._step(1, *self.model.word_logits(f[:, h], cls[h]), s[h] % MEMBERS)
+        model.weights = model.weights.copy()
+        self.squares = np.zeros(model.weights.shape[:2], dtype=np.float32)
+        self.used = np.zeros(model.weights.shape[:2])
+
+    def learn(self, feats: np.ndarray, leaf: np.ndarray) -> None:
+        for lo in range(0, len(leaf), CHUNK):
+            for table, token, node, child, rows in self.model.steps(feats[:, lo:lo + CHUNK], leaf[lo:lo + CHUNK]):
+                n = len(token)
+                z = self.model.softmax(table, node, rows)
+                z[np.arange(n), child] -= 1.0
+                flat = rows.reshape(-1)
+                order = np.argsort(flat, kind="stable")
+                flat = flat[order]
+                starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                grad = np.add.reduceat(z.take(order % n, axis=0), starts, axis=0)
+                at = flat[starts]
+                squares = self.squares[table][at] + np.einsum("ij,ij->i", grad, grad) / WAYS
+                self.squares[table][at] = squares
+                grad *= (RATE / np.sqrt(squares + 1.0))[:, None]
+                self.model.weights[table][at] -= grad
+                self.used[table][at] += np.diff(np.append(starts, len(flat)))
 
 
 # ----------------------------------------------------------------- Spark jobs
@@ -202,12 +250,18 @@ def new_model(counts: DataFrame, n_texts: int) -> Model:
     tokens to the driver, which are LOCAL_SHARE rows of 16 bytes at most."""
     size = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(size[0] or 0) + n_texts, int(size[1]) + (n_texts > 0)
-    often = counts.where(F.col("c") * LOCAL_SHARE >= total).toArrow()
+    is_often = F.col("c") * LOCAL_SHARE >= total
+    often = counts.where(is_often).toArrow()
     words = often.column("word").to_numpy().view(np.uint64)
     c = often.column("c").to_numpy().astype(np.int64)
+    buckets = n_buckets(int(size[1]) - len(words))
+    tail = np.zeros((2, buckets), dtype=np.int64)
+    key = (F.shiftrightunsigned("word", BUCKET_SHIFT) % buckets).alias("bucket")
+    for r in counts.where(~is_often).groupBy(key).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        tail[:, r["bucket"]] = r["c"], r["v"]
     if n_texts:
         words, c = np.append(words, END), np.append(c, n_texts)
-    return Model(words, c, total, distinct)
+    return Model(words, c, total, distinct, *tail)
 
 
 def train_round(model: Model, texts: DataFrame) -> None:
@@ -225,15 +279,16 @@ def train_round(model: Model, texts: DataFrame) -> None:
         trainer, task, seen = Trainer(mine), TaskContext.get().partitionId(), 0
         for b in batches:
             tokens, _, place = token_arrays(b.column("text"))
-            trainer.learn(features(tokens, place), mine.find(tokens, mine.head_words, mine.head_slots, -1))
+            trainer.learn(features(tokens, place), mine.leaves(tokens, mine.find(tokens)))
             seen += len(tokens)
         if not seen:
             return
-        # the tables side by side: use and weighted rows of both factors
-        for block in range(ROWS // BLOCK_ROWS):
+        all_used, all_rows = trainer.used.reshape(-1), mine.weights.reshape(-1, WAYS)
+        for block in range(len(all_used) // BLOCK_ROWS):
             at = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
-            used = np.stack([u[at] for u in trainer.used])
-            rows = np.concatenate([trainer.weights[i][at] * used[i][:, None] for i in (0, 1)], axis=1)
+            used, rows = all_used[at], all_rows[at] * all_used[at][:, None]
+            if not used.any():
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int32()), pa.array([task % 64], pa.int32()), pa.array([task], pa.int32()),
                  pa.array([used.astype("<f8").tobytes()], pa.binary()), pa.array([rows.astype("<f4").tobytes()], pa.binary())],
@@ -264,14 +319,13 @@ def train_round(model: Model, texts: DataFrame) -> None:
     for keys in (["block", "deal"], ["block"]):
         parts = (parts.withColumn("deal", F.col("deal") if "deal" in keys else F.lit(0))
                  .repartition(*keys).sortWithinPartitions("block", "deal", "task").mapInArrow(add, fields))
-    for r in parts.collect():  # ROWS / BLOCK_ROWS rows: the model itself
+    table = model.weights.reshape(-1, WAYS)
+    for r in parts.collect():  # a row a block: the model itself
         at = slice(r["block"] * BLOCK_ROWS, (r["block"] + 1) * BLOCK_ROWS)
-        used = np.frombuffer(bytes(r["used"]), "<f8").reshape(2, BLOCK_ROWS)
-        rows = np.frombuffer(bytes(r["weights"]), "<f4").reshape(BLOCK_ROWS, CLASSES + MEMBERS)
-        for i, (table, cols) in enumerate(((model.class_weights, slice(0, CLASSES)),
-                                           (model.word_weights, slice(CLASSES, CLASSES + MEMBERS)))):
-            some = used[i] > 0
-            table[at][some] = rows[some, cols] / used[i][some, None]
+        used = np.frombuffer(bytes(r["used"]), "<f8")
+        rows = np.frombuffer(bytes(r["weights"]), "<f4").reshape(-1, WAYS)
+        some = used > 0
+        table[at][some] = rows[some] / used[some, None]
     sent.unpersist()
 
 
@@ -298,15 +352,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for b in batches:
             n = b.num_rows
             tokens, row, place = token_arrays(b.column("text"))
-            index = m.find(tokens, m.words, np.arange(len(m.words)), -1)
+            index = m.find(tokens)
             known = index >= 0
             c = np.where(known, m.counts[index], 0) if len(m.words) else np.zeros(len(tokens), np.int64)
-            slot = np.where(known, m.slots[index], -1) if len(m.words) else np.full(len(tokens), -1)
-            gain = np.log10(c + 1.0)
-            base = gain - np.log10(m.total + m.distinct + 1.0)
-            mine = m.log10(features(tokens, place), slot)
-            tail = slot < 0
-            mine[tail] += gain[tail] - np.log10(m.tail_norm)
+            base = np.log10(c + 1.0) - np.log10(m.total + m.distinct + 1.0)
+            leaf = m.leaves(tokens, index)
+            mine = m.log10(features(tokens, place), leaf)
+            mine[~known] -= np.log10(m.tail_norm[leaf[~known] - len(m.words)])
             ids = row0 + np.arange(n)
             row0 += n
             empty = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]

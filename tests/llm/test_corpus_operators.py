@@ -291,15 +291,52 @@ def test_language_model_counts_mass_and_held_out_gain(spark):
         if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2:
             gain += r.score - r.base_score
     assert gain > 0
-    # the model's masses sum to one: head tokens, seen others and one unseen word, in several contexts
-    tails = sum(c.values()) - int(model.counts[model.slots >= 0].sum())
+    # every score equals a direct walk down the class tree, token by token
+    def walk(tokens):
+        feats = [maxent_lm.features(np.array(tokens, dtype=np.uint64), np.arange(len(tokens)))[:, i] for i in range(len(tokens))]
+        total = 0.0
+        for token, f in zip(tokens, feats):
+            at = np.flatnonzero(model.words == token)
+            if len(at):
+                leaf = at[0]
+            else:
+                bucket = int(token >> np.uint64(maxent_lm.BUCKET_SHIFT)) % model.buckets
+                leaf = len(model.words) + bucket
+                total += math.log10((seen_words.get(int(token), 0) + 1) / model.tail_norm[bucket])
+            for level in range(model.depth[leaf]):
+                node, child = model.nodes[leaf, level], model.children[leaf, level]
+                z = model.offset[node].astype(float)
+                for x in f:
+                    row = (((int(x) ^ int(model.salt[node])) * int(maxent_lm._SPREAD)) % 2**64) >> (64 - model.bits)
+                    z = z + model.weights[min(level, maxent_lm.TABLES - 1)][row]
+                total += (z[child] - np.logaddexp.reduce(z)) / math.log(10)
+        return total
+    import pyarrow as pa
+    seen_words = {r.word & (2**64 - 1): r.c for r in counts.collect()}
+    want = collections.defaultdict(list)
+    for r in docs.collect():
+        want[r.doc_id].append(walk(maxent_lm.token_arrays(pa.array([r.text], pa.string()))[0][:400]))
+    for r in got:
+        if r.n_tokens <= 400:
+            assert any(math.isclose(r.score, x, rel_tol=1e-4) for x in want[r.doc_id])
+
+
+@pytest.mark.parametrize("known, buckets", [(0, 1), (1, 1), (5, 1), (40, 4), (3000, 16)])
+def test_language_model_masses_sum_to_one(known, buckets):
+    rng = np.random.default_rng(known)
+    tail = rng.integers(0, 50, buckets)
+    counts = rng.integers(1, 1 + 10 ** rng.integers(1, 6, known)) if known else np.zeros(0, np.int64)
+    model = maxent_lm.Model(np.arange(known, dtype=np.uint64), counts, int(counts.sum() + tail.sum()), known + buckets, tail, tail)
+    n = known + buckets
     for context in range(3):
-        feats = np.full((4, 1), context * 12345, dtype=np.uint64)
-        head = np.repeat(feats, maxent_lm.HEAD, axis=1)
-        mass = (10 ** model.log10(head, np.arange(maxent_lm.HEAD))).sum()
-        rest = 10 ** model.log10(feats, np.array([-1]))[0]
-        shares = (tails + (v - min(v, maxent_lm.HEAD)) + 1) / model.tail_norm
-        assert math.isclose(mass + rest * shares, 1.0, rel_tol=1e-4)
+        model.weights[:] = rng.normal(0, 0.5, model.weights.shape)
+        feats = np.full((4, n), context * 12345, dtype=np.uint64)
+        assert math.isclose((10 ** model.log10(feats, np.arange(n))).sum(), 1.0, rel_tol=1e-4)
+
+
+def test_language_model_grows_with_the_vocabulary():
+    sizes = [maxent_lm.n_buckets(n) for n in (0, 1, 10**4, 10**6, 10**8, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 and len(set(sizes)) >= 4
 
 
 def test_language_model_without_texts(spark):
