@@ -7,7 +7,9 @@ minimum, merges, compacts the arrays and retires words without a pair. The
 library merges the best pair of a text, leftmost first, one at a time. A round
 merges all leftmost occurrences of a word's best pair at once where that is
 provably the same (no piece that the merged one can become part of ranks before
-it), and otherwise only the first.
+it), and otherwise only the first. Rounds that merge little of a long word would
+make its cost quadratic; such a word is finished from where it stands by a queue of
+its pairs, in the library's order.
 
 No piece joins a character to a space after it, so a text falls into words
 (spaces, then other characters) that can be merged apart; recurring words are
@@ -22,6 +24,7 @@ empty table an empty one; columns other than those named are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -33,7 +36,9 @@ from stockspark.llm.common import documents, prepare
 SPACE = "▁"
 UNKNOWN_SURFACE = " ⁇ "  # what the library prints for the unknown piece
 NO_PAIR = np.int64(1) << 40
-TABLE_ENTRIES = 1_000_000  # about 200 MB in a worker
+TABLE_BYTES = 200_000_000  # recurring words in a worker, ENTRY_BYTES an entry beside characters and ids
+ENTRY_BYTES = 160
+LONG, SLOW = 256, 64       # a word of over LONG symbols leaves the rounds when one merges under 1 / SLOW of it
 CHARS = 0x110000
 
 
@@ -90,6 +95,7 @@ class PieceModel:
         #: merging all leftmost occurrences of such a piece at once equals merging them one by one
         self.quiet = best_beside > self.rank
         self._build(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64))
+        self.pairs = dict(zip(keys, values))
 
         in_pieces = set("".join(of))
         self.cut_lines = "\n" not in in_pieces
@@ -111,6 +117,7 @@ class PieceModel:
         self.begins = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     # ------------------------------------------------------------- pair table
 
@@ -184,6 +191,15 @@ class PieceModel:
             else:
                 gone = np.zeros(len(sym), dtype=bool)
             over = np.repeat(best >= NO_PAIR, sizes)
+            slow = np.flatnonzero((sizes > LONG) & (best < NO_PAIR))
+            if len(slow):
+                merges = np.add.reduceat(gone.astype(np.int64), starts)
+                for i in slow[merges[slow] * SLOW < sizes[slow]].tolist():
+                    at = np.arange(starts[i], starts[i] + sizes[i])
+                    left = self._queue(sym[at[~gone[at]]])
+                    done_sym.append(left)
+                    done_word.append(np.full(len(left), word[starts[i]]))
+                    gone[at] = True
             done_sym.append(sym[over])
             done_word.append(word[over])
             keep = ~(gone | over)
@@ -197,6 +213,31 @@ class PieceModel:
         ends = np.searchsorted(word, np.arange(len(words)), side="right") * 4
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _queue(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols of one word merged pair by pair: lowest rank first, then leftmost."""
+        piece = self.merged(sym[:-1], sym[1:])
+        at = np.flatnonzero(piece >= 0)
+        heap = list(zip(self.rank[piece[at]].tolist(), at.tolist(), sym[at].tolist(), sym[at + 1].tolist()))
+        heapq.heapify(heap)
+        syms, n = sym.tolist(), len(sym)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if syms[i] != left or j == n or syms[j] != right:
+                continue  # one of the two has been merged since
+            syms[i], syms[j] = self.pairs[left * self.span + right], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n:
+                    new = self.pairs.get(syms[a] * self.span + syms[b])
+                    if new is not None:
+                        heapq.heappush(heap, (int(self.rank[new]), a, syms[a], syms[b]))
+        left = np.array(syms, dtype=np.int64)
+        return left[left >= 0]
+
     def _fall_back(self, sym, word):
         """Characters that are no piece become the pieces of their UTF-8 bytes."""
         out, owner, last = [], [], 0
@@ -222,15 +263,18 @@ class PieceModel:
         return [w for w in text.replace(" ", "\0 ").split("\0") if w]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > TABLE_ENTRIES:
+        if self.held > TABLE_BYTES:
             self.known.clear()
+            self.held = 0
         known = self.known
         split = [self.words(t) for t in texts]
         new: set[str] = set()
         for ws in split:
             new.update(w for w in ws if w not in known)
         fresh = list(new)
-        known.update(zip(fresh, self.merge_words(fresh)))
+        made = self.merge_words(fresh)
+        known.update(zip(fresh, made))
+        self.held += sum(map(len, made)) + 2 * sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
         return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<i4") for ws in split]
 
     # ------------------------------------------------------------- decoding

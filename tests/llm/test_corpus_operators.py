@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import tempfile
 import zlib
 
@@ -347,6 +348,48 @@ def test_language_model_without_texts(spark):
     assert len(got) == len(rows()) and all(r.n_known == 0 and math.isfinite(r.score) for r in got)
 
 
+# ----------------------------------------------------------------- long unspaced words
+
+@functools.cache
+def _both():
+    import sentencepiece
+    return sentence_pieces.PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+@pytest.mark.parametrize("letters", ["a", "=", "ab", "etaoinshrdlu", "0123456789", "esr", " ", "漢字東京", "aA+/9xQ"])
+def test_long_words_equal_library_in_time(letters):
+    mine, theirs = _both()
+    rng = random.Random(len(letters))
+    for n in (1, sentence_pieces.LONG, sentence_pieces.LONG + 1, 5000, 100_000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        began = time.monotonic()
+        assert mine.encode([text])[0].tolist() == theirs.encode(text)
+        assert time.monotonic() - began < 30  # two million merge steps and more if it were quadratic
+
+
+def test_queue_equals_library_from_any_round(monkeypatch):
+    mine, theirs = _both()
+    rng = random.Random(9)
+    for long_, slow in ((1, 1), (2, 64), (8, 2), (64, 8)):
+        monkeypatch.setattr(sentence_pieces, "LONG", long_)
+        monkeypatch.setattr(sentence_pieces, "SLOW", slow)
+        for _ in range(200):
+            letters = rng.choice(["etaoin", "aA=-_", "therising ", "esr", "é漢a"])
+            texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 300))) for _ in range(3)]
+            mine.known.clear()
+            assert [x.tolist() for x in mine.encode(texts)] == theirs.encode(texts)
+
+
+def test_word_table_is_bounded_by_bytes(monkeypatch):
+    mine, theirs = _both()
+    monkeypatch.setattr(sentence_pieces, "TABLE_BYTES", 10_000)
+    rng = random.Random(4)
+    for _ in range(20):
+        text = " ".join("".join(rng.choice("etaoin") for _ in range(400)) for _ in range(10))
+        assert mine.encode([text])[0].tolist() == theirs.encode(text)
+    assert mine.held < 10_000 + 40_000 and len(mine.known) < 60
+
+
 # ----------------------------------------------------------------- pipeline
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
