@@ -22,18 +22,18 @@ def order_file(spark, sf_dir):
         F.col("l_linenumber").alias("line"), sku.alias("product_sku"),
         F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").alias("price_at_order"))))
         .alias("items"))
-    orders = t.orders
+    # numbered while the rows are narrow: the number needs the order keys only
+    orders = number_rows(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), "o_orderkey", "row")
     o = orders.join(it, orders["o_orderkey"] == it["l_orderkey"], "left")
     items_json = (F.when(F.col("o_orderkey") % 101 == 0, F.lit("{}"))
                   .otherwise(F.coalesce(F.to_json("items"), F.lit("[]"))))
-    rows = o.select(
+    return o.select(
         F.when(F.col("o_custkey") % 97 == 0, F.lit(" ")).otherwise(
             F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))).alias("customer_name"),
         F.col("o_orderdate").cast("string").alias("order_date"),
         F.when(F.col("o_orderstatus") == "P", "Cancelled").when(F.col("o_orderstatus") == "F", "Shipped")
          .otherwise("").alias("status"),
-        items_json.alias("items_json"), F.col("o_orderkey").alias("_ord"))
-    return number_rows(rows, "_ord", "row")
+        items_json.alias("items_json"), F.col("o_orderkey").alias("_ord"), "row")
 
 
 def stock(spark, sf_dir):
