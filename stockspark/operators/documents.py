@@ -9,7 +9,7 @@ flattened, and new ids continue after max(id) in batch order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockspark.functions.keys import strip_ws
@@ -29,9 +29,17 @@ def ingest_order_documents(existing: DataFrame, docs: DataFrame, run_ts: str, or
     comment, currency_code, shipping_address struct, retailer_data struct,
     items array<struct>, plus the batch order column.
     """
-    accepted, rejects = reject_known(existing.select("id", "order_reference"), docs, "order_reference", order_col)
+    known = existing.select("id", "order_reference")
+    _, rejects = reject_known(known, docs, "order_reference", order_col)
     base = int(existing.agg(F.max("id")).first()[0] or 0)  # one number
-    numbered = global_row_number(accepted, [order_col], "_n").withColumn("_max", F.lit(base).cast("bigint"))
+    # judged and numbered by reference and order alone; the documents with their items move once,
+    # to their numbers. Documents alike in both are told apart by a count.
+    at = ["order_reference", order_col]
+    copy = F.row_number().over(Window.partitionBy(*at).orderBy(*at))
+    accepted, _ = reject_known(known, docs.select(*at), "order_reference", order_col)
+    number = global_row_number(accepted, [order_col], "_n").withColumn("_copy", copy)
+    numbered = (docs.withColumn("_copy", copy).join(number, [*at, "_copy"])
+                .withColumn("_max", F.lit(base).cast("bigint")))
     def opt(c: str):
         return F.col(c) if c in docs.columns else F.lit(None).cast("string")
     sa = F.col("shipping_address")
