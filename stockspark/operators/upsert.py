@@ -84,8 +84,11 @@ def _validate_core(batch: DataFrame, policy: ImportPolicy, keep) -> DataFrame:
     sku = strip_ws(F.coalesce(F.col("sku").cast("string"), F.lit("")))
     name = strip_ws(F.coalesce(F.col("name").cast("string"), F.lit("")))
     qcol = "quantity" if "quantity" in batch.columns else "qty"
-    q = py_int(F.col(qcol))
-    p = py_float(F.col("price"))
+    raw_pack = F.lower(strip_ws(F.coalesce(F.col("pack_size").cast("string"), F.lit(""))))
+    # cells are parsed once, in a projection of their own; the checks below name them several times
+    batch = batch.select("*", sku.alias("_sku"), name.alias("_name"), py_int(F.col(qcol)).alias("_q"),
+                         py_float(F.col("price")).alias("_p"), raw_pack.alias("_raw_pack"))
+    sku, name, q, p, raw_pack = map(F.col, ("_sku", "_name", "_q", "_p", "_raw_pack"))
     q_bad = q.isNull() | (F.lit(policy.enforce_quantity_ge_zero) & (q < 0))
     # Spark orders NaN above every number; Python's nan > 0 is False.
     p_bad = p.isNull() | (F.lit(policy.enforce_price_gt_zero) & ~((p > 0) & ~F.isnan(p)))
@@ -96,7 +99,6 @@ def _validate_core(batch: DataFrame, policy: ImportPolicy, keep) -> DataFrame:
         sup = F.lit(policy.forced_supplier)
     else:
         sup = _blank_to_null(F.coalesce(F.col("supplier").cast("string"), F.lit("")))
-    raw_pack = F.lower(strip_ws(F.coalesce(F.col("pack_size").cast("string"), F.lit(""))))
     if policy.blank_pack == "clear":
         pack_set = F.lit(True)             # blank -> null -> clears
     else:
@@ -121,14 +123,12 @@ def validate_products(batch: DataFrame, policy: ImportPolicy = ImportPolicy(), r
 
 
 def _validated(batch: DataFrame, policy: ImportPolicy, row_col: str, order_col: str) -> DataFrame:
-    """Validated batch, materialised once. Without a row-number column, rows are
-    numbered in file order (WIN-4) after validation - numbering materialises
-    the frame, so the batch is written once."""
-    if row_col in batch.columns:
-        return _with_messages(materialize(_validate_core(batch, policy, [F.col(row_col).alias("row")])))
-    core = _validate_core(batch, policy, [F.col(order_col)])
-    numbered = global_row_number(core, [order_col], "row")
-    return _with_messages(numbered.drop(order_col))
+    """Validated batch, materialised once. Without a row-number column, rows are first
+    numbered in file order (WIN-4): the numbering reads its input twice (range boundaries,
+    then rows), so the checks of the cells come after it."""
+    if row_col not in batch.columns:
+        batch, row_col = global_row_number(batch, [order_col], "row").drop(order_col), "row"
+    return _with_messages(materialize(_validate_core(batch, policy, [F.col(row_col).alias("row")])))
 
 
 def resolve_suppliers(valid: DataFrame, suppliers: DataFrame):
@@ -141,6 +141,9 @@ def resolve_suppliers(valid: DataFrame, suppliers: DataFrame):
     new_ids = _assign_new_ids(new, "supplier", "_first", _max_id(suppliers), "_nid")
     ids = j.join(new_ids.select("supplier", "_nid"), "supplier", "left") \
            .select("supplier", F.coalesce("_sid", "_nid").alias("supplier_id"))
+    # written, so that Spark knows its size: a short list is broadcast and the rows stay where
+    # they are, also when most of them name one supplier or none
+    ids = materialize(ids)
     out = valid.join(ids, "supplier", "left")
     new_rows = new_ids.select(F.col("_nid").alias("id"), F.col("supplier").alias("name"),
                               F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("phone"))
@@ -165,25 +168,19 @@ def upsert_products(products: DataFrame, suppliers: DataFrame, batch: DataFrame,
     errors = v.where(F.col("error").isNotNull()).select("row", "sku", F.col("error").alias("message"))
     valid = v.where(F.col("error").isNull()).drop("error")
     valid, new_suppliers = resolve_suppliers(valid, suppliers)
-    valid = materialize(valid)
-    ex = products.select(F.col("id").alias("_eid"), F.col("sku").alias("_esku"), F.col("name").alias("_ename"),
-                         F.col("price").alias("_eprice"), F.col("supplier_id").alias("_esup"),
-                         F.col("pack_size").alias("_epack"))
-    first_row = valid.groupBy("sku").agg(F.min("row").alias("_first"))
-    v2 = valid.join(first_row, "sku").join(ex, F.col("sku") == F.col("_esku"), "left")
-    sets_pack = F.col("_pack_set") | (F.col("_eid").isNull() & (F.col("row") == F.col("_first")))
+    ex = products.groupBy("sku").agg(
+        F.first("id", ignorenulls=True).alias("_eid"), F.first("name", ignorenulls=True).alias("_ename"),
+        F.first("price", ignorenulls=True).alias("_eprice"), F.first("supplier_id", ignorenulls=True).alias("_esup"),
+        F.first("pack_size", ignorenulls=True).alias("_epack"))
     row = F.col("row")
-    per = v2.groupBy("sku").agg(
-        F.first("_eid", ignorenulls=True).alias("_eid"),
-        F.first("_ename", ignorenulls=True).alias("_ename"),
-        F.first("_eprice", ignorenulls=True).alias("_eprice"),
-        F.first("_esup", ignorenulls=True).alias("_esup"),
-        F.first("_epack", ignorenulls=True).alias("_epack"),
+    per = valid.groupBy("sku").agg(
         F.min("row").alias("_first"),
         F.max_by(F.struct("name", "quantity", "price", "supplier_id"), row).alias("_last"),
-        F.min_by(F.struct("name", "price", "supplier_id"), row).alias("_ins"),
-        F.max_by(F.struct("_pack"), F.when(sets_pack, row)).alias("_packrow"),
-        F.count_if(sets_pack).alias("_npack"))
+        F.min_by(F.struct("name", "price", "supplier_id", "_pack"), row).alias("_ins"),
+        F.max_by(F.struct("_pack"), F.when(F.col("_pack_set"), row)).alias("_packrow"),
+        F.bool_or("_pack_set").alias("_packed"))
+    # one row per sku, needed for the new ids, the products and the log
+    per = materialize(per.join(ex, "sku", "left"))
     exists = F.col("_eid").isNotNull()
 
     def attr(allowed: bool, last: str, existing: str, ins: str) -> Column:
@@ -194,7 +191,9 @@ def upsert_products(products: DataFrame, suppliers: DataFrame, batch: DataFrame,
     new_skus = per.where(~exists).select("sku", "_first")
     new_ids = _assign_new_ids(new_skus, "sku", "_first", _max_id(products), "_nid")
     per = per.join(new_ids.select("sku", "_nid"), "sku", "left")
-    pack = F.when(F.col("_npack") > 0, F.col("_packrow._pack")).otherwise(F.col("_epack"))
+    # the last row that sets the pack; the inserting row always sets it, and no row is before it
+    pack = (F.when(F.col("_packed"), F.col("_packrow._pack")).when(exists, F.col("_epack"))
+            .otherwise(F.col("_ins._pack")))
     touched = per.select(
         F.coalesce("_eid", "_nid").alias("id"), "sku",
         attr(policy.allow_update_name, "name", "_ename", "name").alias("name"),

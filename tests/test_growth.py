@@ -1,8 +1,14 @@
 """Work that must not grow with the number of rounds, hot keys or files."""
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 import stockspark.operators.admission as admission_mod
 import stockspark.operators.ordering as ordering_mod
+from stockspark.operators import upsert as U
+from stockspark.operators.documents import ingest_order_documents
+from stockspark.sinks.writers import write_chunks
 
 
 def test_rounds_read_undecided_orders_only(spark, monkeypatch):
@@ -29,3 +35,40 @@ def test_only_large_keys_have_buckets(spark, monkeypatch):
     assert {(r["pid"], r["row"]): r["s"] for r in got.collect()} == {(p, i): i * (i - 1) // 2 for p, i, _ in rows}
     assert d.where("pid = 0").select("_bkt").distinct().count() > 2
     assert "_bkt" not in ordering_mod.add_buckets(df.where("pid > 0"), "row", keys=["pid"]).columns
+
+
+def test_import_reduces_the_batch_once(spark):
+    products = spark.createDataFrame([(1, "A", "a", 1, 1.0, 1, "small")], "id long, sku string, name string, quantity long, price double, supplier_id long, pack_size string")
+    suppliers = spark.createDataFrame([(1, "S", None, None)], "id long, name string, email string, phone string")
+    batch = spark.createDataFrame([(1, "B", "b", "1", "2", "S", ""), (2, "A", "x", "3", "4", "T", ""), (3, "B", "c", "5", "6", None, "large"), (4, "C", "c", "1", "1", "T", None)],
+                                  "row long, sku string, name string, quantity string, price string, supplier string, pack_size string")
+    out, _, _, log = U.upsert_products(products, suppliers, batch)
+    for d in (out, log):
+        assert "max_by" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "A", "x", 3, 4.0, 2, "small"), (2, "B", "c", 5, 6.0, None, "large"), (3, "C", "c", 1, 1.0, 2, None)]
+
+
+def test_failed_chunks_leave_the_earlier_ones(spark, tmpdir_path):
+    rows = spark.range(0, 25).select("id", (F.col("id") + 1).alias("row_num"), F.floor(F.col("id") / 10).alias("chunk_id"))
+    write_chunks(rows, f"{tmpdir_path}/c", ["id"])
+    broken = rows.withColumn("id", F.when(F.col("id") < 24, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")))
+    with pytest.raises(Exception, match="broken"):
+        write_chunks(broken, f"{tmpdir_path}/c", ["id"])
+    assert spark.read.option("header", True).csv(f"{tmpdir_path}/c").count() == 25
+    assert os.listdir(tmpdir_path) == ["c"]
+
+
+def test_documents_are_numbered_without_their_items(spark, monkeypatch):
+    import stockspark.operators.documents as documents
+    from stockspark.operators.documents import ADDRESS_FIELDS
+    address = "struct<" + ",".join(f"{f}:string" for f in ADDRESS_FIELDS) + ">"
+    docs = spark.createDataFrame([(f"P{i // 2}", None, {"city": "x"}, ("r",), [(i, 1)], i) for i in range(6)] + [("P9", None, None, None, [(9, 1)], 9)] * 2,
+                                 f"order_reference string, order_date timestamp, shipping_address {address}, retailer_data struct<name:string>, items array<struct<a:long,b:long>>, _ord long")
+    seen, number = [], documents.global_row_number
+    monkeypatch.setattr(documents, "global_row_number", lambda d, *a: seen.append(d.columns) or number(d, *a))
+    existing = spark.createDataFrame([(7, "P1")], "id long, order_reference string")
+    orders, items, rejects = ingest_order_documents(existing, docs, "2024-01-01 00:00:00")
+    assert seen == [["order_reference", "_ord"]]
+    assert sorted((r["id"], r["order_reference"]) for r in orders.collect()) == [(8, "P0"), (9, "P2"), (10, "P9"), (11, "P9")]
+    assert sorted((r["order_id"], r["a"]) for r in items.collect()) == [(8, 0), (9, 4), (10, 9), (11, 9)]
+    assert rejects.count() == 4
