@@ -220,14 +220,15 @@ def segmented_sums(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
 
 def segmented_last(df: DataFrame, keys: Sequence[str], order_cols: Sequence, values: dict, bucket_col: str = "_bkt") -> DataFrame:
     """The last non-null value before each row (exclusive), for several ``values`` per key, as the
-    two-level scan over ``bucket_col`` (a bucket index that is non-decreasing along ``order_cols``)."""
+    two-level scan over ``bucket_col`` (a bucket index that is non-decreasing along ``order_cols``);
+    keys without buckets (null) are scanned whole."""
     keys, order = list(keys), _cols(order_cols)
     named = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
     wl = Window.partitionBy(*keys, bucket_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     wc = Window.partitionBy(*keys).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     d = named.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(wl).alias(f"_l_{n}") for n in values])
     at = order_struct(*order)
-    tot = named.groupBy(*keys, bucket_col).agg(*[
+    tot = named.where(F.col(bucket_col).isNotNull()).groupBy(*keys, bucket_col).agg(*[
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in values])
     carry = tot.select(*keys, bucket_col, *[F.last(f"_t_{n}", ignorenulls=True).over(wc).alias(f"_c_{n}") for n in values])
     d = d.join(carry, keys + [bucket_col], "left")

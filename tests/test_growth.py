@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import stockspark.operators.admission as admission_mod
+import stockspark.operators.claims as claims_mod
 import stockspark.operators.ordering as ordering_mod
 from stockspark.operators import upsert as U
 from stockspark.operators.documents import ingest_order_documents
@@ -72,3 +73,22 @@ def test_documents_are_numbered_without_their_items(spark, monkeypatch):
     assert sorted((r["id"], r["order_reference"]) for r in orders.collect()) == [(8, "P0"), (9, "P2"), (10, "P9"), (11, "P9")]
     assert sorted((r["order_id"], r["a"]) for r in items.collect()) == [(8, 0), (9, 4), (10, 9), (11, 9)]
     assert rejects.count() == 4
+
+
+def test_settled_claims_leave_the_rounds(spark, monkeypatch):
+    # 40 claims of keys of their own, and a chain of renames of which each waits for the one before
+    claims = [(i, i, f"own{i}") for i in range(1, 41)] + [(100 + k, 100 + k, f"key{k + 1}") for k in range(9, 0, -1)]
+    claims += [(200 + k, 100 + k, f"key{k}") for k in range(9, 0, -1)]
+    holders = [(100 + k, f"key{k}") for k in range(1, 11)]
+    written, write = [], claims_mod.materialize
+    monkeypatch.setattr(claims_mod, "materialize", lambda df, *a: (lambda d: written.append(d.count()) or d)(write(df, *a)))
+    got = claims_mod.settle(spark.createDataFrame(claims, "seq long, entity long, key string"),
+                            spark.createDataFrame(holders, "entity long, key string")).collect()
+    holds, names, expected = {k: e for e, k in holders}, dict(holders), {}
+    for seq, entity, key in sorted(claims):
+        expected[seq] = holds.get(key, entity) == entity
+        if expected[seq]:
+            holds.pop(names.get(entity), None)
+            holds[key], names[entity] = entity, key
+    assert {r["seq"]: r["granted"] for r in got} == expected and len(got) == len(claims)
+    assert len(written) >= 3 and max(written[2:]) < len(claims) - 40
