@@ -379,31 +379,42 @@ def normalize_v5(df: DataFrame, sku: str, account: str, qty: str, upper_keys: bo
         F.col(order_col).alias("_ord"))
 
 
-def aggregate_dupes(df: DataFrame, how: str = "sum", keys: Sequence[str] = ("sku_key", "account_key"),
-                    qty: str = "qty", order_col: str = "_ord") -> DataFrame:
-    """AGG-1: one row per key. sum of all-null = 0; max/min null; first/last skip
-    nulls (by file order); raw sku/account = first non-null. Partial aggregates only."""
-    q, o = F.col(qty), F.col(order_col)
-    nn = F.when(q.isNotNull(), o)
+def _dupes_agg(how: str, q: Column, o: Column, rows: Column) -> Column:
+    """AGG-1's quantity of a key's ``rows``: the aggregate ``how`` of ``q`` in the order ``o``; no rows, no quantity."""
     how = how if how in ("sum", "max", "min", "first", "last") else "sum"
-    agg = {
-        "sum": F.coalesce(F.sum(q), F.lit(0.0)),
+    q = F.when(rows, q)
+    nn = F.when(q.isNotNull(), o)
+    return {
+        "sum": F.coalesce(F.sum(q), F.max(F.when(rows, F.lit(0.0)))),
         "max": F.max(q),
         "min": F.min(q),
         "first": F.min_by(q, nn),
         "last": F.max_by(q, nn),
     }[how]
+
+
+def aggregate_dupes(df: DataFrame, how: str = "sum", keys: Sequence[str] = ("sku_key", "account_key"),
+                    qty: str = "qty", order_col: str = "_ord") -> DataFrame:
+    """AGG-1: one row per key. sum of all-null = 0; max/min null; first/last skip
+    nulls (by file order); raw sku/account = first non-null. Partial aggregates only."""
+    o = F.col(order_col)
     return df.groupBy(*keys).agg(
-        agg.alias(qty),
+        _dupes_agg(how, F.col(qty), o, F.lit(True)).alias(qty),
         F.min_by(F.col("sku_raw"), F.when(F.col("sku_raw").isNotNull(), o)).alias("sku_raw"),
         F.min_by(F.col("account_raw"), F.when(F.col("account_raw").isNotNull(), o)).alias("account_raw"))
 
 
 def compare_v5(a: DataFrame, b: DataFrame, how: str = "sum") -> DataFrame:
-    """The dashboard's 11 result columns, in display order. Presence = quantity not null."""
-    x = aggregate_dupes(a, how).select("sku_key", "account_key", F.col("qty").alias("qty_wh"))
-    y = aggregate_dupes(b, how).select("sku_key", "account_key", F.col("qty").alias("qty_ecom"))
-    j = x.join(y, ["sku_key", "account_key"], "full")
+    """The dashboard's 11 result columns, in display order, one row per key. Presence = quantity not null.
+
+    Keys are never null, so the full outer join of the two sides' ``aggregate_dupes`` is one aggregate
+    of both sides' rows: a task holds a key once, where the join sorted both aggregated sides.
+    """
+    rows = a.select("sku_key", "account_key", "qty", "_ord", F.lit(True).alias("_wh")).unionByName(
+        b.select("sku_key", "account_key", "qty", "_ord", F.lit(False).alias("_wh")))
+    j = rows.groupBy("sku_key", "account_key").agg(
+        _dupes_agg(how, F.col("qty"), F.col("_ord"), F.col("_wh")).alias("qty_wh"),
+        _dupes_agg(how, F.col("qty"), F.col("_ord"), ~F.col("_wh")).alias("qty_ecom"))
     pw, pe = F.col("qty_wh").isNotNull(), F.col("qty_ecom").isNotNull()
     qw = F.coalesce(F.col("qty_wh"), F.lit(0.0))
     qe = F.coalesce(F.col("qty_ecom"), F.lit(0.0))
@@ -416,11 +427,12 @@ def compare_v5(a: DataFrame, b: DataFrame, how: str = "sum") -> DataFrame:
 
 
 def rollup_by_account(merged: DataFrame) -> DataFrame:
-    """AGG-7 (JN-12's self-merge folded into the same aggregate)."""
+    """AGG-7 (JN-12's self-merge folded into the same aggregate). ``merged`` holds a (sku, account) once,
+    as ``compare_v5`` makes it, so an account's skus are counted without a distinct."""
     st, ss = F.col("status"), F.col("source_status")
     iw, ie = F.col("in_stock_wh"), F.col("in_stock_ecom")
     return merged.groupBy("account_key").agg(
-        F.count_distinct("sku_key").alias("total_items"),
+        F.count("sku_key").alias("total_items"),
         F.count_if(st == MATCH).alias("matched"),
         F.count_if(st == MISMATCH).alias("mismatched"),
         F.count_if(ss == COV_WH).alias("wh_only"),

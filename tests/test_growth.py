@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import stockspark.operators.admission as admission_mod
 import stockspark.operators.claims as claims_mod
 import stockspark.operators.ordering as ordering_mod
+from stockspark.operators import compare
 from stockspark.operators import upsert as U
 from stockspark.operators.documents import ingest_order_documents
 from stockspark.sinks.writers import write_chunks
@@ -92,3 +93,17 @@ def test_settled_claims_leave_the_rounds(spark, monkeypatch):
             holds[key], names[entity] = entity, key
     assert {r["seq"]: r["granted"] for r in got} == expected and len(got) == len(claims)
     assert len(written) >= 3 and max(written[2:]) < len(claims) - 40
+
+
+def test_rollup_holds_each_key_once(spark, capsys):
+    side = "sku_key string, account_key string, qty double, _ord long"
+    a = spark.createDataFrame([("S", "A", 1.0, 1), ("S", "A", 2.0, 2), ("T", "A", None, 3)], side)
+    b = spark.createDataFrame([("S", "A", 3.0, 1), ("U", "B", 5.0, 2)], side)
+    merged = compare.compare_v5(a, b, "sum")
+    got = {(r["sku_key"], r["account_key"]): (r["qty_wh"], r["qty_ecom"], r["source_status"]) for r in merged.collect()}
+    assert got == {("S", "A"): (3.0, 3.0, "Both"), ("T", "A"): (0.0, 0.0, "Warehouse Only"), ("U", "B"): (0.0, 5.0, "E-Commerce Only")}
+    roll = compare.rollup_by_account(merged)
+    assert {r["account_key"]: (r["total_items"], r["matched"], r["ecom_only"]) for r in roll.collect()} == {"A": (2, 2, 0), "B": (1, 0, 1)}
+    roll.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "distinct" not in plan and "Sort " not in plan
