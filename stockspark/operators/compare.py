@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stockspark.config import Normalization, SideMapping
 from stockspark.functions.keys import PIPE, VDOTS, strip_ws, upper_strip, with_composite_key
 from stockspark.functions.numeric import coerce_numeric, parse_number, sign_class, to_int_safe
-from stockspark.operators.ordering import keep_last
+from stockspark.operators.ordering import keep_last, row_tasks, spread
 
 # Presence / status labels of the variants.
 BOTH, ONLY_WH, ONLY_EC = "Both", "Only in Warehouse", "Only in Ecommerce"
@@ -222,15 +222,17 @@ def totals_v3(a: DataFrame, b: DataFrame, a_cols: tuple, b_cols: tuple) -> DataF
 
     Per (key, quantity) the rows of both sides are counted; a key with nA and nB
     rows has nA * nB pairs, of which those with equal quantities match, and its
-    pairs' quantity differences sum to nA * sum(B) - nB * sum(A).
+    pairs' quantity differences sum to nA * sum(B) - nB * sum(A). Most (key, quantity) occur
+    once, so the rows are dealt to as many tasks as their number asks for; what a task holds is bounded.
     """
     keys = ["vendor_id", "sku"]
     rows = (_v3_side(a, a_cols, "A", "q").withColumn("_a", F.lit(1).cast("bigint")).withColumn("_b", F.lit(0).cast("bigint"))
             .unionByName(_v3_side(b, b_cols, "B", "q").withColumn("_a", F.lit(0).cast("bigint"))
                          .withColumn("_b", F.lit(1).cast("bigint"))))
-    each = rows.groupBy(*keys, "q").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    tasks = row_tasks(rows)
+    each = spread(rows, tasks, *keys, "q").groupBy(*keys, "q").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     big = "decimal(38,0)"
-    per = each.groupBy(*keys).agg(
+    per = spread(each, tasks, *keys).groupBy(*keys).agg(
         F.sum("_a").alias("na"), F.sum("_b").alias("nb"), F.sum(F.col("_a") * F.col("_b")).alias("same"),
         F.sum(F.col("_a").cast(big) * F.col("q")).alias("qa"), F.sum(F.col("_b").cast(big) * F.col("q")).alias("qb"))
     both = F.col("na") * F.col("nb")

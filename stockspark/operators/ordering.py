@@ -108,6 +108,19 @@ ROWS_PER_BUCKET = 500_000
 MOST_BUCKETS = 4096  # boundaries are literals of the plan
 
 
+def row_tasks(df: DataFrame) -> int:
+    """Tasks of about ROWS_PER_BUCKET rows that ``df`` makes; 1 if it fits one."""
+    return max(1, -(-df.count() // ROWS_PER_BUCKET))
+
+
+def spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to ``tasks`` tasks, if those are more than run at a time: an
+    aggregate over ``keys`` then holds a bounded number of rows a task, however many there are."""
+    if tasks <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(tasks, *keys)
+
+
 def sequence_buckets(df: DataFrame, seq_col: str, n_buckets: int | None = None) -> Column:
     """Quantile bucket of ``seq_col``: buckets of about ROWS_PER_BUCKET rows (their
     number follows the row count), so any (key, bucket) group is bounded whatever

@@ -107,3 +107,15 @@ def test_rollup_holds_each_key_once(spark, capsys):
     roll.explain()
     plan = capsys.readouterr().out
     assert "Join" not in plan and "distinct" not in plan and "Sort " not in plan
+
+
+def test_totals_are_dealt_by_rows(spark, monkeypatch, capsys):
+    a = spark.createDataFrame([(str(i % 7), f"P{i % 11}", i % 5) for i in range(300)] + [("1", None, 2)], "v string, s string, q int")
+    b = spark.createDataFrame([(str(i % 5), f"P{i % 13}", i % 4) for i in range(200)], "v string, s string, q int")
+    cols = ("v", "s", "q")
+    expected = compare.stats_v3(a, b, "s", "s", compare.compare_v3(a, b, cols, cols)).first()
+    monkeypatch.setattr(ordering_mod, "ROWS_PER_BUCKET", 10)
+    totals = compare.totals_v3(a, b, cols, cols)
+    assert compare.stats_from_totals_v3(totals).first().asDict() == expected.asDict()
+    totals.explain()
+    assert ", 51), REPARTITION_BY_NUM" in capsys.readouterr().out
