@@ -12,7 +12,8 @@ nothing. As in ``admission``, rounds decide by bounds: every undecided step take
 between nothing and its full amount (or returns between nothing and all); what fits
 under the highest claim is granted, what does not fit under the lowest is refused.
 The earliest undecided change is always decided, so the rounds end; each works on
-running sums over (product, bucket of the sequence).
+running sums per product over the steps that were open before it (large products are
+scanned in buckets of the sequence).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from stockspark.config import ORDER_STATUSES
 from stockspark.operators.ordering import add_buckets, segmented_sums
-from stockspark.session import materialize
+from stockspark.session import materialize, scratch_folder
 
 
 def change_status(products: DataFrame, orders: DataFrame, items: DataFrame, changes: DataFrame):
@@ -50,45 +51,62 @@ def change_status(products: DataFrame, orders: DataFrame, items: DataFrame, chan
     known = lines.join(stock, "pid", "left")
     need = known.groupBy("order_id", "pid").agg(F.sum("qty").alias("dq"), F.max("qty").alias("maxq"), F.min("stock").alias("stock"))
     moves = ev.where("kind <> 'P'").select("seq", "order_id", "seg", "kind", "_c0")
-    dem = add_buckets(materialize(moves.join(need, "order_id")), "seq")
     tries = moves.where("kind = 'T'").select("seq", "order_id", "seg")
     hopeless = known.where("stock IS NULL").select("order_id").distinct().withColumn("_h", F.lit(True))
+    # every try has a number of its own, by which its lines find its state
     state = materialize(tries.join(hopeless, "order_id", "left").select(
-        "seq", "order_id", "seg", F.when(F.col("_h"), "R").otherwise("U").alias("st")))
+        F.monotonically_increasing_id().alias("try"), "seq", "order_id", "seg", F.when(F.col("_h"), "R").otherwise("U").alias("st")))
+    dem = materialize(moves.join(need, "order_id").join(state.select("try", F.col("seq").alias("_seq")), F.col("seq") == F.col("_seq"), "left")
+                      .drop("_seq").where("stock IS NOT NULL"))
+    dem = add_buckets(dem, "seq", keys=["pid"])
+    zero, dq = F.lit(0).cast("bigint"), F.col("dq")
 
-    def claims(state: DataFrame) -> DataFrame:
-        """dem with what each step takes at least (lo) and at most (hi), and the sums before it."""
+    def bounds(lines: DataFrame, state: DataFrame) -> DataFrame:
+        """``lines`` with the state of their try and what each step takes at least (lo) and at most (hi)."""
         ends = state.groupBy("order_id", (F.col("seg") + 1).alias("seg")).agg(
             F.bool_or(F.col("st") == "A").alias("_any"), F.bool_or(F.col("st") == "U").alias("_open"))
-        d = (dem.join(state.select("seq", "st"), "seq", "left").join(ends, ["order_id", "seg"], "left"))
+        d = lines.join(state.select("try", "st"), "try", "left").join(ends, ["order_id", "seg"], "left")
         sure = ((F.col("seg") == 1) & ~F.col("_c0")) | F.coalesce("_any", F.lit(False))
-        zero = F.lit(0).cast("bigint")
         back = F.col("kind") == "K"
-        dq = F.col("dq")
         lo = (F.when(back & (sure | F.coalesce("_open", F.lit(False))), -dq).when(~back & (F.col("st") == "A"), dq).otherwise(zero))
         hi = (F.when(back & sure, -dq).when(~back & F.col("st").isin("A", "U"), dq).otherwise(zero))
-        d = d.withColumn("_lo", lo).withColumn("_hi", hi).where("stock IS NOT NULL")
-        return segmented_sums(d, ["pid"], ["seq"], {"least": F.col("_lo"), "most": F.col("_hi")})
+        return d.select(*lines.columns, "st", lo.alias("_lo"), hi.alias("_hi"))
 
+    # A round holds the lines of steps whose amount was open before it, and the segments with an open try.
+    # What the other lines took is taken off the stock of the later ones when they leave.
+    rounds = scratch_folder(products.sparkSession)
+    first = state
     undecided = state.where("st = 'U'").count()
-    turn = 0
+    turn, lines = 0, dem
     while undecided:
         turn += 1
-        before = Window.partitionBy("order_id", "seg").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        kept = lines.columns
+        fixed = F.col("_lo").eqNullSafe(F.col("_hi")) & ~F.coalesce(F.col("st") == "U", F.lit(False))
+        sums = segmented_sums(bounds(lines, state).withColumn("_fixed", fixed), ["pid"], ["seq"], {
+            "least": F.col("_lo"), "most": F.col("_hi"), "_gone": F.when(F.col("_fixed"), F.col("_lo")).otherwise(zero)})
+        stock = F.col("stock")
+        judged = materialize(sums.where(~F.col("_fixed")).select(
+            *[c for c in kept if c != "stock"], (stock - F.col("_gone")).alias("stock"),
+            ((F.col("st") == "U") & (F.col("kind") == "T")).alias("_asks"),
+            (stock - F.col("most") >= F.col("maxq")).alias("_fit"), (stock - F.col("least") < F.col("maxq")).alias("_short")))
+        fits = judged.where("_asks").groupBy("seq").agg(F.bool_and("_fit").alias("_ok"), F.bool_or("_short").alias("_bad"))
+        segment = Window.partitionBy("order_id", "seg")
+        before = segment.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         queue = (state.withColumn("_wait", F.coalesce(F.bool_or(F.col("st") == "U").over(before), F.lit(False)))
-                 .withColumn("_had", F.coalesce(F.bool_or(F.col("st") == "A").over(before), F.lit(False))))
-        fits = claims(state).where("kind = 'T' AND st = 'U'").groupBy("seq").agg(
-            F.bool_and(F.col("stock") - F.col("most") >= F.col("maxq")).alias("_ok"),
-            F.bool_or(F.col("stock") - F.col("least") < F.col("maxq")).alias("_bad"))
-        new = queue.join(fits, "seq", "left").select(
-            "seq", "order_id", "seg",
+                 .withColumn("_had", F.coalesce(F.bool_or(F.col("st") == "A").over(before), F.lit(False)))
+                 .withColumn("_live", F.bool_or(F.col("st") == "U").over(segment)))
+        new = queue.where("_live").join(fits, "seq", "left").select(
+            "try", "seq", "order_id", "seg", (F.col("st") == "U").alias("_was"),
             F.when((F.col("st") != "U"), F.col("st")).when(F.col("_had"), "N").when(F.col("_wait"), "U")
             .when(F.coalesce("_ok", F.lit(True)), "A").when(F.col("_bad"), "R").otherwise("U").alias("st"))
         obs = Observation(f"status-round-{turn}")
-        state = materialize(new.observe(obs, F.count_if(F.col("st") == "U").alias("u")))
-        undecided = obs.get["u"]
+        state = materialize(new.observe(obs, F.count_if(F.col("st") == "U").alias("u")), f"{rounds}/turn={turn}").drop("_was")
+        undecided, lines = obs.get["u"], judged.select(*kept)
+    if turn:
+        decided = products.sparkSession.read.parquet(rounds).where("_was AND st <> 'U'").select("try", F.col("st").alias("_new"))
+        state = materialize(first.join(decided, "try", "left").select("try", "seq", "order_id", "seg", F.coalesce("_new", "st").alias("st")))
 
-    done = claims(state)
+    done = segmented_sums(bounds(dem, state), ["pid"], ["seq"], {"least": F.col("_lo")})
     moved = done.groupBy("pid").agg(F.sum("_lo").alias("_taken"))  # all decided: least equals most
     cols = products.columns
     out_products = products.join(moved, products["id"] == F.col("pid"), "left").withColumn(
@@ -101,7 +119,9 @@ def change_status(products: DataFrame, orders: DataFrame, items: DataFrame, chan
     log = (seen.join(short, "seq", "left").withColumn("error", F.coalesce("error", F.when(
         F.col("_f").isNotNull(), F.format_string("Not enough stock to un-cancel. Product ID %d.", F.col("_f.pid")))))
         .select("seq", "order_id", "new_status", F.col("error").isNull().alias("applied"), "error"))
-    last = log.where("applied").groupBy("order_id").agg(F.max_by("new_status", "seq").alias("_new"))
+    # a refused try has a line that falls short, so its state tells without the message that it is not applied
+    refusals = state.where("st = 'R'").select("seq").distinct()
+    last = seen.where(F.col("error").isNull()).join(refusals, "seq", "left_anti").groupBy("order_id").agg(F.max_by("new_status", "seq").alias("_new"))
     out_orders = orders.join(last, orders["id"] == F.col("order_id"), "left").withColumn(
         "status", F.coalesce("_new", "status")).select(*orders.columns)
     return out_products, out_orders, log

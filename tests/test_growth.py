@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import stockspark.operators.admission as admission_mod
 import stockspark.operators.claims as claims_mod
 import stockspark.operators.ordering as ordering_mod
+import stockspark.operators.status as status_mod
 from stockspark.operators import compare
 from stockspark.operators import upsert as U
 from stockspark.operators.documents import ingest_order_documents
@@ -119,3 +120,22 @@ def test_totals_are_dealt_by_rows(spark, monkeypatch, capsys):
     assert compare.stats_from_totals_v3(totals).first().asDict() == expected.asDict()
     totals.explain()
     assert ", 51), REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_settled_status_changes_leave_the_rounds(spark, monkeypatch):
+    # cancelled orders come back: one product that the first ones use up, and a chain of orders that wait for each other
+    lines = [(r, 1, 0, 1) for r in range(1, 41)] + [(100 + k, 1, k, 1) for k in range(1, 9)] + [(101 + k, 2, k, 1) for k in range(1, 9)]
+    items = spark.createDataFrame(lines, "order_id long, line_no int, product_id long, quantity int")
+    products = spark.createDataFrame([(0, 3)] + [(k, 1) for k in range(1, 9)], "id long, quantity long")
+    orders = items.select(F.col("order_id").alias("id"), F.lit("Cancelled").alias("status")).distinct()
+    changes = orders.select(F.col("id").alias("seq"), F.col("id").alias("order_id"), F.lit("Pending").alias("new_status"))
+    written, write = [], status_mod.materialize
+    monkeypatch.setattr(status_mod, "materialize", lambda df, *a: (lambda d: written.append(d.count()) or d)(write(df, *a)))
+    stock, after, log = status_mod.change_status(products, orders, items, changes)
+    status = {r["id"]: r["status"] for r in after.collect()}
+    assert [r for r in range(1, 41) if status[r] == "Pending"] == [1, 2, 3]
+    assert [status[100 + k] for k in range(1, 10)] == ["Pending", "Cancelled"] * 4 + ["Pending"]
+    assert {r["order_id"] for r in log.where("applied").collect()} == {o for o, s in status.items() if s == "Pending"}
+    assert {r["id"]: r["quantity"] for r in stock.collect()} == {k: 0 for k in range(9)}
+    rounds = written[3:-1]  # of changes, states and demands before, of all states after the rounds
+    assert len(rounds) > 6 and max(rounds[4:]) < len(lines) / 2
