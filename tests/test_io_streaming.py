@@ -11,6 +11,7 @@ from stockspark.operators import importfile as I
 from stockspark.operators.lifecycle import replay_commands
 from stockspark.sinks import write_chunks
 from stockspark.sources import read_snapshot, read_with_header_row, sniff_csv_meta, columns_and_count
+from stockspark.sources.files import number_files
 from stockspark.streaming import file_feed, ledger, lifecycle_stream
 
 
@@ -118,6 +119,59 @@ def test_second_snapshot_is_compared_with_the_state(spark, tmpdir_path):
     assert sorted((r.key, r.qty) for r in state.current().collect()) == [("a", 6), ("b", 3), ("c", 2)]
 
 
+def test_file_numbers_keep_the_order_of_paths(spark, tmpdir_path):
+    for i, name in enumerate(["b 1", "a+é", "a", "Z", "b"]):
+        write(os.path.join(tmpdir_path, f"{name}.csv"), f"k,v\nx,{i}\ny,{i}\n")
+    rows = read_snapshot(spark, tmpdir_path)
+    numbered = number_files(rows, tmpdir_path)
+    assert [f.dataType.simpleString() for f in numbered.schema if f.name == "_ord"] == ["struct<f:int,b:bigint,i:bigint>"]
+    order = lambda d: [(r.k, r.v) for r in d.orderBy("_ord").collect()]
+    assert order(numbered) == order(rows) and len(order(rows)) == 10
+    one = os.path.join(tmpdir_path, "a.csv")
+    assert order(number_files(read_snapshot(spark, one), one)) == [("x", "2"), ("y", "2")]
+
+
+def test_local_chunk_files_are_those_of_the_csv_writer(spark, tmpdir_path):
+    cells = ["a,b", 'say "x"', "", None, "  lead ", "two\nlines", "cr\rx", "back\\s", "\\", "é⋮", "#c", "NULL"]
+    rows = spark.createDataFrame([(i, s, k, None if i % 3 else i / 4) for i, (s, k) in enumerate((s, k) for s in cells for k in (1, 2, None, 2 ** 40))],
+                                 "row_num long, `sku ,` string, chunk_id long, qty double")
+    write_chunks(rows, f"{tmpdir_path}/now", ["sku ,", "qty"])
+    (rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "row_num").select("`sku ,`", "qty", "chunk_id")
+     .write.partitionBy("chunk_id").option("header", True).csv(f"{tmpdir_path}/spark"))
+
+    def files(side):
+        return {os.path.relpath(os.path.dirname(f), f"{tmpdir_path}/{side}"): open(f, "rb").read() for f in glob.glob(f"{tmpdir_path}/{side}/*/*.csv")}
+    assert files("now") == files("spark") and len(files("now")) == 4
+    # no process and checksum file for each file, nothing left beside the result
+    assert not glob.glob(f"{tmpdir_path}/now/*/.*") and sorted(os.listdir(tmpdir_path)) == ["now", "spark"]
+    write_chunks(rows.where("false"), f"{tmpdir_path}/now", ["sku ,", "qty"])
+    assert files("now") == {} and os.path.exists(f"{tmpdir_path}/now/_SUCCESS")
+
+
+def test_a_failed_local_chunk_task_leaves_the_earlier_files(spark, tmpdir_path):
+    rows = spark.range(0, 25).select("id", F.lit("x").alias("x"), (F.col("id") + 1).alias("row_num"), F.floor(F.col("id") / 10).alias("chunk_id"))
+    write_chunks(rows, f"{tmpdir_path}/c", ["id", "x"])
+    broken = rows.withColumn("id", F.when(F.col("id") < 24, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")))
+    with pytest.raises(Exception, match="broken"):
+        write_chunks(broken, f"{tmpdir_path}/c", ["id", "x"])
+    assert spark.read.option("header", True).csv(f"{tmpdir_path}/c").count() == 25
+    assert os.listdir(tmpdir_path) == ["c"]
+
+
+def test_only_the_last_batch_is_read_back(spark, tmpdir_path):
+    def rows(n):
+        return spark.range(n).select(F.format_string('S"%d,', "id").alias("sku"), F.lit(1).alias("stock_status"), F.lit("").alias("source_code"),
+                                     F.when(F.col("id") > 0, F.col("id")).alias("qty"), (F.col("id") + 1).alias("row_num"), (F.floor(F.col("id") / 2) + 1).alias("chunk_id"))
+    assert file_feed.exported_rows(spark, f"{tmpdir_path}/none").columns == ["sku", "stock_status", "source_code", "qty", "chunk_id"]
+    for batch, n in ((2, 9), (10, 5), (11, 0)):  # the last one had nothing to export
+        write_chunks(rows(n), f"{tmpdir_path}/out/batch={batch}", ["sku", "stock_status", "source_code", "qty"])
+    back = file_feed.exported_rows(spark, f"{tmpdir_path}/out")
+    assert all("/batch=10/" in f for f in back.inputFiles())
+    assert sorted(map(tuple, back.collect())) == sorted((f'S"{i},', 1, None, i or None, i // 2 + 1) for i in range(5))
+    as_csv = spark.read.option("header", True).schema(back.schema).csv(f"{tmpdir_path}/out/batch=10")
+    assert sorted(map(str, as_csv.collect())) == sorted(map(str, back.collect()))
+
+
 def commands_table(spark):
     return spark.createDataFrame(
         [(1, "2024-01-01 00:00:00", 1, "acknowledge", "TOLL"), (1, "2024-01-01 00:01:00", 2, "acknowledge", "TOLL"),
