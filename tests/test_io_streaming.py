@@ -119,6 +119,16 @@ def test_second_snapshot_is_compared_with_the_state(spark, tmpdir_path):
     assert sorted((r.key, r.qty) for r in state.current().collect()) == [("a", 6), ("b", 3), ("c", 2)]
 
 
+def test_a_new_snapshot_is_joined_with_the_state_once(spark, tmpdir_path, monkeypatch):
+    written, materialize = [], file_feed.materialize
+    monkeypatch.setattr(file_feed, "materialize", lambda df, *a: written.append(df.columns) or materialize(df, *a))
+    new = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 3, "y"), ("e", None, "z")], "key string, qty long, sku string")
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "w"), ("d", 4, "v"), ("e", None, "z")], "key string, qty long, sku string")
+    changed, gone = file_feed._difference(new, old)
+    assert sorted(map(tuple, changed.collect())) == [("b", 2, None), ("c", 3, "y")] and [tuple(r) for r in gone.collect()] == [("d",)]
+    assert len(written) == 1 and "Join" not in changed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_file_numbers_keep_the_order_of_paths(spark, tmpdir_path):
     for i, name in enumerate(["b 1", "a+é", "a", "Z", "b"]):
         write(os.path.join(tmpdir_path, f"{name}.csv"), f"k,v\nx,{i}\ny,{i}\n")
