@@ -99,11 +99,13 @@ def apply_commands(existing: DataFrame, commands: DataFrame, key: str, values: S
     there = existing.select(F.col("id").alias("_there"))
     insert = F.col("op") == "insert"
     sound = sound.join(there, ~insert & (F.col("id") == F.col("_there")), "left")
-    # an insert is an entity of its own, below 0
+    # an insert is an entity of its own, below 0; settle counts from 1
+    shift = max(0, 1 - int(commands.agg(F.coalesce(F.min("seq"), F.lit(1))).first()[0]))
+    at = F.col("seq") + shift
     claims = sound.where(insert | F.col("_there").isNotNull()).select(
-        "seq", F.when(insert, -F.col("seq")).otherwise(F.col("id")).cast("long").alias("entity"), F.col(key).alias("key"))
+        at.alias("seq"), F.when(insert, -at).otherwise(F.col("id")).cast("long").alias("entity"), F.col(key).alias("key"))
     verdicts = settle(claims, existing.where(F.col(key).isNotNull()).select(F.col("id").cast("long").alias("entity"), F.col(key).alias("key")))
-    verdicts = materialize(verdicts.select("seq", "entity", "granted"))
+    verdicts = materialize(verdicts.select((F.col("seq") - shift).alias("seq"), "entity", "granted"))
     base = int(existing.agg(F.max("id")).first()[0] or 0)
     born = global_row_number(verdicts.where("granted AND entity < 0").select("seq"), ["seq"], "_rank")
     born = born.select("seq", (F.col("_rank") + base).alias("new_id"))

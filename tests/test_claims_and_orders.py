@@ -137,6 +137,15 @@ def frames(spark, requests, lines, products):
             spark.createDataFrame(lines, "row long, line int, product_id long, quantity int"), spark.createDataFrame(products, PRODUCTS))
 
 
+def test_documents_may_be_numbered_from_zero_or_below(spark):
+    have = spark.createDataFrame([(0, "A", "a", 1, None), (5, "B", "b", 2, None)], "id long, sku string, name string, stock long, sap_article_id string")
+    new = spark.createDataFrame([(-1, "C", "c", 3, None), (0, "B", "x", 4, None), (1, "C", "y", 5, None), (2, "D", "d", 6, None)],
+                                "seq long, sku string, name string, stock long, sap_article_id string")
+    table, log = claims.create_products(have, new)
+    assert sorted((r.id, r.sku, r.name) for r in table.collect()) == [(0, "A", "a"), (5, "B", "b"), (6, "C", "c"), (7, "D", "d")]
+    assert sorted((r.seq, r.id, r.action) for r in log.collect()) == [(-1, 6, "inserted"), (0, None, "refused"), (1, None, "refused"), (2, 7, "inserted")]
+
+
 @pytest.mark.parametrize("seed, n", [(1, 40), (2, 15), (3, 60)])
 def test_created_orders_equal_a_row_loop(spark, seed, n):
     case = order_case(seed, n)
